@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lattice, lines, packing, pieces, quality, substrings, toxicity
+from . import jaccard, lattice, lines, packing, pieces, quality, substrings, toxicity
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(documents(spark, sf_dir))
+
+
 def op2_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(documents(spark, sf_dir))
 
@@ -43,6 +47,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.selectExpr("doc_id", "_n_lines AS n_lines", "_n_dropped AS n_dropped", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_subword_lattice, op3_toxicity, op4_quality_rules, op7_substring_dedup, op8_best_fit_packing, op9_sentencepiece, op10_line_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_subword_lattice, op3_toxicity, op4_quality_rules, op7_substring_dedup, op8_best_fit_packing, op9_sentencepiece, op10_line_dedup)}
 
 ORACLES: dict[str, str] = {"op10_line_dedup": lines.ORACLE}

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 SAMPLES = 48
 GRID = 1024
+PART_BYTES = 4_000_000
 WORD_GAP = r"[\x20\x09-\x0D]+"
 _HEX = 4  # digits of each sample in the fingerprint
 
@@ -96,21 +97,27 @@ def successors(ids: DataFrame) -> DataFrame:
 
 
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text and of its edited text, with their likeness and that of the next document."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text")).select("doc_id", "h", "text")
-    ids = texts.groupBy("doc_id", "h").agg(F.first(F.length("text")).cast("long").alias("n_chars"), F.count(F.lit(1)).alias("times"))
+    """Fingerprints of each text and of its edited text, with the row that follows.
+
+    Texts are shuffled once, by row, into parts of ``PART_BYTES``; the joins with the text that follows
+    and with the text itself read that one exchange, and all aggregation keeps its partitioning.
+    """
+    parts = -(-int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // PART_BYTES)
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    texts = rows.select("doc_id", "h", "text").repartition(max(least, parts), "doc_id", "h")
+    ids = rows.groupBy("doc_id", "h").agg(F.first(F.length("text")).cast("long").alias("n_chars"), F.count(F.lit(1)).alias("times"))
     nexts = successors(ids)
     donors = nexts.join(texts.select(F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"), "text"), ["next_id", "next_h"]).select("doc_id", "h", "n_chars", "times", "next_id", "next_h", F.expr("substring(text, 1, int(n_chars div 4))").alias("donor"))
-    both = donors.join(texts, ["doc_id", "h"])
+    both = texts.join(donors, ["doc_id", "h"])
     if ids.agg(F.max("times")).first()[0] not in (None, 1):
         both = both.dropDuplicates(["doc_id", "h"])
     edited = F.expr("concat(substring(text, 1, int(n_chars - n_chars div 4)), donor)")
-    kept = both.select("doc_id", "h", "n_chars", "times", "next_id", "next_h", "text", edited.alias("edited"))
-    versions = kept.select("doc_id", "h", "n_chars", "times", "next_id", "next_h", F.explode(F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("text"), F.lit(None).cast("string").alias("sha")), F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("text"), F.sha2("edited", 256).alias("sha")))).alias("v"))
-    keys = ["doc_id", "h", "n_chars", "times", "next_id", "next_h", "is_edited", "sha"]
-    prints = fingerprints(versions.select(*keys[:6], "v.is_edited", "v.sha", "v.text"), keys)
-    wide = prints.groupBy(*keys[:6]).agg(F.max("sha").alias("edited_sha256"), F.max(F.when(~F.col("is_edited"), F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("is_edited"), F.col("fingerprint"))).alias("edited_fingerprint"))
-    return wide
+    info = both.select("doc_id", "h", "n_chars", "times", "next_id", "next_h", F.sha2(edited, 256).alias("edited_sha256"))
+    versions = both.select("doc_id", "h", F.explode(F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("text")), F.struct(F.lit(True).alias("is_edited"), edited.alias("text")))).alias("v"))
+    prints = fingerprints(versions.select("doc_id", "h", "v.is_edited", "v.text"), ["doc_id", "h", "is_edited"])
+    wide = prints.groupBy("doc_id", "h").agg(F.max(F.when(~F.col("is_edited"), F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("is_edited"), F.col("fingerprint"))).alias("edited_fingerprint"))
+    return info.join(wide, ["doc_id", "h"])
 
 
 def report(docs: DataFrame) -> DataFrame:

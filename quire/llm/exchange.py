@@ -71,8 +71,11 @@ def chunk_no(t: pa.Table) -> int:
 
 
 def rows_by_bucket(keys: np.ndarray, vals: np.ndarray, n: int) -> Iterator[tuple[int, slice]]:
+    """(bucket, slice) of sorted keys."""
+    if not len(keys):
+        return
     bucket = cuts(keys, n)
-    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    at = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     for lo, hi in zip(at, np.append(at[1:], len(keys)), strict=True):
         yield int(bucket[lo]), slice(int(lo), int(hi))
 

@@ -7,20 +7,25 @@ link when d <= T = 1/4.  The result is exact: the connected component of every d
 Documents with equal sets are one point.  Unrelated documents all lie at distance 1 from any pivot,
 where the triangle inequality says nothing, so the first regions are cut by shared shingles: of the
 shingles in hash order a document shows the first k + 1 + e, with k = n - ceil(3n/4) the number that
-a partner may lack and e = n // 16.  Linked documents share at least 1 + min(e) of those they show.
+a partner may lack and e = n // 8.  Linked documents share at least 1 + min(e) of those they show.
 
 - A shingle that at most ``SMALL`` points show is a small region: its pairs are counted over all
   shingles, and those that cannot reach 1 + min(e) fall away.
-- A shingle that more show is a large region.  It matters only if it holds a point of which more
-  than e shown shingles are in large regions; any other pair shares a small one as well.
-
-Large regions are joined recursively.  Each takes pivots, and the exact distance of every member to
+- A shingle that more show is a large region.  A pair that shares no small one shares 1 + min(e) in
+  large regions, and its sizes differ by a quarter at most; so only points that show more than
+  (3n/4) // 8 shingles of large regions matter: these show again, now the k + 1 rarest of all their
+  shingles among such points, which parts documents that share a passage or an old version from
+  those that are nearly equal.  What then falls in large regions is joined by pivots.
+
+Every large region takes its member of least hash as first pivot, and regions of one pivot are one
+region: those of a group of near copies fall together, and a point is a member once.  Members within
+T of the pivot are linked to it.  The regions are then joined recursively.  Each takes more pivots, and the exact distance of every member to
 them.  A member within R = 1/2 of its nearest pivot belongs to that pivot's Voronoi region, and is
 replicated into the region of pivot i when d_i <= min(d_min + 2T, R + T); a member with d_min > R - T
 is also in the outer region.  Any linked pair meets in one of these.  Members within T of a pivot are
 linked to it, which joins a group of near copies without any pair of its members; a region whose
-members are all in one component is finished, one of ``SMALL`` members is joined pair by pair between
-components, and the rest recur with more pivots.
+members are all in one component is finished, one of at most ``LEAF`` members is joined pair by pair
+between components, and the rest recur with more pivots.
 
 Null, empty and blank texts have no shingles, are linked with nothing and form their own component.
 Repeated texts form one component.  Set ids and shingles are 64-bit hashes.
@@ -42,6 +47,7 @@ from .store import keep
 
 SHINGLE = 5
 SMALL = 24
+LEAF = 128
 DEEPEST = 10
 T, R, EPS = 0.25, 0.5, 1e-9
 
@@ -77,7 +83,7 @@ def set_ids(h: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def shown(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(shingles that a document of n shows, e)."""
-    e = n // 16
+    e = n // 8
     return np.minimum(n, n - -(-3 * n // 4) + 1 + e), e
 
 
@@ -158,7 +164,49 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(set_ids(h, off)), pa.array([h[x:y].tobytes() for x, y in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["want", "sid", "items"])
 
     found = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.select("rep", F.col("sid").alias("want")), "rep").select("want", "text").mapInArrow(run, "want long, sid long, items binary")
-    return found.where("want = sid").dropDuplicates(["sid"]).select("sid", "items")
+    return found.where("want = sid").select("sid", "items")
+
+
+def meet_rarest(sets: DataFrame) -> DataFrame:
+    """Of points (sid, items): pairs and large regions as ``meet`` gives them, each point showing its k + 1 rarest items.
+
+    Items are ordered by the number of points that hold them, then by hash.  Linked points share one
+    of those that both show.
+    """
+    n_bytes = int(sets.agg(F.coalesce(F.sum(F.octet_length("items")), F.lit(0))).first()[0])
+    chunks = max(2 * X.parts(sets), -(-n_bytes // X.CHUNK_BYTES))
+    buckets = X.n_buckets(sets, n_bytes // 8)
+    dealt = sets.select(F.pmod(F.xxhash64("sid"), F.lit(chunks)).alias("chunk"), "sid", "items")
+
+    def items(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        each = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("items")]
+        return np.concatenate([np.zeros(0, np.uint64), *each]), np.array([len(x) for x in each], np.int64)
+
+    def first(t: pa.Table) -> pa.Table:
+        keys, count = X.distinct(items(t)[0])
+        return X.ask(X.chunk_no(t), keys, count.astype(np.int32), buckets)
+
+    def second(t: pa.Table, a: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return X.table_of({}, SHOWN)
+        h, n = items(t)
+        keys, _ = X.distinct(h)
+        df = X.answer_of(a, np.int32)[np.searchsorted(keys, h)]
+        doc = np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((h, df, doc))
+        place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+        most = n - -(-3 * n // 4) + 1
+        order = order[(place < most[doc]) & (df[order] > 1)]
+        key, who = h[order], t.column("sid").to_numpy()[doc[order]]
+        order = np.argsort(key, kind="stable")
+        key, who = key[order], who[order]
+        out: dict[str, list] = {"bucket": [], "shingles": [], "sids": []}
+        for bucket, s in X.rows_by_bucket(key, who, buckets):
+            out["bucket"].append(bucket), out["shingles"].append(key[s].tobytes()), out["sids"].append(who[s].tobytes())
+        return X.table_of(out, SHOWN)
+
+    counts = X.answers(dealt.groupBy("chunk").applyInArrow(first, X.ASK), np.int32, lambda v, at: np.add.reduceat(v.astype(np.int64), at), np.int32)
+    return dealt.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(second, SHOWN).groupBy("bucket").applyInArrow(meet, MET)
 
 
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -211,32 +259,31 @@ def components(docs: DataFrame) -> DataFrame:
     n_bytes = X.text_bytes(docs)
     sets = keep(read_sets(docs), "sets")
     points = sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    met = keep(show(docs, X.n_buckets(docs, n_bytes // 18)).groupBy("bucket").applyInArrow(meet, MET), "met")
+    met = keep(show(docs, X.n_buckets(docs, n_bytes // 16)).groupBy("bucket").applyInArrow(meet, MET), "met")
     large = met.where("large").select(F.col("a").alias("region"), F.col("b").alias("sid"))
     shares = large.groupBy("sid").agg(F.count(F.lit(1)).alias("h"))
-    info = keep(points.join(shares, "sid", "left").select("sid", "rep", "n", F.coalesce("h", F.lit(0)).alias("h"), F.expr("n div 16").alias("e")), "points")
+    info = keep(points.join(shares, "sid", "left").select("sid", "rep", "n", F.coalesce("h", F.lit(0)).alias("h"), F.expr("n div 8").alias("e")), "points")
 
     counted = met.where("NOT large").groupBy("a", "b").agg(F.sum("c").alias("c"))
     left, right = (info.select(F.col("sid").alias(s), *[F.col(c).alias(c + s) for c in ("n", "h", "e")]) for s in "ab")
     able = counted.join(left, "a").join(right, "b").where("4 * least(na, nb) >= 3 * greatest(na, nb) AND c + least(ha, hb) >= 1 + least(ea, eb)").select("a", "b")
-    able = keep(able, "candidates")
-
-    heavy = large.join(info.where("h > e").select("sid"), "sid", "left_semi").select("region").distinct()
-    members = large.join(heavy, "region", "left_semi")
-    same = members.groupBy("region").agg(F.count(F.lit(1)).alias("m"), F.sum(F.shiftright(F.xxhash64("sid"), 20)).alias("s"))
-    one = same.groupBy("m", "s").agg(F.min("region").alias("region"))
-    members = keep(members.join(one.select("region"), "region", "left_semi"), "regions")
+    members = large.join(info.where("h > (3 * n div 4) div 8").select("sid"), "sid", "left_semi")
+    heavy = keep(members.groupBy("sid").agg(F.count(F.lit(1)).alias("m")).select("sid"), "heavy")
 
-    wanted = able.select(F.explode(F.array("a", "b")).alias("sid")).union(members.select("sid")).distinct()
+    wanted = able.select(F.explode(F.array("a", "b")).alias("sid")).union(heavy).distinct()
     full = keep(full_sets(docs, info.join(wanted, "sid", "left_semi")), "full")
+    again = keep(meet_rarest(full.join(heavy, "sid", "left_semi")), "rarest")
+    pairs = again.where("NOT large").join(info.select(F.col("sid").alias("a"), F.col("n").alias("na")), "a").join(info.select(F.col("sid").alias("b"), F.col("n").alias("nb")), "b")
+    able = keep(able.union(pairs.where("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b")).distinct(), "candidates")
+    large = again.where("large").select(F.col("a").alias("region"), F.col("b").alias("sid"))
+    first = large.groupBy("region").agg(F.min_by("sid", F.xxhash64("sid")).alias("pivot"))
+    members = keep(large.join(first, "region").select(F.col("pivot").alias("region"), "sid").distinct(), "regions")
 
     star = able.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = keep(distances(star, full).where("linked").select("a", "b"), "linked")
     found = [links]
     if not members.isEmpty():
-        linked, members = split_regions(members, full, 4)
-        found.append(linked)
-        members = keep(members, "regions")
+        found.append(keep(distances(members.where("sid <> region").select(F.col("sid").alias("a"), F.col("region").alias("b")), full).where("linked").select("a", "b"), "linked"))
     comp = merged(found)
     rest = able.join(star, ["a", "b"], "left_anti")
     rest = rest.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
@@ -252,15 +299,16 @@ def components(docs: DataFrame) -> DataFrame:
         members = keep(members.join(state, "region"), "regions")
         if members.isEmpty():
             break
-        little = members if depth == DEEPEST else members.where(F.col("m") <= SMALL)
+        little = members if depth == DEEPEST else members.where(F.col("m") <= LEAF)
         new = [keep(distances(cross_pairs(little.select("region", "sid", "component")), full).where("linked").select("a", "b"), "linked")]
-        members = members.where(F.col("m") > SMALL).select("region", "sid")
+        members = members.where(F.col("m") > LEAF).select("region", "sid")
         if depth < DEEPEST and not members.isEmpty():
             linked, members = split_regions(members, full, min(64, 4 << depth))
             new.append(linked)
             members = keep(members, "regions")
-        found += new
-        comp = merged(found)
+        if new := [x for x in new if not x.isEmpty()]:
+            found += new
+            comp = merged(found)
         if depth == DEEPEST:
             break
     reps = comp.join(info.select(F.col("sid").alias("node"), "rep"), "node")

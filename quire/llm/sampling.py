@@ -8,7 +8,7 @@ Jaccard similarity, sum of least over sum of greatest weights, and their likenes
 samples on which they agree.  Gamma values come from the inverse distribution function at ``GRID``
 equal steps, kept as literal arrays built by rule.
 
-A blank, empty or null text is one empty term.  Rows with equal id and text are one document, listed
+Rows without an id have no place in the order and give no row.  A blank, empty or null text is one empty term.  Rows with equal id and text are one document, listed
 as often as they occur; rows with equal ids and other texts follow each other by a hash of the text.
 """
 
@@ -19,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import keep
+
 SAMPLES = 48
 GRID = 1024
 PART_BYTES = 4_000_000
@@ -81,10 +83,11 @@ def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
 def successors(ids: DataFrame) -> DataFrame:
     """``ids`` with next_id, next_h: the row that follows in order of (doc_id, h), the first after the last.
 
-    Rows are dealt by ranges; the window runs within a range, and only the first row of each range,
-    one per partition, meets in one place.
+    Rows are dealt by ranges, once, and kept with the number of their range, which would differ if
+    Spark dealt them again.  The window runs within a range, and only the first row of each range, one
+    per partition, meets in one place.
     """
-    dealt = ids.repartitionByRange("doc_id", "h").withColumn("part", F.spark_partition_id())
+    dealt = keep(ids.repartitionByRange("doc_id", "h").withColumn("part", F.spark_partition_id()), "ranges")
     order = F.struct("doc_id", "h")
     within = Window.partitionBy("part").orderBy("doc_id", "h")
     led = dealt.withColumn("following", F.lead(order).over(within))
@@ -121,8 +124,6 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    from .store import keep
-
     wide = keep(fingerprint_pairs(docs), "fingerprints")
     following = wide.select(F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"), F.col("fingerprint").alias("next_fingerprint"))
     return (

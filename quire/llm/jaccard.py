@@ -24,8 +24,9 @@ them.  A member within R = 1/2 of its nearest pivot belongs to that pivot's Voro
 replicated into the region of pivot i when d_i <= min(d_min + 2T, R + T); a member with d_min > R - T
 is also in the outer region.  Any linked pair meets in one of these.  Members within T of a pivot are
 linked to it, which joins a group of near copies without any pair of its members; a region whose
-members are all in one component is finished, one of at most ``LEAF`` members is joined pair by pair
-between components, and the rest recur with more pivots.
+members are all in one component is finished, and the rest recur with more pivots.  A region of at most
+``LEAF`` members, and all of a level whose windows would replicate more than twice its members, since
+all distances are alike, is joined directly: points outside its largest component meet all others.
 
 Null, empty and blank texts have no shingles, are linked with nothing and form their own component.
 Repeated texts form one component.  Set ids and shingles are 64-bit hashes.
@@ -48,7 +49,8 @@ from .store import keep
 SHINGLE = 5
 SMALL = 24
 LEAF = 128
-DEEPEST = 10
+PIVOTS = 8
+DEEPEST = 16
 T, R, EPS = 0.25, 0.5, 1e-9
 
 
@@ -234,10 +236,52 @@ def labelled(members: DataFrame, comp: DataFrame) -> DataFrame:
     return members.join(comp.select(F.col("node").alias("sid"), "component"), "sid", "left").select("region", "sid", F.coalesce("component", "sid").alias("component"))
 
 
-def cross_pairs(members: DataFrame) -> DataFrame:
-    """Pairs of different components within regions of labelled members."""
-    other = members.select("region", F.col("sid").alias("b"), F.col("component").alias("other"))
-    return members.select("region", F.col("sid").alias("a"), "component").join(other, "region").where("a < b AND component <> other").select("a", "b").distinct()
+def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose points are in different components."""
+    for side in "ab":
+        pairs = pairs.join(comp.select(F.col("node").alias(side), F.col("component").alias("c" + side)), side, "left")
+    return pairs.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").distinct()
+
+
+def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) between different components within regions of labelled members, found exactly.
+
+    Points outside the largest component of their region meet all its members, in cells of ``LEAF`` by
+    ``LEAF`` sets whose intersections are one matrix product; sets travel once per cell, not per pair.
+    """
+    sizes = members.groupBy("region", "component").agg(F.count(F.lit(1)).alias("k"))
+    sizes = sizes.groupBy("region").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.sum("k").alias("m"), F.max("k").alias("most"))
+    own = members.select("region", "sid", "component").join(sizes, "region").join(sets, "sid")
+    count = lambda n: F.ceil(n / LEAF).cast("int")
+    deal = lambda n, seed: F.pmod(F.xxhash64("sid", F.lit(seed)), count(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), count(n) - 1))
+    odd = F.col("m") - F.col("most")
+    left = own.where("component <> main").select("region", deal(odd, 1).alias("i"), spread(F.col("m")).alias("j"), "sid", "component", "items")
+    right = own.where(odd > 0).select(F.col("region").alias("r"), spread(odd).alias("k"), deal(F.col("m"), 2).alias("l"), F.col("sid").alias("b"), F.col("component").alias("other"), F.col("items").alias("set"))
+
+    def run(x: pa.Table, y: pa.Table) -> pa.Table:
+        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        if not x.num_rows or not y.num_rows:
+            return none
+        each = [[np.frombuffer(v.as_buffer(), np.uint64) for v in column] for column in (x.column("items"), y.column("set"))]
+        n = [np.array([len(v) for v in e]) for e in each]
+        shared = np.intersect1d(np.concatenate(each[0]), np.concatenate(each[1]))
+        inter = np.zeros((len(n[0]), len(n[1])), np.int64)
+        for lo in range(0, len(shared), 20_000):
+            part = shared[lo : lo + 20_000]
+            grids = []
+            for e in each:
+                g = np.zeros((len(e), len(part)), np.float32)
+                for r, v in enumerate(e):
+                    g[r, np.searchsorted(part, v[np.isin(v, part, assume_unique=True)])] = 1
+                grids.append(g)
+            inter += np.rint(grids[0] @ grids[1].T).astype(np.int64)
+        c = [x.column("component").to_numpy(), y.column("other").to_numpy()]
+        hit = (100 * inter >= 75 * (n[0][:, None] + n[1][None, :] - inter)) & (c[0][:, None] != c[1][None, :])
+        i, j = np.nonzero(hit)
+        return pa.table({"a": x.column("sid").to_numpy()[i], "b": y.column("b").to_numpy()[j]})
+
+    return left.groupBy("region", "i", "j").cogroup(right.groupBy("r", "k", "l")).applyInArrow(run, "a long, b long").distinct()
 
 
 def split_regions(members: DataFrame, sets: DataFrame, n_pivots: int) -> tuple[DataFrame, DataFrame]:
@@ -285,32 +329,32 @@ def components(docs: DataFrame) -> DataFrame:
     if not members.isEmpty():
         found.append(keep(distances(members.where("sid <> region").select(F.col("sid").alias("a"), F.col("region").alias("b")), full).where("linked").select("a", "b"), "linked"))
     comp = merged(found)
-    rest = able.join(star, ["a", "b"], "left_anti")
-    rest = rest.join(comp.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(comp.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    more = keep(distances(rest.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b"), full).where("linked").select("a", "b"), "linked")
+    more = keep(distances(across(able.join(star, ["a", "b"], "left_anti"), comp), full).where("linked").select("a", "b"), "linked")
     if not more.isEmpty():
         found.append(more)
         comp = merged(found)
     for depth in range(1, DEEPEST + 1):
-        if members.isEmpty():
+        if members is None or members.isEmpty():
             break
         members = labelled(members, comp)
         state = members.groupBy("region").agg(F.count(F.lit(1)).alias("m"), (F.min("component") != F.max("component")).alias("mixed")).where("mixed")
         members = keep(members.join(state, "region"), "regions")
         if members.isEmpty():
             break
-        little = members if depth == DEEPEST else members.where(F.col("m") <= LEAF)
-        new = [keep(distances(cross_pairs(little.select("region", "sid", "component")), full).where("linked").select("a", "b"), "linked")]
-        members = members.where(F.col("m") > LEAF).select("region", "sid")
-        if depth < DEEPEST and not members.isEmpty():
-            linked, members = split_regions(members, full, min(64, 4 << depth))
-            new.append(linked)
-            members = keep(members, "regions")
+        big = members.where(F.col("m") > LEAF)
+        before, after = big.count(), None
+        new = []
+        if before and depth < DEEPEST:
+            linked, split = split_regions(big.select("region", "sid"), full, PIVOTS)
+            new.append(keep(across(linked, comp), "linked"))
+            after = keep(split, "regions")
+            if after.count() > 2 * before:
+                after = None  # distances too alike for windows to part the regions
+        new.append(keep(block_links(members if after is None else members.where(F.col("m") <= LEAF), full), "linked"))
+        members = after
         if new := [x for x in new if not x.isEmpty()]:
             found += new
             comp = merged(found)
-        if depth == DEEPEST:
-            break
     reps = comp.join(info.select(F.col("sid").alias("node"), "rep"), "node")
     least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
     label = reps.join(least, "component").select(F.col("node").alias("sid"), "component_id")

@@ -27,10 +27,19 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the boilerplate lines of their site; one that had only such lines keeps them."""
-    own = docs.select(*COLUMNS)
-    kept = lines.drop_boilerplate(own.withColumn("_whole", F.col("text")))
-    return _counted(kept.withColumn("text", F.when(F.col("_n_dropped") == F.col("_n_lines"), F.col("_whole")).otherwise(F.col("text"))))
+    """Documents without the boilerplate lines of their site.
+
+    A document that had lines with a word, all of them boilerplate, is a copy of other pages of its site: of
+    those that agree in their lines with a word, one keeps its whole text, the one of least id, and the
+    others go.  Rows without an id come last.  A document without any word stays as it is.
+    """
+    cut = lines.drop_boilerplate(docs.select(*COLUMNS).withColumn("_whole", F.col("text")))
+    emptied = (F.col("_n_dropped") > 0) & ~lines.has_word(F.col("text"))
+    copies = cut.where(emptied).select("doc_id", F.col("_whole").alias("text"), "lang", "source")
+    page = F.array_join(F.filter(F.split("text", "\n"), lines.has_word), "\n")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text", "lang")).alias("one")
+    ones = copies.groupBy("source", lines.line_key(page).alias("page")).agg(least).select("one.doc_id", "one.text", "one.lang", "source")
+    return _counted(cut.where(~emptied).select(*ones.columns).union(ones))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,11 +21,11 @@ from .store import keep
 SALTS = 64
 
 
-def _line_key(line: Column) -> Column:
+def line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.hash(line, F.length(line)).alias("b"))
 
 
-def _has_word(line: Column) -> Column:
+def has_word(line: Column) -> Column:
     return line.rlike(r"[^\x20\x09-\x0D]")
 
 
@@ -35,7 +35,7 @@ def boilerplate_lines(docs: DataFrame, host: Column, text: Column, ratio: float,
     Pages are counted in the same pass as lines: each page adds one row of a null key.  Partial
     aggregation runs before the shuffle, so a line on every page of a hot host travels once per task.
     """
-    keys = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), _has_word), _line_key))
+    keys = F.array_distinct(F.transform(F.filter(F.split(text, "\n"), has_word), line_key))
     null_key = F.lit(None).cast("struct<a:bigint,b:int>")
     counted = docs.select(host.alias("host"), F.explode(F.concat(F.coalesce(keys, F.array().cast("array<struct<a:bigint,b:int>>")), F.array(null_key))).alias("key")).groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
     lines = counted.where(F.col("key").isNotNull() & (F.col("n") >= min_pages))
@@ -55,7 +55,7 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
         left = docs.withColumn("_salt_l", F.pmod(F.xxhash64(*[F.col(c) for c in docs.columns if c != host_col] or [F.lit(0)]), F.lit(SALTS)).cast("int"))
         joined = left.join(salted, left[host_col].eqNullSafe(salted._host) & (left._salt_l == salted._salt), "left").drop("_salt_l", "_salt")
     split = F.split(F.col(text_col), "\n")
-    joined = joined.withColumn("_lines", split).withColumn("_kept", F.when(F.col("_keys").isNull(), F.col("_lines")).otherwise(F.filter(F.col("_lines"), lambda x: ~F.array_contains(F.col("_keys"), _line_key(x)) | ~_has_word(x))))
+    joined = joined.withColumn("_lines", split).withColumn("_kept", F.when(F.col("_keys").isNull(), F.col("_lines")).otherwise(F.filter(F.col("_lines"), lambda x: ~F.array_contains(F.col("_keys"), line_key(x)) | ~has_word(x))))
     return (
         joined.withColumn("_n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
         .withColumn("_n_dropped", (F.col("_n_lines") - F.coalesce(F.size("_kept"), F.lit(0))).cast("long"))

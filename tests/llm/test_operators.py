@@ -329,3 +329,19 @@ def test_pipeline(spark, tmp_path, docs):
         d = stage(spark, d, str(tmp_path)).cache()
         assert d.columns == list(corpus_pipeline.COLUMNS)
     assert {r.doc_id for r in d.select(F.col("doc_id")).collect()} == ids
+
+
+def test_pipeline_keeps_one_of_pages_with_only_boilerplate(spark):
+    import corpus_pipeline
+
+    page = "head line\n\nbody of the copied page\n \nfoot line\n"
+    short = "head line\nfoot line\n"
+    rows = [(100 - i, page, "en", "hot", 0) for i in range(20)] + [(200 + i, short, "en", "hot", 0) for i in range(6)]
+    rows += [(300 + i, f"head line\n\nown {i}\nfoot line\n", "en", "hot", 0) for i in range(20)]
+    rows += [(None, page.replace("\n \n", "\n"), "en", "hot", 0), (400, "\n \n", "en", "hot", 0), (401, None, "en", "hot", 0), (402, page, "en", "cold", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    out = corpus_pipeline.line_stage(spark, df, "").collect()
+    got = {r.doc_id: r.text for r in out}
+    assert len(out) == len(got)
+    assert got == {81: page, 200: short, 400: "\n \n", 401: None, 402: page} | {300 + i: f"\nown {i}\n" for i in range(20)}
+    assert all(r.n_chars == len(r.text or "") for r in out)

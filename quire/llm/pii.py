@@ -7,8 +7,10 @@ trained on a small labelled table made by rule, and is decoded by Viterbi over b
 
 Words of letters and closing punctuation alone are plain, other words and cue words are marked.  A
 sequence is a maximal stretch of words no further than ``REACH`` from a marked one, in pieces of
-``LONGEST`` words at most; words outside are never personal data.  An added span that meets a base
-span is left out, so base spans stay as they are.
+``LONGEST`` words at most; words outside are never personal data.  Of a run of words of one label, what
+lies outside base spans is split where an item is complete, so neighbours of one kind are spans of
+their own and base spans stay as they are.  A secret is also a value of ``SHORT`` bytes or more, with
+a letter and a digit or sign, behind a strong cue and ``=`` or ``:``.
 
 Null and empty texts have no spans.  Offsets are code points, ends exclusive.  Every pattern takes
 time in proportion to the text, however long a run of digits or letters is.
@@ -324,8 +326,8 @@ def plausible(kind: int, text: bytes) -> bool:
     return len(text) >= 12 and n >= 2
 
 
-def added_spans(b: B.Block, model: Crf) -> Iterator[tuple[int, int, int, int]]:
-    """(document, kind, start, end) in bytes of the block that the CRF finds."""
+def labelled_runs(b: B.Block, model: Crf) -> Iterator[tuple[int, int, int, int]]:
+    """(document, kind, first word, end word) of the runs of words that the CRF gives one label."""
     f = Features(b)
     marks = np.flatnonzero(f.marked)
     if not len(marks):
@@ -349,14 +351,75 @@ def added_spans(b: B.Block, model: Crf) -> Iterator[tuple[int, int, int, int]]:
     new = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (label[hit[1:]] != label[hit[:-1]]) | (words[hit[1:]] != words[hit[:-1]] + 1) | (b.doc[words[hit[1:]]] != b.doc[words[hit[:-1]]])])
     lo = np.flatnonzero(new)
     for x, y in zip(lo, np.append(lo[1:], len(hit)), strict=True):
-        s, e = int(b.start[words[hit[x]]]), int(b.end[words[hit[y - 1]]])
-        while s < e and b.data[s] in _TRIM:
-            s += 1
-        while e > s and b.data[e - 1] in _TRIM:
-            e -= 1
-        kind = int(label[hit[x]]) - 1
-        if plausible(kind, b.data[s:e].tobytes()):
-            yield int(b.doc[words[hit[x]]]), kind, s, e
+        yield int(b.doc[words[hit[x]]]), int(label[hit[x]]) - 1, int(words[hit[x]]), int(words[hit[y - 1]]) + 1
+
+
+def entities(kind: int, t: bytes, words: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Spans of the single items in a run of words (start, end) of one kind.
+
+    The cheapest cut into plausible items: a word left out costs most, then an item that holds what
+    opens another, a line break, or two words that are items by themselves; sizes near the usual win ties.
+    """
+    n = len(words)
+    text = [t[s:e] for s, e in words]
+    broken = [k > 0 and b"\n" in t[words[k - 1][1] : words[k][0]] for k in range(n)]
+    if kind == 0:
+        sign = [x.strip(b"()[]").lower() == b"at" for x in text]
+        alone = [sign[k] or b"@" in text[k] for k in range(n)]
+        opens = [b"@" in text[k] or (k + 1 < n and sign[k + 1]) for k in range(n)]
+    else:
+        alone = [plausible(kind, x) for x in text]
+        opens = [kind == 3 and (x[:1] == b"+" or (x[:1] == b"(" and (not k or text[k - 1][:1] != b"+"))) for k, x in enumerate(text)]
+    best, back = [0.0], [(0, -1, -1)]
+    for j in range(1, n + 1):
+        cost, how = best[j - 1] + 20, (j - 1, -1, -1)
+        for i in (*range(max(0, j - 20), j), *([0] if j == n > 20 else [])):
+            s, e = words[i][0], words[j - 1][1]
+            while s < e and t[s] in _TRIM:
+                s += 1
+            while e > s and t[e - 1] in _TRIM:
+                e -= 1
+            if not plausible(kind, t[s:e]):
+                continue
+            size = len(digits(t[s:e]))
+            odd = 0.5 * (size not in (15, 16)) if kind == 2 else 0.01 * (size - 10) ** 2 if kind == 3 else 0
+            now = best[i] + 0.1 + odd + 3 * sum(broken[i + 1 : j]) + 2 * max(0, sum(alone[i:j]) - 1) + 10 * sum(opens[i + 1 : j])
+            if now < cost:
+                cost, how = now, (i, s, e)
+        best.append(cost), back.append(how)
+    out = []
+    while n:
+        n, s, e = back[n]
+        if s >= 0:
+            out.append((s, e))
+    yield from reversed(out)
+
+
+def outside(s: int, e: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The parts of (s, e) that lie in no taken span."""
+    out = []
+    for s2, e2 in sorted(taken):
+        if s2 < e and e2 > s:
+            out += [(s, s2)] if s < s2 else []
+            s = max(s, e2)
+    return [*out, (s, e)] if s < e else out
+
+
+SHORT = 6
+_VALUE = re.compile(rb"[:=][\x20\t]*[\"']?([^\s\"']{%d,})" % SHORT)
+_NAMES = tuple(c.encode() for c in STRONG if c.isidentifier() and c != "dot" or "-" in c)
+
+
+def short_secrets(t: bytes) -> Iterator[tuple[int, int]]:
+    """Values behind a strong cue and = or :, with a letter and a digit or sign."""
+    for m in _VALUE.finditer(t):
+        name = t[max(0, m.start() - 20) : m.start()].rstrip(b" \t\"'").lower()
+        cue = next((c for c in _NAMES if name.endswith(c)), None)
+        if not cue or name[: -len(cue)][-1:].isalnum():
+            continue
+        value = m[1].rstrip(_TRIM)
+        if len(value) >= SHORT and re.search(rb"[A-Za-z\x80-\xff]", value) and re.search(rb"[^A-Za-z\x80-\xff]", value):
+            yield m.start(1), m.start(1) + len(value)
 
 
 _DIGIT = (np.arange(256) >= 48) & (np.arange(256) < 58)
@@ -369,10 +432,20 @@ def block_spans(b: B.Block, model: Crf) -> tuple[dict[int, list[Span]], dict[int
     some = np.flatnonzero((B.per_doc(_DIGIT[b.data], b.off) > 0) | (B.per_doc(b.data == 64, b.off) > 0))
     raw = {int(i): [(k, s + int(b.off[i]), e + int(b.off[i])) for k, s, e in base_spans(b.text(i))] for i in some}
     every = {i: list(v) for i, v in raw.items()}
-    for i, kind, s, e in added_spans(b, model):
+    for i, kind, first, last in labelled_runs(b, model):
         own = every.setdefault(i, [])
-        if all(e <= s2 or s >= e2 for _, s2, e2 in own):
-            own.append((kind, s, e))
+        base = [(s, e) for _, s, e in raw.get(i, ())]
+        free = outside(int(b.start[first]), int(b.end[last - 1]), base)
+        t = b.data[b.start[first] : b.end[last - 1]].tobytes()
+        at = int(b.start[first])
+        for lo, hi in free:
+            words = [(max(int(s), lo) - at, min(int(e), hi) - at) for s, e in zip(b.start[first:last], b.end[first:last], strict=True) if s < hi and e > lo]
+            own += [(kind, s + at, e + at) for s, e in entities(kind, t, words)]
+    for i in np.flatnonzero(B.per_doc((b.data == 58) | (b.data == 61), b.off) > 0).tolist():
+        at = int(b.off[i])
+        for s, e in short_secrets(b.text(i)):
+            own = every.setdefault(i, [])
+            own += [(4, lo, hi) for lo, hi in outside(s + at, e + at, [(x, y) for _, x, y in own])]
     place = lambda spans, i: sorted((k, int(points[s] - points[b.off[i]]), int(points[e] - points[b.off[i]])) for k, s, e in spans)
     return {i: place(v, i) for i, v in raw.items() if v}, {i: place(v, i) for i, v in every.items() if v}
 

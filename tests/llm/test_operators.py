@@ -345,3 +345,25 @@ def test_pipeline_keeps_one_of_pages_with_only_boilerplate(spark):
     assert len(out) == len(got)
     assert got == {81: page, 200: short, 400: "\n \n", 401: None, 402: page} | {300 + i: f"\nown {i}\n" for i in range(20)}
     assert all(r.n_chars == len(r.text or "") for r in out)
+
+
+ADJACENT = {
+    "tel 555-123-4567 212-555-0187 now": [("phone", "555-123-4567"), ("phone", "212-555-0187")],
+    "call (212) 555-0187\n(415) 555-0123 today": [("phone", "(212) 555-0187"), ("phone", "(415) 555-0123")],
+    "card 4111 1111 1111 1112 4111 1111 1111 1113 end": [("card", "4111 1111 1111 1112"), ("card", "4111 1111 1111 1113")],
+    "card 4111111111111112\n4111111111111113 end": [("card", "4111111111111112"), ("card", "4111111111111113")],
+    "call +1 (555) 555-1234\n(212) 555-0187 now": [("phone", "+1 (555) 555-1234"), ("phone", "(212) 555-0187")],
+    "the password = hunter2abcd here": [("secret", "hunter2abcd")],
+    "the password: Tr0ub4dor&3. here": [("secret", "Tr0ub4dor&3")],
+}
+
+
+def test_pii_adjacent_items_and_short_secrets(spark):
+    df = spark.createDataFrame(list(enumerate(ADJACENT)), "doc_id long, text string")
+    model = pii.fit(pii.labelled_rows())
+    got = by_id(pii.find(df, model), "spans")
+    red = by_id(pii.redact(df, model), "text")
+    for i, (t, want) in enumerate(ADJACENT.items()):
+        spans = [(k, t[int(s) : int(e)]) for k, s, e in (x.split(":") for x in got[i][0].split(","))]
+        assert spans == want
+        assert not any(x in red[i][0] for _, x in want)

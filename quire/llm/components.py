@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import keep
 
 
-def connected(links: DataFrame, rounds: int = 50) -> DataFrame:
+def connected(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, component) of the nodes in ``links`` (a long, b long); the component is its least node.
 
     Each round joins every link with the least neighbour of its end, a table of one row per node, so
     a node with very many links is a skewed side that Spark can split, never a group in one task.
+    Rounds go on until the links no longer change; more than ``rounds`` of them, if given, are an error.
     """
     edges = keep(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     before = None
-    for _ in range(rounds):
+    for done in count():
+        if done == rounds:
+            raise RuntimeError(f"links have not settled after {rounds} rounds")
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quire.llm import blocks as B
-from quire.llm import jaccard, lattice, lines, packing, pieces, pii, quality, sampling, substrings, toxicity
+from quire.llm import components, jaccard, lattice, lines, packing, pieces, pii, quality, sampling, substrings, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk string, bucket int, h string"
@@ -367,3 +367,11 @@ def test_pii_adjacent_items_and_short_secrets(spark):
         spans = [(k, t[int(s) : int(e)]) for k, s, e in (x.split(":") for x in got[i][0].split(","))]
         assert spans == want
         assert not any(x in red[i][0] for _, x in want)
+
+
+def test_components_settle_or_raise(spark):
+    order = [int(x) for x in np.random.Generator(np.random.PCG64(4)).permutation(60)]
+    chain = spark.createDataFrame(list(zip(order[:-1], order[1:], strict=True)), "a long, b long").cache()
+    with pytest.raises(RuntimeError):
+        components.connected(chain, rounds=1)
+    assert {(r.node, r.component) for r in components.connected(chain).collect()} == {(x, 0) for x in order}

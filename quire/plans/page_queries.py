@@ -370,16 +370,20 @@ def table_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(assembly.attach_tables(derive.regions(d), tables))
 
 
-@query("""WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="[^"]*">([^<&]*)</a>', 1)) AS cell, generate_subscripts(regexp_extract_all(html, '<a href="[^"]*">([^<&]*)</a>', 1), 1) - 1 AS r FROM pages)
-SELECT page_id, r::BIGINT AS r, cell FROM p WHERE trim(cell) <> ''""")
+@query("""WITH t AS (SELECT item_id, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') AS ts FROM benchmark),
+u AS (SELECT item_id, len(ts) AS m, unnest(ts) AS cell, generate_subscripts(ts, 1) - 1 AS i FROM t)
+SELECT item_id, (i // 3)::BIGINT AS r, (i % 3)::BIGINT AS c, cell FROM u
+UNION ALL SELECT item_id, (len(ts) // 3)::BIGINT, k::BIGINT, '' FROM t, range(3) r(k) WHERE len(ts) > 3 AND len(ts) % 3 > 0 AND k >= len(ts) % 3""")
 def table_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Navigation links rewritten as a one-column table and parsed as a grid."""
-    rows = F.filter(F.regexp_extract_all("html", F.lit('<a href="[^"]*">([^<&]*)</a>'), 1), lambda x: F.trim(x) != "")
-    full = F.regexp_extract_all("html", F.lit('<a href="[^"]*">([^<&]*)</a>'), 1)
-    p = derive.read(spark, sf_dir, "pages").where(F.size(full) > 0).select("page_id", full.alias("cells"), rows.alias("kept"))
-    html = F.concat(F.lit("<table>"), F.array_join(F.transform("kept", lambda x: F.concat(F.lit("<tr><td>"), x, F.lit("</td></tr>"))), ""), F.lit("</table>"))
-    grid = p.select("page_id", F.posexplode(assembly.table_grid(html)).alias("k", "row"), F.expr("filter(transform(cells, (x, i) -> IF(trim(x) <> '', i, -1)), i -> i >= 0)").alias("at"))
-    return longs(grid.select("page_id", F.expr("at[k]").alias("r"), F.col("row")[0].alias("cell")))
+    """Tables by rule, three words a row: header cells, nested and mixed-case tags, references, blank rows, a ragged end, and a cell that never ends."""
+    words = derive.read(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("ts")).where("size(ts) > 0")
+    row = lambda i: F.slice("ts", 3 * i + 1, 3)
+    cell = lambda i, w: F.when(i == 0, F.concat(F.lit("<TH scope='a > b'> <b>"), w, F.lit("</b>\n</TH>"))).otherwise(F.concat(F.lit("<td>"), w, F.lit("&#32;&nbsp;</td>")))
+    each = F.transform(F.sequence(F.lit(0), F.expr("(size(ts) - 1) div 3").cast("int")), lambda i: F.concat(F.lit("<tr>"), F.array_join(F.transform(row(i), lambda w: cell(i, assembly.escape(w))), ""), F.lit("</tr><Tr><td> <i></i> </td></tR>")))
+    broken = F.when(F.col("item_id") % 2 == 0, "<!-- <tr><td>no</td></tr> --><tr><td>lost").otherwise("</table></td><td>kept out</td>")
+    html = F.concat(F.lit("<div><table class=x>"), F.array_join(each, "\n"), broken)
+    grid = words.select("item_id", F.posexplode(assembly.table_grid(html)).alias("r", "row"))
+    return longs(grid.select("item_id", "r", F.posexplode("row").alias("c", "cell")))
 
 
 @query(f"""WITH {RECONCILED}, tx AS (SELECT doc_id, region_id, string_agg(text, ' ' ORDER BY y0, x0, word_id) AS text FROM won GROUP BY doc_id, region_id), pt AS (SELECT doc_id, string_agg(text, chr(10) ORDER BY region_id) AS text FROM tx GROUP BY doc_id)

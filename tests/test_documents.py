@@ -1,13 +1,15 @@
 """Literal cases of the document operators."""
 
+import inspect
 import json
 
+import hypothesis
 import pytest
-from hypothesis import given, settings
+from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from quire import config, recognizers
+from quire import recognizers, settings
 from quire.functions import geometry, text
 from quire.operators import assembly, layout, ledger, quality, splitting
 from quire.sources import files
@@ -109,11 +111,31 @@ def test_language_hint_is_never_empty(spark):
     assert [r[0] for r in df.select(text.language_hint(F.col("t"), F.col("d"), ["eng", "deu"])).collect()] == [["deu", "deu"], ["eng", "deu"], ["eng", "deu"]]
 
 
-def test_table_cells():
-    assert assembly.parse_grid("<table><tr><td>A</td><td>B</td><td>C</td></tr><tr><td>1</td></tr></table>") == [["A", "B", "C"], ["1", "", ""]]
-    assert assembly.parse_grid("<table><tr><th>H</th></tr><tr><td><b>x</b>  y &amp; z</td></tr></table>") == [["H"], ["x y & z"]]
-    for broken in ("", "<table></table>", "<table><tr><td>", None):
-        assert assembly.parse_grid(broken) == []
+TABLES = {
+    "<table><tr><td>A</td><td>B</td><td>C</td></tr><tr><td>1</td></tr></table>": [["A", "B", "C"], ["1", "", ""]],
+    "<table><tr><th>H</th></tr><tr><td><b>x</b>  y &amp; z</td></tr></table>": [["H"], ["x y & z"]],
+    "<TABLE><TR><TD title='a > b'>x<br/>y &lt;&#x1F600;&#65;&nbsp;&nope; &amp</TD></TR><tr><td> </td></tr></TABLE>": [["xy <\U0001f600A &nope; &amp"]],
+    "<table><tr><td>a</td><td>b</td></tr><!-- <td>no</td> --><tr><td>lost": [["a", "b"]],
+    "<table><tr><td>out<table><tr><td>in</td></tr></table></td></tr></table>": [["in"]],
+    "<tr><td>1 < 2</td></tr>": [["1 < 2"]],
+    "": [],
+    "<table></table>": [],
+    "<table><tr><td>": [],
+    None: [],
+}
+
+
+def test_table_cells(spark):
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(TABLES)], "i int, html string")
+    got = {r.i: r.g for r in df.select("i", assembly.table_grid(F.col("html")).alias("g")).collect()}
+    assert [got[i] for i in range(len(TABLES))] == list(TABLES.values())
+
+
+def test_tables_go_to_the_region_they_overlap_most(spark):
+    regions = spark.createDataFrame([(1, 0, "table", 0, 0, 10, 10), (1, 1, "table", 20, 0, 30, 10), (1, 2, "column", 0, 0, 99, 99), (2, 0, "column", 0, 0, 9, 9)], "doc_id long, region_id int, kind string, x0 int, y0 int, x1 int, y1 int")
+    rows = [(1, 0, "off", 50, 50, 60, 60), (1, 1, "first", 0, 0, 12, 10), (1, 2, "late", 2, 0, 12, 10), (1, 3, "", 20, 0, 30, 10), (1, 4, "off too", 70, 70, 80, 80), (2, 0, "no region", 0, 0, 9, 9)]
+    tables = spark.createDataFrame(rows, "doc_id long, table_id int, html string, x0 int, y0 int, x1 int, y1 int")
+    assert {(r.doc_id, r.region_id): r.html for r in assembly.attach_tables(regions, tables).collect()} == {(1, 0): "late", (1, 1): "off too"}
 
 
 def test_graft_needs_equal_counts(spark):
@@ -186,19 +208,28 @@ def test_recognizer_failures_yield_no_words(spark):
         recognizers.build("none")
 
 
-def test_config(tmp_path):
-    assert config.load_config() == config.Config()
-    path = tmp_path / "c.yaml"
-    path.write_text('{"engine": {"primary": "x"}, "languages": ["eng"]}')
-    got = config.load_config(str(path))
-    assert got.engine.primary == "x" and got.engine.low_confidence_word_threshold == 60.0 and got.languages == ["eng"]
+def test_settings(spark, tmp_path):
+    assert settings.load() == {name: s.default for name, s in settings.SETTINGS.items()}
+    for s in settings.SETTINGS.values():
+        own = inspect.signature(s.operator).parameters[s.parameter].default
+        assert own == s.default or own is inspect.Parameter.empty
+    path = tmp_path / "own.yaml"
+    path.write_text('{"pages": {"longest_side": 1000}, "regions.low_fraction": 0.5}')
+    got = settings.load(str(path))
+    assert got["pages.longest_side"] == 1000 and got["regions.low_fraction"] == 0.5 and got["languages"] == ["eng", "deu", "fra"]
+    page = spark.createDataFrame([(2000, 500)], "width int, height int")
+    assert settings.bound(geometry.page_scale, got)(page).first().scale == 0.5
+    assert settings.bound(layout.reading_order, got) is layout.reading_order
+    path.write_text("")
+    assert settings.load(str(path)) == settings.load()
+    path.write_text('{"pages": {"longest": 1}}')
     with pytest.raises(ValueError):
-        config.with_overrides(config.Config(), {"engine": {"nope": 1}})
+        settings.load(str(path))
     with pytest.raises(FileNotFoundError):
-        config.load_config(str(tmp_path / "missing.yaml"))
+        settings.load(str(tmp_path / "missing.yaml"))
 
 
-@settings(max_examples=15, deadline=None)
+@hypothesis.settings(max_examples=15, deadline=None)
 @given(st.lists(st.text("abc", min_size=1, max_size=6), min_size=1, max_size=8), st.integers(1, 500))
 def test_split_boxes_stay_in_line(spark, words, width):
     got = split(spark, " ".join(words), (7, 0, 7 + width, 9))

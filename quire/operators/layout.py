@@ -23,23 +23,31 @@ def sound_boxes(df: DataFrame) -> DataFrame:
     return df.where("x1 > x0 AND y1 > y0")
 
 
+def page_boxes(regions: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, boxes): the sound regions of each page as one array in order of region_id."""
+    return sound_boxes(regions).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("region_id", "x0", "y0", "x1", "y1", *more))).alias("boxes"))
+
+
+#: Regions of ``boxes`` that hold the centre of the row's box, and the area that the box shares with each.
+_INSIDE = f"filter(boxes, r -> {contains('r', 'w')})".replace("w.", "")
+_SHARED = f"filter(transform(boxes, r -> struct(-({overlap_area('r', 'w')}) AS far, r.region_id AS region_id)), s -> s.far < 0)".replace("w.", "")
+
+
 def assign_words(words: DataFrame, regions: DataFrame) -> DataFrame:
-    """(doc_id, word_id, region_id, method): the first region that holds the word's centre, else the one of greatest overlap.
+    """``words`` with region_id and method: the first region that holds the word's centre, else the one of greatest overlap.
 
-    The page is the key of the join, the boxes its residue, and one aggregate picks the region; words
-    that meet no region are left out.
+    The regions of a page come as one array, so each word meets them within its row: nothing is
+    multiplied or grouped, and the partitioning of the words stays.  Words that meet no region are left out.
     """
-    pairs = words.alias("w").join(sound_boxes(regions).alias("r"), F.col("w.doc_id") == F.col("r.doc_id"))
-    inside, area = contains("r", "w"), overlap_area("r", "w")
-    ranked = pairs.where(f"{inside} OR {area} > 0").selectExpr("w.doc_id AS doc_id", "w.word_id AS word_id", f"struct(NOT {inside} AS far, CASE WHEN {inside} THEN 0 ELSE -({area}) END AS rank, r.region_id AS region_id) AS k")
-    best = ranked.groupBy("doc_id", "word_id").agg(F.min("k").alias("k"))
-    return best.selectExpr("doc_id", "word_id", "k.region_id AS region_id", "CASE WHEN k.far THEN 'overlap' ELSE 'contains' END AS method")
+    near = words.join(page_boxes(regions), "doc_id").withColumns({"_in": F.expr(f"get({_INSIDE}, 0).region_id"), "_near": F.expr(f"array_min({_SHARED}).region_id")})
+    found = near.where("_in IS NOT NULL OR _near IS NOT NULL")
+    return found.select(*words.columns, F.coalesce("_in", "_near").alias("region_id"), F.when(F.col("_in").isNull(), "overlap").otherwise("contains").alias("method"))
 
 
 def claim_words(words: DataFrame, regions: DataFrame) -> DataFrame:
-    """(doc_id, word_id, region_id): the first region, figures aside, that holds the word's centre."""
-    pairs = words.alias("w").join(sound_boxes(regions).where("kind <> 'figure'").alias("r"), F.col("w.doc_id") == F.col("r.doc_id"))
-    return pairs.where(contains("r", "w")).groupBy("w.doc_id", "w.word_id").agg(F.min("r.region_id").alias("region_id"))
+    """``words`` with region_id: the first region, figures aside, that holds the word's centre; null where none does."""
+    near = words.join(page_boxes(regions.where("kind <> 'figure'")), "doc_id", "left")
+    return near.select(*words.columns, F.expr(f"get({_INSIDE}, 0).region_id").alias("region_id"))
 
 
 def line_number_run(words: DataFrame, page_width: int, max_width_fraction: float = 0.12, min_run: int = 3, edge_tolerance_fraction: float = 0.015) -> DataFrame:

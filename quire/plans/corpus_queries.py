@@ -25,36 +25,33 @@ def longs(df: DataFrame, *columns: str) -> DataFrame:
 
 def assigned(documents: DataFrame) -> DataFrame:
     """Words of both engines with their region."""
-    w = derive.both_engines(documents)
-    return w.join(layout.assign_words(w, derive.regions(documents)).select("doc_id", "word_id", "region_id", "method"), ["doc_id", "word_id"])
+    return layout.assign_words(derive.both_engines(documents), derive.regions(documents))
 
 
-def reconciled(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(words with region and the winner's confidence c, reconciliation by region)."""
-    a = assigned(documents)
-    rec = assembly.reconcile(a, ["doc_id", "region_id"])
-    won = a.join(rec.select("doc_id", "region_id", "winner"), ["doc_id", "region_id"]).withColumn("c", F.when(F.col("winner") == "secondary", F.col("confidence2")).otherwise(F.col("confidence")))
-    return won, rec
+def region_records(documents: DataFrame, low: float = LOW, with_text: bool = False) -> DataFrame:
+    """One quality record per region; figures are skipped and have no confidence.
 
-
-def region_records(documents: DataFrame, low: float = LOW) -> DataFrame:
-    """One quality record per region; figures are skipped and have no confidence."""
-    won, rec = reconciled(documents)
-    regions = derive.regions(documents)
-    conf = quality.region_confidence(won, regions, "c", low)
-    r = regions.select("doc_id", "region_id", "kind").join(conf, ["doc_id", "region_id"]).join(rec.select("doc_id", "region_id", "winner"), ["doc_id", "region_id"], "left")
-    skipped = F.col("kind") == "figure"
-    blank = lambda c, v=None: F.when(skipped, None).otherwise(F.col(c) if v is None else F.coalesce(c, F.lit(v)))
-    return r.select("doc_id", "region_id", "kind", blank("winner", "primary").alias("winner"), blank("mean").alias("mean"), blank("lowest").alias("lowest"), "n_words", blank("low_fraction").alias("low_fraction"), skipped.alias("skipped"))
-
-
-def page_records(documents: DataFrame) -> DataFrame:
-    """One quality record per page."""
-    r = region_records(documents)
+    Words are derived and assigned once; the records of a page meet its regions in one row.
+    """
+    text = ["text"] * with_text
+    stats = quality.reconciled_regions(assigned(documents), low, with_text)
+    per_page = stats.groupBy("doc_id").agg(F.collect_list(F.struct("region_id", "n", "winner", "mean", "lowest", "low_fraction", *text)).alias("stats"))
+    pages = layout.page_boxes(derive.regions(documents), "kind").join(per_page, "doc_id", "left")
+    own = F.transform("boxes", lambda b: F.struct(b["region_id"].alias("region_id"), b["kind"].alias("kind"), F.get(F.filter("stats", lambda s: s["region_id"] == b["region_id"]), F.lit(0)).alias("s")))
+    skipped = F.col("r.kind") == "figure"
+    value = lambda c, none: F.when(~skipped, F.coalesce(F.col(f"r.s.{c}"), F.lit(none))).alias(c)
+    return pages.select("doc_id", F.explode(own).alias("r")).select("doc_id", "r.region_id", "r.kind", value("winner", "primary"), value("mean", 0.0), value("lowest", 0.0), F.coalesce("r.s.n", F.lit(0)).cast("long").alias("n_words"), value("low_fraction", 1.0), skipped.alias("skipped"), *[F.col("r.s.text")] * with_text)
+
+
+def page_records(documents: DataFrame, with_text: bool = False) -> DataFrame:
+    """One quality record per page, with what files sum up: regions, their confidence, and wins by engine."""
+    r = region_records(documents, with_text=with_text)
     margin = F.bool_or((F.col("kind") == "margin_numbers") & (F.col("n_words") > 0))
     low = ~F.col("skipped") & (F.col("n_words") > 0) & (F.col("low_fraction") >= 0.15)
     layout_kind = F.when(margin, "two_column_margin").when(F.count_if(F.col("n_words") > 0) <= 1, "single_column").otherwise("other")
-    pages = r.groupBy("doc_id").agg(layout_kind.alias("layout_type"), F.count(F.lit(1)).alias("n_regions"), F.sum("n_words").alias("n_words"), F.bool_or(F.coalesce(low, F.lit(False))).alias("flagged"), F.avg("mean").alias("mean_confidence"))
+    wins = [F.count_if(F.col("winner") == e).alias(f"wins_{e}") for e in quality.ENGINES]
+    text = [F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("region_id", "text")))), lambda x: x["text"]), "\n").alias("text")] if with_text else []
+    pages = r.groupBy("doc_id").agg(layout_kind.alias("layout_type"), F.count(F.lit(1)).alias("n_regions"), F.sum("n_words").alias("n_words"), F.bool_or(F.coalesce(low, F.lit(False))).alias("flagged"), F.avg("mean").alias("mean_confidence"), F.sum("mean").alias("mean_sum"), F.count("mean").alias("mean_count"), *wins, *text)
     hint = F.array_join(F.sort_array(T.language_hint(F.lit("long enough"), F.array(F.struct(F.col("lang").alias("lang"), F.lit(1.0).alias("prob"))), KNOWN)), ",")
     return pages.join(documents.select("doc_id", "lang", "source", hint.alias("languages")), "doc_id")
 
@@ -186,19 +183,36 @@ fileqc AS (SELECT o.source, count(*) AS n_pages, any_value(l.languages) AS langu
   FROM ord o JOIN langs l USING (source) JOIN wins w USING (source) JOIN means m USING (source) GROUP BY o.source)"""
 
 
+ORDINAL_SPAN = 10_000
+
+
+def ordinals(documents: DataFrame) -> DataFrame:
+    """(doc_id, ordinal): the place of each page in its file, by id.
+
+    Ids are cut into spans; a window numbers the pages within a span of a file, and another adds up the
+    sizes of the spans before it, of which a file has few.  So no task sees a whole file.
+    """
+    span = F.floor(F.col("doc_id") / ORDINAL_SPAN).alias("span")
+    ids = documents.select("doc_id", "source", span)
+    sizes = ids.groupBy("source", "span").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("source", "span").orderBy("doc_id")) - 1
+    return ids.withColumn("place", place).join(sizes.select("source", "span", before.alias("before")), ["source", "span"]).select("doc_id", (F.col("before") + F.col("place")).alias("ordinal"))
+
+
 def file_records(documents: DataFrame) -> DataFrame:
     """Quality of files; here a file is a source, and its pages are its documents by id.
 
-    The page ordinals need a window over the pages of one file; everything else combines before the shuffle.
+    Pages are recorded once and all sums combine before the shuffle; only the list of flagged pages,
+    which is part of the result, grows with a file.
     """
-    pages = page_records(documents).withColumn("ordinal", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1)
+    pages = page_records(documents).join(ordinals(documents), "doc_id")
     flags = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("flagged"), F.col("ordinal")))), lambda i: i.cast("string")), ",")
-    f = pages.withColumn("_langs", F.split("languages", ",")).groupBy("source").agg(
-        F.count(F.lit(1)).alias("n_pages"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("_langs")))), ",").alias("languages"), quality.sorted_set("layout_type").alias("layout_types"), flags.alias("flagged_pages"), F.bool_or("flagged").alias("flagged")
+    engines, wins = quality.engine_wins()
+    languages = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("languages", ","))))), ",")
+    return pages.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_pages"), languages.alias("languages"), quality.sorted_set("layout_type").alias("layout_types"), flags.alias("flagged_pages"), F.bool_or("flagged").alias("flagged"), engines.alias("engines_used"), wins.alias("wins"), F.round(F.sum("mean_sum") / F.sum("mean_count"), 6).alias("mean_confidence")
     )
-    regions = region_records(documents).join(documents.select("doc_id", "source"), "doc_id")
-    stats = regions.groupBy("source").agg(quality.sorted_set("winner").alias("engines_used"), F.round(F.avg("mean"), 6).alias("mean_confidence"))
-    return f.join(stats, "source").join(quality.win_counts(regions, ["source"]), "source")
 
 
 @query(f"WITH {FILE_QC} SELECT source, n_pages::BIGINT AS n_pages, languages, layout_types, engines_used, wins, flagged_pages, flagged, mean_confidence FROM fileqc")
@@ -215,11 +229,11 @@ curwins AS (SELECT string_agg(winner || ':' || n, ',' ORDER BY winner) AS wins F
 def current_quality(documents: DataFrame) -> DataFrame:
     """One row: files by route, and mean confidence and wins of the recognized ones."""
     routes = file_sanity(documents).selectExpr("doc_id", f"{ROUTE} AS route")
-    pages = page_records(documents).join(routes, "doc_id")
+    ocr = F.col("route") == "ocr"
+    pages = page_records(documents).join(routes, "doc_id").withColumns({f"wins_{e}": F.when(ocr, F.col(f"wins_{e}")).otherwise(0) for e in quality.ENGINES})
     is_ = lambda r: F.count_if(F.col("route") == r).alias(f"{r}_count")
-    one = pages.agg(is_("passthrough"), is_("skip_text"), is_("ocr"), F.round(F.avg(F.when(F.col("route") == "ocr", F.col("mean_confidence"))), 6).alias("mean_confidence"))
-    wins = quality.win_counts(region_records(documents).join(routes.where("route = 'ocr'"), "doc_id", "left_semi").withColumn("one", F.lit(1)), ["one"])
-    return one.withColumn("one", F.lit(1)).join(wins, "one", "left").drop("one")
+    wins = quality.engine_wins()[1]
+    return pages.agg(is_("passthrough"), is_("skip_text"), is_("ocr"), F.round(F.avg(F.when(ocr, F.col("mean_confidence"))), 6).alias("mean_confidence"), F.nullif(wins, F.lit("")).alias("wins"))
 
 
 @query(f"WITH {QC_CURRENT} SELECT cur.*, curwins.wins FROM cur, curwins")

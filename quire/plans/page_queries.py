@@ -10,30 +10,41 @@ from ..functions import text as T
 from ..operators import assembly, layout, splitting
 from ..schema import LABEL_KINDS, PAGE_HEIGHT, PAGE_WIDTH
 from . import derive
-from .corpus_queries import assigned, docs, longs, page_records, reconciled
+from .corpus_queries import assigned, docs, longs, page_records
 from .registry import ASSIGNED, RECONCILED, REGIONS, WORDS, he, query
 
 
-@query(f"WITH {ASSIGNED} SELECT doc_id, word_id::BIGINT AS word_id, region_id::BIGINT AS region_id, CASE WHEN inside THEN 'contains' ELSE 'overlap' END AS method FROM asg")
+MET = f"""{WORDS}, {REGIONS}, met AS (SELECT doc_id, word_id, region_id, x0 + x1 BETWEEN 2 * rx0 AND 2 * rx1 AND y0 + y1 BETWEEN 2 * ry0 AND 2 * ry1 AS inside,
+ greatest(0, least(x1, rx1) - greatest(x0, rx0)) * greatest(0, least(y1, ry1) - greatest(y0, ry0)) AS area FROM words, kinds)"""
+
+
+@query(f"""WITH {MET} SELECT doc_id, word_id::BIGINT AS word_id, coalesce(min(region_id) FILTER (WHERE inside), (min({{'far': -area, 'id': region_id}}) FILTER (WHERE area > 0)).id)::BIGINT AS region_id,
+CASE WHEN bool_or(inside) THEN 'contains' ELSE 'overlap' END AS method FROM met GROUP BY doc_id, word_id HAVING bool_or(inside OR area > 0)""")
 def region_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir)
-    return longs(layout.assign_words(derive.words(d), derive.regions(d)))
+    return longs(layout.assign_words(derive.words(d), derive.regions(d)).select("doc_id", "word_id", "region_id", "method"))
 
 
 CLAIMED = f"{WORDS}, {REGIONS}, claimed AS (SELECT doc_id, word_id, min(region_id) AS region_id FROM words w, kinds k WHERE kind <> 'figure' AND x0 + x1 BETWEEN 2 * rx0 AND 2 * rx1 AND y0 + y1 BETWEEN 2 * ry0 AND 2 * ry1 GROUP BY doc_id, word_id)"
 
 
+def claimed(d: DataFrame) -> DataFrame:
+    """Words with the region that claims them, null where none does."""
+    return layout.claim_words(derive.words(d), derive.regions(d))
+
+
 @query(f"WITH {CLAIMED} SELECT doc_id, word_id::BIGINT AS word_id, region_id::BIGINT AS region_id FROM claimed")
 def region_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir)
-    return longs(layout.claim_words(derive.words(d), derive.regions(d)))
+    return longs(claimed(docs(spark, sf_dir)).where("region_id IS NOT NULL").select("doc_id", "word_id", "region_id"))
+
 
+#: No region but figures holds the centre; fixed boxes of the derived page, doubled.
+_HELD = " OR ".join(f"(x0 + x1 BETWEEN {2 * x0} AND {2 * x1} AND y0 + y1 BETWEEN {2 * y0} AND {2 * y1})" for _, kind, x0, y0, x1, y1 in derive.PAGE_REGIONS if kind != "figure")
 
-@query(f"WITH {CLAIMED} SELECT doc_id, word_id::BIGINT AS word_id, text FROM words w ANTI JOIN claimed c USING (doc_id, word_id)")
+
+@query(f"WITH {WORDS} SELECT doc_id, word_id::BIGINT AS word_id, text FROM words WHERE NOT ({_HELD})")
 def unclaimed_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir)
-    w = derive.words(d)
-    return longs(w.join(layout.claim_words(w, derive.regions(d)), ["doc_id", "word_id"], "left_anti").select("doc_id", "word_id", "text"))
+    return longs(claimed(docs(spark, sf_dir)).where("region_id IS NULL").select("doc_id", "word_id", "text"))
 
 
 @query(f"WITH {WORDS} SELECT doc_id, word_id::BIGINT AS word_id, (x0 - 200)::BIGINT AS x0, (y0 - 200)::BIGINT AS y0, (x1 - 200)::BIGINT AS x1, (y1 - 200)::BIGINT AS y1 FROM words")
@@ -234,13 +245,12 @@ def parsed(d: DataFrame) -> DataFrame:
     Sound regions claim words in order, the margin run is taken out page-wide, regions without words
     go unless they are figures, and words that nothing claimed form a last region.
     """
-    w, regions = derive.words(d), derive.regions(d)
-    claimed = layout.claim_words(w, regions)
     run = layout.line_number_run(derive.margin_words(d), PAGE_WIDTH).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words")).select("doc_id", F.lit(0).alias("bucket"), F.lit(-1).alias("region_id"), F.lit("margin_numbers").alias("kind"), "n_words")
-    counts = claimed.groupBy("doc_id", "region_id").agg(F.count(F.lit(1)).alias("n"))
-    body = regions.join(counts, ["doc_id", "region_id"], "left").where("n > 0 OR kind = 'figure'").select("doc_id", F.lit(1).alias("bucket"), "region_id", "kind", F.coalesce("n", F.lit(0)).cast("long").alias("n_words"))
-    rest = w.join(claimed, ["doc_id", "word_id"], "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words")).select("doc_id", F.lit(2).alias("bucket"), F.lit(99).alias("region_id"), F.lit("other").alias("kind"), "n_words")
-    return layout.reading_order(run.unionByName(body).unionByName(rest))
+    counts = claimed(d).groupBy("doc_id", F.coalesce("region_id", F.lit(99)).alias("region_id")).agg(F.count(F.lit(1)).alias("n_words"))
+    regions = derive.regions(d).select("doc_id", "region_id", "kind")
+    every = regions.join(counts, ["doc_id", "region_id"], "full_outer").withColumn("kind", F.coalesce("kind", F.lit("other")))
+    body = every.where("n_words > 0 OR kind = 'figure'").select("doc_id", F.when(F.col("region_id") == 99, 2).otherwise(1).alias("bucket"), "region_id", "kind", F.coalesce("n_words", F.lit(0)).cast("long").alias("n_words"))
+    return layout.reading_order(run.unionByName(body))
 
 
 @query(f"WITH {PARSED} SELECT doc_id, order_index::BIGINT AS order_index, region_id::BIGINT AS region_id, kind FROM ordered")
@@ -269,7 +279,7 @@ def otsu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {RECONCILED} SELECT doc_id, region_id::BIGINT AS region_id, n::BIGINT AS n, mean1, mean2, winner FROM rec")
 def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(reconciled(docs(spark, sf_dir))[1])
+    return longs(assembly.reconcile(assigned(docs(spark, sf_dir)), ["doc_id", "region_id"]))
 
 
 HOCR = f"""{ASSIGNED}, ln AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, region_id ORDER BY y0) - 1 AS line_id FROM asg),
@@ -284,8 +294,8 @@ rg AS (SELECT r.doc_id, r.region_id, '<div class=''ocr_carea'' id=''block_1_' ||
 def hocr_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positioned markup of every page, as its hash; ``assembly.hocr_pages`` has the markup."""
     d = docs(spark, sf_dir)
-    lines = assembly.group_lines(assigned(d), ["doc_id", "region_id"])
-    pages = assembly.hocr_pages(assembly.hocr_regions(lines, derive.regions(d).drop("kind")), PAGE_WIDTH, PAGE_HEIGHT)
+    lines = assembly.group_lines(assigned(d).select("doc_id", "region_id", "word_id", "text", "x0", "y0", "x1", "y1", "confidence"), ["doc_id", "region_id"])
+    pages = assembly.hocr_pages(lines, derive.regions(d), PAGE_WIDTH, PAGE_HEIGHT)
     return pages.select("doc_id", F.sha2("hocr", 256).alias("hocr_sha256"))
 
 
@@ -352,11 +362,9 @@ SELECT doc_id, ca::BIGINT AS chars_a, coalesce(cb, 0)::BIGINT AS chars_b, ma AS
 def ab_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two layouts head to head: all regions, and one without margin, table and figure."""
     d = docs(spark, sf_dir)
-    w = derive.words(d)
     n = F.sum(F.length("text"))
     a = assigned(d).groupBy("doc_id").agg(n.alias("chars_a"), F.bool_or(F.col("region_id") == 0).alias("margin_lost"))
-    claimed = layout.claim_words(w, derive.regions(d).where("kind NOT IN ('margin_numbers', 'table')"))
-    b = w.join(claimed, ["doc_id", "word_id"]).groupBy("doc_id").agg(n.alias("chars_b"))
+    b = layout.claim_words(derive.words(d), derive.regions(d).where("kind NOT IN ('margin_numbers', 'table')")).where("region_id IS NOT NULL").groupBy("doc_id").agg(n.alias("chars_b"))
     j = a.join(b, "doc_id", "left").withColumn("chars_b", F.coalesce("chars_b", F.lit(0)).cast("long"))
     return j.withColumn("verdict", F.when(F.col("chars_b") > F.col("chars_a") * 1.05, "more").when(F.col("chars_b") < F.col("chars_a") * 0.95, "less").otherwise("same"))
 
@@ -391,5 +399,4 @@ SELECT doc_id, layout_type, languages, n_words::BIGINT AS n_words, flagged, roun
 def page_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks, words, regions, reconciliation, quality and text of every page."""
     d = docs(spark, sf_dir)
-    text = assembly.page_text(assembly.region_texts(reconciled(d)[0]))
-    return page_records(d).join(text, "doc_id", "left").select("doc_id", "layout_type", "languages", "n_words", "flagged", F.round("mean_confidence", 6).alias("mean_confidence"), F.coalesce("text", F.lit("")).alias("text"))
+    return page_records(d, with_text=True).select("doc_id", "layout_type", "languages", "n_words", "flagged", F.round("mean_confidence", 6).alias("mean_confidence"), "text")

@@ -39,8 +39,18 @@ def fold(events: DataFrame, key: str = "file_id") -> DataFrame:
 
 
 def with_ids(files: DataFrame, key: str = "file_id") -> DataFrame:
-    """Row numbers by time of creation."""
-    return files.withColumn("id", F.row_number().over(Window.orderBy("created_at", key)).cast("long"))
+    """Row numbers by time of creation.
+
+    Files are numbered within the minute of their creation, and minutes by the files before them: the
+    only window over all is one row per minute, summed up before.
+    """
+    minute = F.date_trunc("minute", F.col("created_at").cast("timestamp")).alias("_minute")
+    timed = files.withColumn("_minute", minute)
+    per = timed.groupBy("_minute").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("_minute").orderBy("created_at", key))
+    numbered = timed.withColumn("_place", place).join(per.select("_minute", before.alias("_before")), "_minute")
+    return numbered.withColumn("id", (F.col("_before") + F.col("_place")).cast("long")).drop("_minute", "_place", "_before")
 
 
 def latest(events: DataFrame, key: str = "file_id") -> DataFrame:
@@ -48,9 +58,10 @@ def latest(events: DataFrame, key: str = "file_id") -> DataFrame:
     return events.groupBy(key).agg(F.max(F.struct("ts", "event_id", "op", "content_hash")).alias("e")).select(key, "e.*")
 
 
-def enqueue(files: DataFrame, batch: DataFrame, now: Column, key: str = "file_id") -> DataFrame:
-    """The ledger after enqueueing a batch (key, content_hash)."""
-    new = batch.select(key, F.col("content_hash").alias("_new"))
+def enqueue(files: DataFrame, batch: DataFrame, now: str, key: str = "file_id") -> DataFrame:
+    """The ledger after enqueueing a batch (key, content_hash, and its time in the column ``now``)."""
+    new = batch.select(key, F.col("content_hash").alias("_new"), F.col(now).alias("_now"))
+    now = F.col("_now")
     j = files.join(new, key, "full_outer")
     same = F.col("content_hash").eqNullSafe(F.col("_new")) & F.col("status").isin(*STABLE_STATUSES)
     stays = F.col("_new").isNull() | F.coalesce(same, F.lit(False))

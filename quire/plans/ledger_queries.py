@@ -84,8 +84,8 @@ def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT file_id, CASE WHEN stays THEN status ELSE 'queued' END AS status, CASE WHEN stays THEN content_hash ELSE new END AS content_hash, coalesce(flagged, false) AS flagged, CASE WHEN stays THEN error END AS error,
  coalesce(created_at, now) AS created_at, CASE WHEN stays THEN updated_at ELSE now END AS updated_at FROM j, present""")
 def ledger_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    now = derive.read(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
-    return ledger.enqueue(files(spark, sf_dir).drop("id"), batch(spark, sf_dir), F.lit(now).cast("timestamp_ntz"))
+    new = with_now(batch(spark, sf_dir), spark, sf_dir)
+    return ledger.enqueue(files(spark, sf_dir).drop("id"), new, "now")
 
 
 @query(f"WITH {LEDGER}, {BATCH} SELECT b.file_id, b.content_hash, l.status FROM batch b LEFT JOIN led l USING (file_id) WHERE l.status IS NULL OR l.content_hash <> b.content_hash OR l.status NOT IN ('done', 'flagged')")

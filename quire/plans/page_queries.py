@@ -216,17 +216,27 @@ def word_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(splitting.split_lines(lines, ["item_id"]).select("item_id", "tok_no", "text", "x0", "x1"))
 
 
-LINED = f"{WORDS}, lined AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY y0) - 1 AS line_id FROM words)"
+LINED = f"""RECURSIVE {WORDS}, jit AS (SELECT doc_id, word_id, text, x0, x1, y0 + word_id * 7 % 5 AS y0, y1 + word_id * 7 % 5 AS y1 FROM words),
+tops AS (SELECT doc_id, y0, greatest(4.0, 0.6 * arg_min(y1 - y0, (x0, word_id))) AS reach FROM jit GROUP BY doc_id, y0),
+st(doc_id, top, reach, line_id) AS (SELECT doc_id, min(y0), arg_min(reach, y0), 0 FROM tops GROUP BY doc_id
+ UNION ALL SELECT s.doc_id, min(t.y0), arg_min(t.reach, t.y0), any_value(s.line_id) + 1 FROM st s JOIN tops t ON t.doc_id = s.doc_id AND t.y0 > s.top + s.reach GROUP BY s.doc_id),
+lined AS (SELECT j.*, s.line_id FROM jit j ASOF JOIN st s ON j.doc_id = s.doc_id AND j.y0 >= s.top)"""
+
+
+def uneven_words(d: DataFrame) -> DataFrame:
+    """Words whose tops differ by up to four pixels within a line."""
+    move = F.expr("CAST(word_id * 7 % 5 AS INT)")
+    return G.shifted(derive.words(d).select("doc_id", "word_id", "text", "x0", "y0", "x1", "y1"), F.lit(0), move)
 
 
 @query(f"WITH {LINED} SELECT doc_id, word_id::BIGINT AS word_id, line_id::BIGINT AS line_id FROM lined")
 def line_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(assembly.group_lines(derive.words(docs(spark, sf_dir)), ["doc_id"]).select("doc_id", "word_id", "line_id"))
+    return longs(assembly.group_lines(uneven_words(docs(spark, sf_dir)), ["doc_id"]).select("doc_id", "word_id", "line_id"))
 
 
 @query(f"WITH {LINED} SELECT doc_id, line_id::BIGINT AS line_id, min(x0)::BIGINT AS x0, min(y0)::BIGINT AS y0, max(x1)::BIGINT AS x1, max(y1)::BIGINT AS y1, count(*)::BIGINT AS n_words, string_agg(text, ' ' ORDER BY x0, word_id) AS text FROM lined GROUP BY doc_id, line_id")
 def line_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(assembly.line_boxes(assembly.group_lines(derive.words(docs(spark, sf_dir)), ["doc_id"]), ["doc_id"]))
+    return longs(assembly.line_boxes(assembly.group_lines(uneven_words(docs(spark, sf_dir)), ["doc_id"]), ["doc_id"]))
 
 
 #: Regions of a page in the order of the model: margin run first, claimed regions, trailing words last.

@@ -1,62 +1,50 @@
 """Document fingerprints by consistent weighted sampling (operator 6), in DataFrame operations only.
 
 A document is the weighted set of its words, the weight being the count.  For each of ``SAMPLES``
-samples and each term, r and c are Gamma(2, 1) values and beta is uniform, all from a hash of term
-and sample; with t = floor(ln(weight) / r + beta) and ln a = ln c - r * (t - beta) - r, the sample is
-the (term, t) of least a.  Two documents agree on a sample with probability equal to the generalised
+samples and each term, r and c are Gamma(2, 1) values and beta is uniform, all from hashes of term and
+sample; with t = floor(ln(weight) / r + beta) and a = c * exp(-r * (t - beta) - r), the sample is the
+(term, t) of least a.  Two documents agree on a sample with probability equal to the generalised
 Jaccard similarity, sum of least over sum of greatest weights, and their likeness is the share of
-samples on which they agree.  Gamma values come from the inverse distribution function at ``GRID``
-equal steps, kept as literal arrays built by rule.
+samples on which they agree.
 
-Rows without an id have no place in the order and give no row.  A blank, empty or null text is one empty term.  Rows with equal id and text are one document, listed
-as often as they occur; rows with equal ids and other texts follow each other by a hash of the text.
+The variables come from four exponential ones, E = -ln u of uniform u: r = E3 + E2 with beta = E2 / r,
+where E3 = -ln(E1 / c), and c = E1 + E4.  A sum of two exponentials is Gamma(2, 1), and the share of one
+of them in it is uniform and independent of it, so r, c and beta have the distribution that the method
+asks for, tails included.  They reduce a to E1 * exp(-r * t), with t = floor((ln(weight) + E2) / r), which
+is E1 alone for a term that occurs once: there the order of a is the order of the hash bits.
+
+Uniforms have 31 bits.  The sample is kept as one number, exp(-a) in 31 bits above 32 bits of a hash of
+(term, t), of which the greatest wins; ties in the upper bits go to the greater hash.
+
+Documents follow each other by id, rows without an id after all others, and by a hash of the text
+where ids are equal.  A blank, empty or null text is one empty term.  Rows with equal id and text are one
+document, listed as often as they occur.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import keep
 
 SAMPLES = 48
-GRID = 1024
 PART_BYTES = 4_000_000
 WORD_GAP = r"[\x20\x09-\x0D]+"
 _HEX = 4  # digits of each sample in the fingerprint
 
 
-def gamma2_quantile(q: float) -> float:
-    """Inverse of 1 - (1 + x) exp(-x)."""
-    lo, hi = 0.0, 60.0
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if 1 - (1 + mid) * math.exp(-mid) < q else (lo, mid)
-    return lo
-
-
-GAMMA = [gamma2_quantile((i + 0.5) / GRID) for i in range(GRID)]
-
-
-def _literal(values: list[float]) -> str:
-    """One string literal that the optimizer folds into one array literal."""
-    return "cast(split('" + ",".join(map(repr, values)) + "', ',') AS array<double>)"
-
-
 def sample(k: int) -> Column:
-    """The k-th sample of a term as one number that orders by a: ln a above, a hash of (term, t) below.
-
-    Uses the columns term, log_n, and the grids gamma and log_gamma.
-    """
+    """The k-th sample of a term as one number, of which the greatest wins.  Uses the columns term, n, log_n."""
     h = f"xxhash64(term, {k})"
-    r = f"get(gamma, int({h} & {GRID - 1}))"
-    beta = f"(double(shiftrightunsigned({h}, 20) & 1048575) / 1048576D)"
-    ln_c = f"get(log_gamma, int(shiftrightunsigned({h}, 10) & {GRID - 1}))"
-    t = f"floor(log_n / {r} + {beta})"
-    ln_a = f"({ln_c} - {r} * ({t} - {beta}) - {r})"
-    return F.expr(f"shiftleft(bigint(({ln_a} + 256D) * 1048576D), 32) | (bigint(hash({h}, {t})) & 4294967295L)")
+    g = f"xxhash64(term, {k}, 1)"
+    e = lambda bits: f"(-ln(({bits} + 0.5D) / 2147483648D))"
+    e1, e2, e4 = e(f"shiftrightunsigned({h}, 33)"), e(f"shiftrightunsigned({g}, 33)"), e(f"({g} & 2147483647L)")
+    r = f"({e2} + ln(({e1} + {e4}) / {e1}))"
+    t = f"floor((log_n + {e2}) / {r})"
+    upper = f"bigint(exp(-{e1} * exp(-{r} * {t})) * 2147483648D)"
+    once = f"(shiftleft(shiftrightunsigned({h}, 33), 32) | ({h} & 4294967295L))"
+    return F.expr(f"CASE WHEN n = 1 OR {t} = 0 THEN {once} ELSE shiftleft({upper}, 32) | (xxhash64({h}, {t}) & 4294967295L) END")
 
 
 def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -65,13 +53,10 @@ def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> D
     Where the rows are dealt by some of the keys already, nothing is shuffled.
     """
     words = texts.select(*keys, F.explode(F.split(F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r")), WORD_GAP)).alias("word"))
-    terms = words.select(*keys, F.xxhash64("word").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n")).select(*keys, "term", F.log("n").alias("log_n"))
-    # Depending on a row keeps the optimizer from copying the grids into every sample.
-    grids = [F.when(F.col("log_n") >= 0, F.expr(_literal(x))).alias(name) for name, x in (("gamma", GAMMA), ("log_gamma", [math.log(g) for g in GAMMA]))]
-    terms = terms.select(*keys, "term", "log_n", *grids)
-    mins = terms.groupBy(*keys).agg(*[F.min(sample(k)).alias(f"s{k}") for k in range(samples)])
+    terms = words.select(*keys, F.xxhash64("word").alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).alias("n")).select(*keys, "term", "n", F.log("n").alias("log_n"))
+    best = terms.groupBy(*keys).agg(*[F.max(sample(k)).alias(f"s{k}") for k in range(samples)])
     digits = F.concat(*[F.lpad(F.lower(F.hex(F.expr(f"s{k} & 65535"))), _HEX, "0") for k in range(samples)])
-    return mins.select(*keys, digits.alias("fingerprint"))
+    return best.select(*keys, digits.alias("fingerprint"))
 
 
 def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
@@ -81,22 +66,29 @@ def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
 
 
 def successors(ids: DataFrame) -> DataFrame:
-    """``ids`` with next_id, next_h: the row that follows in order of (doc_id, h), the first after the last.
+    """``ids`` with next_none, next_id, next_h: the row that follows in order of (none, id, h), the first after the last.
 
     Rows are dealt by ranges, once, and kept with the number of their range, which would differ if
     Spark dealt them again.  The window runs within a range, and only the first row of each range, one
     per partition, meets in one place.
     """
-    dealt = keep(ids.repartitionByRange("doc_id", "h").withColumn("part", F.spark_partition_id()), "ranges")
-    order = F.struct("doc_id", "h")
-    within = Window.partitionBy("part").orderBy("doc_id", "h")
+    key = ["none", "id", "h"]
+    dealt = keep(ids.repartitionByRange(*key).withColumn("part", F.spark_partition_id()), "ranges")
+    order = F.struct(*key)
+    within = Window.partitionBy("part").orderBy(*key)
     led = dealt.withColumn("following", F.lead(order).over(within))
     heads = dealt.groupBy("part").agg(F.min(order).alias("head"))
     every = Window.orderBy("part")
     ring = heads.select("part", F.coalesce(F.lead("head").over(every), F.min("head").over(Window.partitionBy())).alias("wrap"))
-    joined = led.join(ring, "part")
     after = F.coalesce("following", "wrap")
-    return joined.select(*ids.columns, after["doc_id"].alias("next_id"), after["h"].alias("next_h"))
+    return led.join(ring, "part").select(*ids.columns, *[after[k].alias(f"next_{k}") for k in key])
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(none, id, h, text): a key without nulls of each document, and its text."""
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(doc_id.isNull().alias("none"), F.coalesce(doc_id, F.lit(0)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.select("none", "id", F.xxhash64("text").alias("h"), "text")
 
 
 def fingerprint_pairs(docs: DataFrame) -> DataFrame:
@@ -105,29 +97,37 @@ def fingerprint_pairs(docs: DataFrame) -> DataFrame:
     Texts are shuffled once, by row, into parts of ``PART_BYTES``; the joins with the text that follows
     and with the text itself read that one exchange, and all aggregation keeps its partitioning.
     """
+    key = ["none", "id", "h"]
+    rows = keyed(docs)
     parts = -(-int(docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // PART_BYTES)
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    texts = rows.select("doc_id", "h", "text").repartition(max(least, parts), "doc_id", "h")
-    ids = rows.groupBy("doc_id", "h").agg(F.first(F.length("text")).cast("long").alias("n_chars"), F.count(F.lit(1)).alias("times"))
-    nexts = successors(ids)
-    donors = nexts.join(texts.select(F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"), "text"), ["next_id", "next_h"]).select("doc_id", "h", "n_chars", "times", "next_id", "next_h", F.expr("substring(text, 1, int(n_chars div 4))").alias("donor"))
-    both = texts.join(donors, ["doc_id", "h"])
-    if ids.agg(F.max("times")).first()[0] not in (None, 1):
-        both = both.dropDuplicates(["doc_id", "h"])
+    texts = rows.repartition(max(least, parts), *key)
+    ids = rows.groupBy(*key).agg(F.first(F.length("text")).cast("long").alias("n_chars"), F.count(F.lit(1)).alias("times"))
+    nexts = keep(successors(ids), "order")
+    repeated = bool(nexts.agg(F.max("times")).first()[0] not in (None, 1))
+    nxt = [f"next_{k}" for k in key]
+    donors = nexts.join(texts.select(*[F.col(k).alias(n) for k, n in zip(key, nxt, strict=True)], "text"), nxt).select(*key, "n_chars", "times", *nxt, F.expr("substring(text, 1, int(n_chars div 4))").alias("donor"))
+    if repeated:
+        donors = donors.dropDuplicates(key)
+    both = texts.join(donors, key)
+    if repeated:
+        both = both.dropDuplicates(key)
     edited = F.expr("concat(substring(text, 1, int(n_chars - n_chars div 4)), donor)")
-    info = both.select("doc_id", "h", "n_chars", "times", "next_id", "next_h", F.sha2(edited, 256).alias("edited_sha256"))
-    versions = both.select("doc_id", "h", F.explode(F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("text")), F.struct(F.lit(True).alias("is_edited"), edited.alias("text")))).alias("v"))
-    prints = fingerprints(versions.select("doc_id", "h", "v.is_edited", "v.text"), ["doc_id", "h", "is_edited"])
-    wide = prints.groupBy("doc_id", "h").agg(F.max(F.when(~F.col("is_edited"), F.col("fingerprint"))).alias("fingerprint"), F.max(F.when(F.col("is_edited"), F.col("fingerprint"))).alias("edited_fingerprint"))
-    return info.join(wide, ["doc_id", "h"])
+    info = both.select(*key, "n_chars", "times", *nxt, F.sha2(edited, 256).alias("edited_sha256"))
+    versions = both.select(*key, F.explode(F.array(F.struct(F.lit(False).alias("is_edited"), F.col("text").alias("text")), F.struct(F.lit(True).alias("is_edited"), edited.alias("text")))).alias("v"))
+    prints = fingerprints(versions.select(*key, "v.is_edited", "v.text"), [*key, "is_edited"])
+    of = lambda edited: F.max(F.when(F.col("is_edited") == edited, F.col("fingerprint")))
+    wide = prints.groupBy(*key).agg(of(False).alias("fingerprint"), of(True).alias("edited_fingerprint"))
+    return info.join(wide, key)
 
 
 def report(docs: DataFrame) -> DataFrame:
+    """Fingerprints and likenesses of every document, as often as its row occurs."""
     wide = keep(fingerprint_pairs(docs), "fingerprints")
-    following = wide.select(F.col("doc_id").alias("next_id"), F.col("h").alias("next_h"), F.col("fingerprint").alias("next_fingerprint"))
-    return (
-        wide.join(following, ["next_id", "next_h"])
-        .select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_copy"))
-        .drop("_copy")
-    )
+    key = ["next_none", "next_id", "next_h"]
+    following = wide.select(F.col("none").alias(key[0]), F.col("id").alias(key[1]), F.col("h").alias(key[2]), F.col("fingerprint").alias("next_fingerprint"))
+    own = wide.join(following, key).select(
+        F.when(~F.col("none"), F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        likeness("fingerprint", "edited_fingerprint").alias("near_edited"), likeness("fingerprint", "next_fingerprint").alias("near_next"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("_copy"),
+    )
+    return own.drop("_copy")

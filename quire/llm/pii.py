@@ -5,23 +5,32 @@ that the patterns miss: telephone numbers without a plus sign, spelt-out address
 numbers, and secrets.  It labels words by shape features of the word and its two neighbours, is
 trained on a small labelled table made by rule, and is decoded by Viterbi over batches of sequences.
 
-Words of letters and closing punctuation alone are plain, other words and cue words are marked.  A
-sequence is a maximal stretch of words no further than ``REACH`` from a marked one, in pieces of
-``LONGEST`` words at most; words outside are never personal data.  Of a run of words of one label, what
-lies outside base spans is split where an item is complete, so neighbours of one kind are spans of
-their own and base spans stay as they are.  A secret is also a value of ``SHORT`` bytes or more, with
-a letter and a digit or sign, behind a strong cue and ``=`` or ``:``.
-
-Null and empty texts have no spans.  Offsets are code points, ends exclusive.  Every pattern takes
-time in proportion to the text, however long a run of digits or letters is.
+Whole texts are decoded.  A word whose best label leads every other one by more than any labels of its
+neighbours can make up has that label in the best sequence; such words cut a text into runs that are
+decoded apart, with the transitions from and to the words around them, so the result is that of one
+Viterbi pass over the text.  Runs of a block advance together, the shorter ones dropping out.
+
+Of a run of words of one label, what lies outside base spans is split where an item is complete, so
+neighbours of one kind are spans of their own and base spans stay as they are.  Items that ``plausible``
+refuses are dropped: an email needs an ``@``, or a word ``at`` within it and a dot behind that, a card 13 to 19 digits, a phone 7 to 15, a
+secret 12 bytes and 2 digits; an ip is never added, as the base pattern finds all of four numbers.  A
+secret is also a value of ``SHORT`` bytes or more, with a letter and a digit or sign, behind a strong cue
+and ``=`` or ``:``.
+
+Null and empty texts have no spans; rows without an id, and repeated rows, are judged as any other.
+Offsets are code points, ends exclusive.  Every step takes time in proportion to the text, however long
+a run of digits or letters is and however many spans it has.  Equal costs of two cuts go to the item that
+begins earlier.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +41,6 @@ from . import blocks as B
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 LABELS = ("O", *KINDS)
-REACH, LONGEST = 3, 200
 
 _LOCAL = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(rb"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
@@ -69,7 +77,7 @@ def emails(t: bytes) -> Iterator[tuple[int, int]]:
 def base_spans(t: bytes) -> list[tuple[int, int, int]]:
     """(kind, start, end) in bytes, by kind and start."""
     out = [(0, s, e) for s, e in emails(t)] if b"@" in t else []
-    out += [(1, m.start(), m.end()) for m in _IP.finditer(t) if all(len(p.lstrip(b"0")) <= 3 and int(p) <= 255 for p in m[0].split(b"."))]
+    out += [(1, m.start(), m.end()) for m in _IP.finditer(t) if all(len(p) <= 3 and int(p or b"0") <= 255 for p in (x.lstrip(b"0") for x in m[0].split(b".")))]
     for m in _CARD.finditer(t):
         if m.end() - m.start() >= 13 and 13 <= len(d := digits(m[0])) <= 19 and luhn(d):
             out.append((2, m.start(), m.end()))
@@ -84,8 +92,8 @@ def base_spans(t: bytes) -> list[tuple[int, int, int]]:
 CUES = (
     "at", "dot", "tel", "phone", "call", "mobile", "fax", "mail", "email", "e-mail", "card", "visa", "token", "password", "passwd", "secret", "key", "api_key", "apikey", "api-key", "access_key", "bearer", "pwd", "ip", "=", ":", "(at)", "[at]", "(dot)", "[dot]", "com", "org", "net",
 )
-#: Cues that mark a word by themselves.
-STRONG = ("token", "password", "passwd", "secret", "api_key", "apikey", "api-key", "access_key", "bearer", "pwd", "dot", "(at)", "[at]", "(dot)", "[dot]")
+#: Cues that announce a secret; fixed values.
+STRONG = ("token", "password", "passwd", "secret", "api_key", "apikey", "api-key", "access_key", "bearer", "pwd")
 
 _CLASS = np.full(256, 9, np.uint8)
 for _chars, _n in ((b"abcdefghijklmnopqrstuvwxyz", 1), (b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2), (b"0123456789", 3), (b"@", 4), (b".", 5), (b"-", 6), (b"+", 7), (b"()[]{}", 8), (b"=", 10), (b"\"'`", 11), (b":", 12), (b"_/\\", 13), (b",;!?", 14)):
@@ -135,10 +143,6 @@ class Features:
         size_band = np.searchsorted([2, 4, 8, 12, 16, 20, 32, 40, 64], size, "right")
         signs = (count(kind == 4) > 0) + 2 * (count(kind == 5) > 1) + 4 * (count(kind == 6) > 0) + 8 * ((n_digit > 0) & (count(letter) > 0)) + 16 * (count(kind == 8) > 0) + 32 * (count((kind == 10) | (kind == 11)) > 0)
         self.ids = np.stack([shape.astype(np.int64), SHAPES + digit_band * 10 + size_band, SHAPES + 100 + cue, SHAPES + 101 + len(CUES) + signs], axis=1)
-        inside_letters = count(letter)
-        tail = np.isin(kind[b.end - 1], (5, 12, 14)) & (size > 1)
-        strong = np.isin(cue - 1, [CUES.index(c) for c in STRONG])
-        self.marked = (n_digit > 1) | (count(kind == 4) > 0) | strong | ((inside_letters + tail < size) & (count((kind == 10) | (kind == 8)) > 0) & (n_digit > 0))
 
 
 # ---------------------------------------------------------------- model
@@ -150,47 +154,65 @@ class Crf:
     def __init__(self, emit: np.ndarray, move: np.ndarray):
         self.emit, self.move = emit, move
 
-    def scores(self, ids: np.ndarray) -> np.ndarray:
-        """Emission scores of consecutive words; the first and last have one neighbour."""
-        k = len(LABELS)
-        each = self.emit[ids].sum(axis=1).reshape(len(ids), 3, k)
-        out = each[:, 0].copy()
-        out[1:] += each[:-1, 1]
-        out[:-1] += each[1:, 2]
+    def emissions(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Scores of the labels of words; ``first`` marks the words that begin a text."""
+        code = ids @ np.array([1, SHAPES, SHAPES * 100, SHAPES * 100 * (len(CUES) + 1)]) if len(ids) else np.zeros(0, np.int64)
+        _, index, inverse = np.unique(code, return_index=True, return_inverse=True)
+        each = self.emit[ids[index]].sum(axis=1).reshape(len(index), 3, len(LABELS))
+        out = each[inverse, 0]
+        inner = np.flatnonzero(~first)
+        out[inner] += each[inverse[inner - 1], 1]
+        out[inner - 1] += each[inverse[inner], 2]
         return out
 
-    def viterbi(self, emit: np.ndarray) -> np.ndarray:
-        """Best labels of a batch of sequences of one length: (sequences, steps, labels) -> (sequences, steps)."""
-        m, n, _ = emit.shape
-        best = emit[:, 0]
-        back = np.zeros((m, n, len(LABELS)), np.int8)
-        for i in range(1, n):
-            total = best[:, :, None] + self.move
-            back[:, i] = total.argmax(axis=1)
-            best = total.max(axis=1) + emit[:, i]
-        out = np.zeros((m, n), np.int8)
-        out[:, -1] = best.argmax(axis=1)
-        rows = np.arange(m)
-        for i in range(n - 1, 0, -1):
-            out[:, i - 1] = back[rows, i, out[:, i]]
+    def certain(self, emit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(best label by emission, whether it is the label in every best sequence) of words."""
+        m = self.move
+        least = np.zeros((len(LABELS), len(LABELS)))  # [y, z]: the lead over z with which y is certain
+        for y in range(len(LABELS)):
+            into, out = (m - m[:, y : y + 1]).max(axis=0), (m - m[y : y + 1]).max(axis=1)
+            least[y] = np.maximum(into, 0) + np.maximum(out, 0)
+        top = emit.argmax(axis=1)
+        lead = emit[np.arange(len(emit)), top][:, None] - emit - least[top]
+        lead[np.arange(len(emit)), top] = np.inf
+        return top, (lead > 1e-4).all(axis=1)
+
+    def viterbi(self, emit: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Best labels of the sequences emit[first : first + length], advancing together; others stay 0."""
+        out, back = np.zeros(len(emit), np.int8), np.zeros((len(emit), len(LABELS)), np.int8)
+        order = np.argsort(-length, kind="stable")
+        first, length = first[order], length[order]
+        steps = int(length[0]) if len(length) else 0
+        live = np.searchsorted(-length, -np.arange(steps), "left")  # sequences longer than i
+        best = emit[first]
+        for i in range(1, steps):
+            at = first[: live[i]] + i
+            total = best[: live[i], :, None] + self.move
+            back[at] = total.argmax(axis=1)
+            best[: live[i]] = total.max(axis=1) + emit[at]
+        out[first + length - 1] = best.argmax(axis=1)
+        for i in range(steps - 1, 0, -1):
+            at = first[: live[i]] + i
+            out[at - 1] = back[at, out[at]]
         return out
 
-    def decode(self, ids: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Labels of the words of sequences that lie one after another in ids."""
-        k = len(LABELS)
-        each = self.emit[ids].sum(axis=1).reshape(len(ids), 3, k)
-        emit = each[:, 0].copy()
-        joined = np.ones(len(ids), bool)
-        joined[first] = False
-        here = np.flatnonzero(joined)
-        emit[here] += each[here - 1, 1]
-        emit[here - 1] += each[here, 2]
-        out = np.zeros(len(ids), np.int8)
-        for n in np.unique(length):
-            own = first[length == n]
-            at = own[:, None] + np.arange(n)
-            out[at] = self.viterbi(emit[at])
-        return out
+    def decode(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """Best labels of the words of texts; ``first`` marks the words that begin a text."""
+        emit = self.emissions(ids, first)
+        top, sure = self.certain(emit)
+        open_ = np.flatnonzero(~sure)
+        if not len(open_):
+            return top.astype(np.int8)
+        new = np.concatenate([[True], (np.diff(open_) > 1) | first[open_[1:]]])
+        begin = open_[new]
+        length = np.diff(np.append(np.flatnonzero(new), len(open_)))
+        end = begin + length
+        left = begin[~first[begin]]
+        emit[left] += self.move[top[left - 1]]
+        right = end[(end < len(ids))]
+        right = right[~first[right]]
+        emit[right - 1] += self.move[:, top[right]].T
+        return np.where(sure, top, self.viterbi(emit, begin, length)).astype(np.int8)
 
 
 def labelled_rows(n: int = 1200, seed: int = 7) -> list[tuple[list[str], list[str]]]:
@@ -312,46 +334,32 @@ def fit(rows: list[tuple[list[str], list[str]]], steps: int = 60, ridge: float =
 _TRIM = b".,;:!?\"'`"
 
 
-def plausible(kind: int, text: bytes) -> bool:
-    """Limits that an added span of a kind keeps."""
-    n = sum(48 <= c <= 57 for c in text)
+def plausible(kind: int, size: int, n_digit: int, mail: bool) -> bool:
+    """Limits that an added span of a kind keeps: its bytes, its digits, and whether it reads as an address."""
     if kind == 0:
-        return b"@" in text or b"at" in text.lower()
-    if kind == 1:
-        return False
+        return mail
     if kind == 2:
-        return 13 <= n <= 19
+        return 13 <= n_digit <= 19
     if kind == 3:
-        return 7 <= n <= 15
-    return len(text) >= 12 and n >= 2
+        return 7 <= n_digit <= 15
+    return kind == 4 and size >= 12 and n_digit >= 2
 
 
 def labelled_runs(b: B.Block, model: Crf) -> Iterator[tuple[int, int, int, int]]:
     """(document, kind, first word, end word) of the runs of words that the CRF gives one label."""
-    f = Features(b)
-    marks = np.flatnonzero(f.marked)
-    if not len(marks):
-        return
-    near = np.zeros(len(b.start), bool)
-    for d in range(-REACH, REACH + 1):
-        at = marks + d
-        ok = (at >= 0) & (at < len(near))
-        ok[ok] &= b.doc[at[ok]] == b.doc[marks[ok]]
-        near[at[ok]] = True
-    words = np.flatnonzero(near)
-    start = np.concatenate([[True], (words[1:] != words[:-1] + 1) | (b.doc[words[1:]] != b.doc[words[:-1]])])
-    run = np.cumsum(start) - 1
-    place = np.arange(len(words)) - np.flatnonzero(start)[run]
-    start |= place % LONGEST == 0
-    first = np.flatnonzero(start)
-    label = model.decode(f.ids[words], first, np.diff(np.append(first, len(words))))
-    hit = np.flatnonzero(label)
-    if not len(hit):
+    if not len(b.start):
         return
-    new = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (label[hit[1:]] != label[hit[:-1]]) | (words[hit[1:]] != words[hit[:-1]] + 1) | (b.doc[words[hit[1:]]] != b.doc[words[hit[:-1]]])])
+    begins = np.concatenate([[True], b.doc[1:] != b.doc[:-1]])
+    label = model.decode(Features(b).ids, begins)
+    new = begins | np.concatenate([[True], label[1:] != label[:-1]])
     lo = np.flatnonzero(new)
-    for x, y in zip(lo, np.append(lo[1:], len(hit)), strict=True):
-        yield int(b.doc[words[hit[x]]]), int(label[hit[x]]) - 1, int(words[hit[x]]), int(words[hit[y - 1]]) + 1
+    hi = np.append(lo[1:], len(label))
+    for x, y in zip(lo[label[lo] > 0], hi[label[lo] > 0], strict=True):
+        yield int(b.doc[x]), int(label[x]) - 1, int(x), int(y)
+
+
+def sums(flags: list) -> list[int]:
+    return [0, *accumulate(map(int, flags))]
 
 
 def entities(kind: int, t: bytes, words: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -359,31 +367,32 @@ def entities(kind: int, t: bytes, words: list[tuple[int, int]]) -> Iterator[tupl
 
     The cheapest cut into plausible items: a word left out costs most, then an item that holds what
     opens another, a line break, or two words that are items by themselves; sizes near the usual win ties.
+    Counts of a stretch of words are differences of running sums.
     """
     n = len(words)
     text = [t[s:e] for s, e in words]
-    broken = [k > 0 and b"\n" in t[words[k - 1][1] : words[k][0]] for k in range(n)]
+    n_digit = sums([len(digits(x)) for x in text])
+    broken = sums([k > 0 and b"\n" in t[words[k - 1][1] : words[k][0]] for k in range(n)])
+    sign = [x.strip(b"()[]").lower() == b"at" for x in text]
+    at, signs, dots = sums([b"@" in x for x in text]), sums(sign), sums([x.strip(b"()[]").lower() == b"dot" or b"." in x.strip(_TRIM) for x in text])
+    mail = lambda i, j: at[j] > at[i] or (j > i + 2 and signs[j - 1] > signs[i + 1] and dots[j] > dots[i + 2])
     if kind == 0:
-        sign = [x.strip(b"()[]").lower() == b"at" for x in text]
-        alone = [sign[k] or b"@" in text[k] for k in range(n)]
-        opens = [b"@" in text[k] or (k + 1 < n and sign[k + 1]) for k in range(n)]
+        alone = sums([sign[k] or b"@" in text[k] for k in range(n)])
+        opens = sums([b"@" in text[k] or (k + 1 < n and sign[k + 1]) for k in range(n)])
     else:
-        alone = [plausible(kind, x) for x in text]
-        opens = [kind == 3 and (x[:1] == b"+" or (x[:1] == b"(" and (not k or text[k - 1][:1] != b"+"))) for k, x in enumerate(text)]
+        alone = sums([plausible(kind, len(x), len(digits(x)), False) for x in text])
+        opens = sums([kind == 3 and (x[:1] == b"+" or (x[:1] == b"(" and (not k or text[k - 1][:1] != b"+"))) for k, x in enumerate(text)])
+    head = [s + len(x) - len(x.lstrip(_TRIM)) for (s, _), x in zip(words, text, strict=True)]
+    tail = [e - len(x) + len(x.rstrip(_TRIM)) for (_, e), x in zip(words, text, strict=True)]
     best, back = [0.0], [(0, -1, -1)]
     for j in range(1, n + 1):
         cost, how = best[j - 1] + 20, (j - 1, -1, -1)
         for i in (*range(max(0, j - 20), j), *([0] if j == n > 20 else [])):
-            s, e = words[i][0], words[j - 1][1]
-            while s < e and t[s] in _TRIM:
-                s += 1
-            while e > s and t[e - 1] in _TRIM:
-                e -= 1
-            if not plausible(kind, t[s:e]):
+            s, e, size = head[i], tail[j - 1], n_digit[j] - n_digit[i]
+            if s >= e or not plausible(kind, e - s, size, kind == 0 and mail(i, j)):
                 continue
-            size = len(digits(t[s:e]))
             odd = 0.5 * (size not in (15, 16)) if kind == 2 else 0.01 * (size - 10) ** 2 if kind == 3 else 0
-            now = best[i] + 0.1 + odd + 3 * sum(broken[i + 1 : j]) + 2 * max(0, sum(alone[i:j]) - 1) + 10 * sum(opens[i + 1 : j])
+            now = best[i] + 0.1 + odd + 3 * (broken[j] - broken[i + 1]) + 2 * max(0, alone[j] - alone[i] - 1) + 10 * (opens[j] - opens[i + 1])
             if now < cost:
                 cost, how = now, (i, s, e)
         best.append(cost), back.append(how)
@@ -395,19 +404,32 @@ def entities(kind: int, t: bytes, words: list[tuple[int, int]]) -> Iterator[tupl
     yield from reversed(out)
 
 
-def outside(s: int, e: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The parts of (s, e) that lie in no taken span."""
-    out = []
-    for s2, e2 in sorted(taken):
-        if s2 < e and e2 > s:
-            out += [(s, s2)] if s < s2 else []
-            s = max(s, e2)
-    return [*out, (s, e)] if s < e else out
+class Taken:
+    """Spans of one text, as disjoint stretches in order."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.start: list[int] = []
+        self.end: list[int] = []
+        for s, e in sorted(spans):
+            if self.end and s <= self.end[-1]:
+                self.end[-1] = max(self.end[-1], e)
+            else:
+                self.start.append(s), self.end.append(e)
+
+    def outside(self, s: int, e: int) -> Iterator[tuple[int, int]]:
+        """The parts of (s, e) that lie in no span."""
+        k = bisect_right(self.end, s)
+        while k < len(self.start) and self.start[k] < e:
+            if s < self.start[k]:
+                yield s, self.start[k]
+            s, k = max(s, self.end[k]), k + 1
+        if s < e:
+            yield s, e
 
 
 SHORT = 6
 _VALUE = re.compile(rb"[:=][\x20\t]*[\"']?([^\s\"']{%d,})" % SHORT)
-_NAMES = tuple(c.encode() for c in STRONG if c.isidentifier() and c != "dot" or "-" in c)
+_NAMES = tuple(c.encode() for c in STRONG)
 
 
 def short_secrets(t: bytes) -> Iterator[tuple[int, int]]:
@@ -424,6 +446,7 @@ def short_secrets(t: bytes) -> Iterator[tuple[int, int]]:
 
 _DIGIT = (np.arange(256) >= 48) & (np.arange(256) < 58)
 Span = tuple[int, int, int]
+NONE = Taken([])
 
 
 def block_spans(b: B.Block, model: Crf) -> tuple[dict[int, list[Span]], dict[int, list[Span]]]:
@@ -432,20 +455,17 @@ def block_spans(b: B.Block, model: Crf) -> tuple[dict[int, list[Span]], dict[int
     some = np.flatnonzero((B.per_doc(_DIGIT[b.data], b.off) > 0) | (B.per_doc(b.data == 64, b.off) > 0))
     raw = {int(i): [(k, s + int(b.off[i]), e + int(b.off[i])) for k, s, e in base_spans(b.text(i))] for i in some}
     every = {i: list(v) for i, v in raw.items()}
+    base = {i: Taken([(s, e) for _, s, e in v]) for i, v in raw.items()}
     for i, kind, first, last in labelled_runs(b, model):
         own = every.setdefault(i, [])
-        base = [(s, e) for _, s, e in raw.get(i, ())]
-        free = outside(int(b.start[first]), int(b.end[last - 1]), base)
-        t = b.data[b.start[first] : b.end[last - 1]].tobytes()
-        at = int(b.start[first])
-        for lo, hi in free:
-            words = [(max(int(s), lo) - at, min(int(e), hi) - at) for s, e in zip(b.start[first:last], b.end[first:last], strict=True) if s < hi and e > lo]
-            own += [(kind, s + at, e + at) for s, e in entities(kind, t, words)]
+        for lo, hi in base.get(i, NONE).outside(int(b.start[first]), int(b.end[last - 1])):
+            x, y = max(first, int(np.searchsorted(b.end, lo, "right"))), min(last, int(np.searchsorted(b.start, hi, "left")))
+            words = [(max(s, lo) - lo, min(e, hi) - lo) for s, e in zip(b.start[x:y].tolist(), b.end[x:y].tolist(), strict=True)]
+            own += [(kind, s + lo, e + lo) for s, e in entities(kind, b.data[lo:hi].tobytes(), words)]
     for i in np.flatnonzero(B.per_doc((b.data == 58) | (b.data == 61), b.off) > 0).tolist():
-        at = int(b.off[i])
-        for s, e in short_secrets(b.text(i)):
-            own = every.setdefault(i, [])
-            own += [(4, lo, hi) for lo, hi in outside(s + at, e + at, [(x, y) for _, x, y in own])]
+        at, own = int(b.off[i]), every.setdefault(i, [])
+        free = Taken([(s, e) for _, s, e in own])
+        own += [(4, lo, hi) for s, e in short_secrets(b.text(i)) for lo, hi in free.outside(s + at, e + at)]
     place = lambda spans, i: sorted((k, int(points[s] - points[b.off[i]]), int(points[e] - points[b.off[i]])) for k, s, e in spans)
     return {i: place(v, i) for i, v in raw.items() if v}, {i: place(v, i) for i, v in every.items() if v}
 

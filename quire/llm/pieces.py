@@ -2,18 +2,25 @@
 
 A text is read as one space and then its bytes; a unit is a run of spaces with the bytes up to the
 next run.  The encoding of a unit is the segmentation into vocabulary pieces of greatest total
-score, with the scores the vocabulary file gives; a byte that no piece covers costs a byte piece,
-below every score.  Distinct units of a block are taken once; those of equal length advance
-together: hashes of the substrings that end at a position probe the sorted hashes of the pieces, and
-a vectorised maximum stores the length of the last piece.  Among equal scores the longest last piece
-wins.
-
-Null and empty texts have no ids.  The mark U+2581 in a text is encoded by byte pieces, so decoding
-gives every text back.  Units over ``LONG`` bytes use the same recurrence one by one.
+weight; a byte that no piece covers costs a byte piece, below every weight.  Distinct units of a block
+are taken once and advance together, a byte at a time, units of equal length side by side and shorter
+ones dropping out: hashes of the substrings that end at a position probe the sorted hashes of the
+pieces, and a vectorised maximum stores the length of the last piece.  Among equal totals the longest
+last piece wins.  A unit over ``LONG`` bytes, such as text without spaces, has all its substrings probed
+at once; the maxima then run along it, in time in proportion to its length.
+
+The weights of a unigram file are its scores, which are log probabilities.  The scores of a BPE file are
+the order of its merges, whose sums mean nothing; a piece of rank r gets the log of 1 / (r + ``OFFSET``).
+Such a file's own tokenizer merges pairs, so its ids can differ; the README has the agreement.
+
+Control, unknown and unused pieces take no part; user-defined ones do.  Null and empty texts have no
+ids; rows without an id, and repeated rows, are encoded as any other.  The mark U+2581 in a text is
+encoded by byte pieces, so decoding gives every text back.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -25,29 +32,36 @@ from pyspark.sql import functions as F
 from . import blocks as B
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+OFFSET = 1000
 LONG = 96
+GROUPS = (8, 16, 32, LONG)
+STRETCH = 1 << 18
 BLOCK = 6 << 20
-_MARK = "▁".encode()
+_SLOT = np.uint64(44)
+_SIZE = 0xD6E8FEB86659FD93
 
 
 class Vocabulary:
-    """Pieces with their bytes (the mark written as a space), scores and byte pieces."""
+    """Pieces with their bytes (the mark written as a space), log weights and byte pieces."""
 
     def __init__(self, pieces: list[tuple[int, bytes, float]], byte_ids: np.ndarray, size: int):
         self.ids = np.array([i for i, _, _ in pieces], np.int32)
-        score = np.array([s for _, _, s in pieces], np.float64)
+        weight = log_weights(np.array([s for _, _, s in pieces], np.float64))
         text = [t for _, t, _ in pieces]
         self.longest = max(map(len, text))
         lengths = np.array([len(t) for t in text])
         data = np.frombuffer(b"".join(text), np.uint8)
         ends = np.cumsum(lengths)
-        key = B.span_hashes(data, ends - lengths, ends)
+        _, ipw = B.powers(len(data) + 1)
+        at = sums(data)
+        key = spans(at[ends], at[ends - lengths], ipw[ends - lengths], lengths)
         order = np.argsort(key)
-        self.key, self.score, self.sorted_ids = key[order], score[order], self.ids[order]
+        self.key, self.weight, self.sorted_ids = key[order], weight[order], self.ids[order]
+        self.slots = np.zeros(1 << 20, bool)
+        self.slots[(key >> _SLOT).astype(np.int64)] = True
         self.sizes = [n for n in range(1, self.longest + 1) if (lengths == n).any()]
-        self.by_text = dict(zip(text, zip(score, self.ids, strict=True), strict=True))
         self.byte_ids = byte_ids
-        self.byte_score = float(score.min()) - 100.0
+        self.byte_weight = float(weight.min()) - 100.0
         self.piece_len = np.zeros(size, np.int64)
         self.piece_len[self.ids] = lengths
         self.piece_len[byte_ids] = 1
@@ -56,10 +70,39 @@ class Vocabulary:
         self.piece_data[B.ragged(at[self.ids], lengths)] = data
         self.piece_data[at[byte_ids]] = np.arange(256)
 
+    def probe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the keys that are pieces, the number of each among the sorted pieces)."""
+        some = np.flatnonzero(self.slots[(keys >> _SLOT).astype(np.int64)])
+        own = keys[some]
+        at = np.minimum(np.searchsorted(self.key, own), len(self.key) - 1)
+        hit = self.key[at] == own
+        return some[hit], at[hit]
+
+
+def log_weights(score: np.ndarray) -> np.ndarray:
+    """Scores that are whole numbers are ranks, from the best: log 1 / (rank + OFFSET); others stay."""
+    if not np.array_equal(score, np.rint(score)):
+        return score
+    rank = np.empty(len(score))
+    rank[np.argsort(-score, kind="stable")] = np.arange(len(score))
+    return -np.log(rank + OFFSET)
+
+
+def sums(data: np.ndarray) -> np.ndarray:
+    """Running sums from which ``spans`` takes the hash of a substring."""
+    pw, _ = B.powers(len(data) + 1)
+    return B.prefix_sum(B._BYTE[data] * pw[: len(data)])
+
+
+def spans(upto: np.ndarray, before: np.ndarray, inverse: np.ndarray | np.uint64, size: np.ndarray | int) -> np.ndarray:
+    """Hashes of substrings from the running sums at their ends and starts."""
+    step = np.uint64(size * _SIZE & (1 << 64) - 1) if isinstance(size, int) else size.astype(np.uint64) * np.uint64(_SIZE)
+    return (upto - before) * inverse + step
+
 
 @cache
 def load(path: str) -> Vocabulary:
-    """The vocabulary of a model file; user-defined and control pieces take no part."""
+    """The vocabulary of a model file."""
     import sentencepiece
 
     with open(path, "rb") as f:
@@ -73,64 +116,120 @@ def load(path: str) -> Vocabulary:
     return Vocabulary(pieces, byte_ids, sp.get_piece_size())
 
 
-def encode_one(unit: bytes, v: Vocabulary) -> list[int]:
-    """The recurrence for one unit."""
-    n = len(unit)
-    best, back = [0.0] + [-np.inf] * n, [0] * (n + 1)
-    for i in range(1, n + 1):
-        best[i], back[i] = best[i - 1] + v.byte_score, 0
+@cache
+def end_id(path: str) -> int:
+    """The id that closes a text."""
+    import sentencepiece
+
+    with open(path, "rb") as f:
+        return sentencepiece.SentencePieceProcessor(model_proto=f.read()).eos_id()
+
+
+class Batch:
+    """Units as columns of bytes, the longest first; ``live(i)`` of them are longer than i."""
+
+    def __init__(self, data: np.ndarray, start: np.ndarray, length: np.ndarray):
+        self.order = np.argsort(-length, kind="stable")
+        start, self.length = start[self.order], length[self.order]
+        self.steps, self.m = int(self.length[0]), len(length)
+        self.count = np.searchsorted(-self.length, -np.arange(self.steps), "left")
+        pw, self.ipw = B.powers(self.steps + 1)
+        self.byte = np.zeros((self.steps, self.m), np.uint8)
+        self.sums = np.zeros((self.steps + 1, self.m), np.uint64)
+        for i in range(self.steps):
+            k = self.count[i]
+            self.byte[i, :k] = data[start[:k] + i]
+            self.sums[i + 1, :k] = self.sums[i, :k] + B._BYTE[self.byte[i, :k]] * pw[i]
+
+    def arcs(self, v: Vocabulary, i: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(size, units, pieces) of the pieces that end behind byte i, by size."""
+        k = self.count[i - 1]
         for size in v.sizes:
             if size > i:
+                return
+            found, at = v.probe(spans(self.sums[i, :k], self.sums[i - size, :k], self.ipw[i - size], size))
+            if len(found):
+                yield size, found, at
+
+
+def groups(length: np.ndarray) -> Iterator[np.ndarray]:
+    """Numbers of the units of up to LONG bytes, in batches of like lengths."""
+    low = 0
+    for high in GROUPS:
+        own = np.flatnonzero((length > low) & (length <= high))
+        step = max(1, 1_000_000 // high)
+        for cut in range(0, len(own), step):
+            yield own[cut : cut + step]
+        low = high
+
+
+def long_arcs(unit: np.ndarray, v: Vocabulary) -> Iterator[tuple[int, list[list[tuple[int, int]]]]]:
+    """(first byte, pieces (size, number) that end behind each byte) of one long unit, stretch by stretch."""
+    for lo in range(0, len(unit), STRETCH):
+        back = min(lo, v.longest)
+        part = unit[lo - back : lo + STRETCH]
+        at, (_, ipw) = sums(part), B.powers(len(part) + 1)
+        out: list[list[tuple[int, int]]] = [[] for _ in range(len(part) - back)]
+        for size in v.sizes:
+            if size > len(part):
                 break
-            got = v.by_text.get(unit[i - size : i])
-            if got is not None and best[i - size] + got[0] >= best[i]:
-                best[i], back[i] = best[i - size] + got[0], size
-    out = []
-    while n:
-        size = back[n]
-        out.append(int(v.by_text[unit[n - size : n]][1]) if size else int(v.byte_ids[unit[n - 1]]))
-        n -= size or 1
-    return out[::-1]
-
-
-def encode_equal(units: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """Units of one length as a matrix of bytes: (ids, one after another, and how many each has)."""
-    m, n = units.shape
-    pw, ipw = B.powers(n + 1)
-    sums = np.zeros((n + 1, m), np.uint64)
-    np.cumsum(B._BYTE[units.T] * pw[:n, None], axis=0, out=sums[1:])
+            found, piece = v.probe(spans(at[size:], at[:-size], ipw[: len(part) - size + 1], size))
+            found += size - 1 - back
+            for i, p in zip(found[found >= 0].tolist(), piece[found >= 0].tolist(), strict=True):
+                out[i].append((size, p))
+        yield lo, out
+
+
+def encode_long(unit: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """Ids of one long unit."""
+    weight, byte_weight, keep = v.weight.tolist(), v.byte_weight, v.longest
+    best, size_of, piece_of = [0.0], array("h"), array("i")
+    for _, ends in long_arcs(unit, v):
+        best = best[-keep:]
+        for arcs in ends:
+            top, last, which = best[-1] + byte_weight, 1, -1
+            for size, p in arcs:
+                total = best[-size] + weight[p]
+                if total >= top:
+                    top, last, which = total, size, p
+            best.append(top), size_of.append(last), piece_of.append(which)
+    path, i = [], len(unit)
+    while i:
+        path.append(i - 1)
+        i -= size_of[i - 1]
+    at = np.array(path[::-1])
+    which = np.frombuffer(piece_of, np.int32)[at]
+    return np.where(which >= 0, v.sorted_ids[which], v.byte_ids[unit[at]]).astype(np.int32)
+
+
+def encode_batch(batch: Batch, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the units, one after another in the order of the batch, and how many each has)."""
+    n, m = batch.steps, batch.m
     best = np.full((n + 1, m), -np.inf)
     best[0] = 0
-    back = np.zeros((n + 1, m), np.int16)
+    back = np.ones((n + 1, m), np.int8)
     piece = np.zeros((n + 1, m), np.int32)
     for i in range(1, n + 1):
-        top = best[i - 1] + v.byte_score
-        last, which = back[i], piece[i]
-        which[:] = v.byte_ids[units[:, i - 1]]
-        for size in v.sizes:
-            if size > i:
-                break
-            key = B.mix((sums[i] - sums[i - size]) * ipw[i - size] + np.uint64(size * 0xD6E8FEB86659FD93 & (1 << 64) - 1))
-            at = np.searchsorted(v.key, key)
-            at[at == len(v.key)] = 0
-            found = np.flatnonzero(v.key[at] == key)
-            if len(found):
-                total = best[i - size, found] + v.score[at[found]]
-                won = total >= top[found]
-                found, at = found[won], at[found[won]]
-                top[found] = total[won]
-                last[found] = size
-                which[found] = v.sorted_ids[at]
-        best[i] = top
+        k = batch.count[i - 1]
+        top, last, which = best[i], back[i], piece[i]
+        top[:k] = best[i - 1, :k] + v.byte_weight
+        which[:k] = v.byte_ids[batch.byte[i - 1, :k]]
+        for size, found, at in batch.arcs(v, i):
+            total = best[i - size, found] + v.weight[at]
+            won = total >= top[found]
+            found, at = found[won], at[won]
+            top[found] = total[won]
+            last[found] = size
+            which[found] = v.sorted_ids[at]
     count = np.zeros(m, np.int64)
-    pos = np.full(m, n)
+    pos = batch.length.copy()
     steps = []
     live = np.arange(m)
     while len(live):
         p = pos[live]
         steps.append((live, piece[p, live]))
         count[live] += 1
-        pos[live] = p - np.maximum(back[p, live], 1)
+        pos[live] = p - back[p, live]
         live = live[pos[live] > 0]
     ids = np.zeros(int(count.sum()), np.int32)
     end = np.cumsum(count)
@@ -139,6 +238,26 @@ def encode_equal(units: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarr
     return ids, count
 
 
+def encode_units(data: np.ndarray, start: np.ndarray, length: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of the units data[start : start + length], one after another, and how many each has)."""
+    count = np.zeros(len(start), np.int64)
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+    for own in groups(length):
+        batch = Batch(data, start[own], length[own])
+        own = own[batch.order]
+        ids, count[own] = encode_batch(batch, v)
+        parts.append((own, ids))
+    for u in np.flatnonzero(length > LONG):
+        ids = encode_long(data[start[u] : start[u] + length[u]], v)
+        count[u] = len(ids)
+        parts.append((np.array([u]), ids))
+    at = np.cumsum(count) - count
+    pool = np.zeros(int(count.sum()), np.int32)
+    for own, ids in parts:
+        pool[B.ragged(at[own], count[own])] = ids
+    return pool, count
+
+
 def encode_block(data: np.ndarray, off: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(ids, offsets by document) of texts."""
     n = len(off) - 1
@@ -156,27 +275,8 @@ def encode_block(data: np.ndarray, off: np.ndarray, v: Vocabulary) -> tuple[np.n
     start = np.flatnonzero(first)
     end = np.append(start[1:], len(wide))
     _, index, inverse = np.unique(B.span_hashes(wide, start, end), return_index=True, return_inverse=True)
-    lengths = (end - start)[index]
-    marked = _MARK in wide.tobytes()
-    count = np.zeros(len(index), np.int64)
-    parts: list[tuple[np.ndarray, np.ndarray]] = []
-    odd = lengths > LONG
-    if marked:
-        odd |= np.array([_MARK in wide[s:e].tobytes() for s, e in zip(start[index], end[index], strict=True)])
-    for length in np.unique(lengths[~odd]):
-        own = np.flatnonzero((lengths == length) & ~odd)
-        for cut in range(0, len(own), 50_000):
-            some = own[cut : cut + 50_000]
-            ids, count[some] = encode_equal(wide[start[index[some]][:, None] + np.arange(length)], v)
-            parts.append((some, ids))
-    for u in np.flatnonzero(odd):
-        ids = encode_marked(wide[start[index[u]] : end[index[u]]].tobytes(), v)
-        count[u] = len(ids)
-        parts.append((np.array([u]), np.array(ids, np.int32)))
+    pool, count = encode_units(wide, start[index], (end - start)[index], v)
     at = np.cumsum(count) - count
-    pool = np.zeros(int(count.sum()), np.int32)
-    for some, ids in parts:
-        pool[B.ragged(at[some], count[some])] = ids
     ids = pool[B.ragged(at[inverse], count[inverse])]
     doc = np.searchsorted(grown[full], start, "right") - 1
     by_doc = np.zeros(n, np.int64)
@@ -184,14 +284,6 @@ def encode_block(data: np.ndarray, off: np.ndarray, v: Vocabulary) -> tuple[np.n
     return ids, np.concatenate([[0], np.cumsum(by_doc)])
 
 
-def encode_marked(unit: bytes, v: Vocabulary) -> list[int]:
-    """A long unit, or one with the mark, whose bytes get byte pieces."""
-    out: list[int] = []
-    for k, part in enumerate(unit.split(_MARK)):
-        out += [int(x) for x in v.byte_ids[list(_MARK)]] * (k > 0) + encode_one(part, v)
-    return out
-
-
 def decode_block(ids: np.ndarray, off: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of the texts of ids, without their first space."""
     size = v.piece_len[ids]

@@ -1,19 +1,24 @@
-"""Best-fit packing with several permitted bin sizes (operator 8).
-
-Items go in order of falling length.  An item takes the open bin that it leaves fullest.  When no
-open bin can hold it, the bin size of least cost per expected content is opened: among the permitted
-lengths that hold the item, the one whose waste, were the rest filled at the share of small items
-still to come, is least.  When all items are placed each bin shrinks to the least permitted length
-that holds its contents.
-
-A document longer than the largest length is cut into full pieces of that length and a rest.  Null
-and empty texts have length 1, the end mark.  Shards hold about ``shard_items`` documents, dealt by
-a hash of the id, and pack alone, so no task sees more; repeated rows are separate items.
+"""Best-fit packing of token sequences with several permitted bin sizes (operator 8).
+
+Texts are encoded by operator 9 and closed by the end id.  A sequence longer than the largest size is
+cut into full pieces of that size and a rest.  Pieces go in order of falling length.  A piece takes the
+open bin that it leaves fullest.  When no open bin can hold it, a size is opened: for each permitted size
+that holds the piece, the room beside it is filled, on paper, with the longest pieces still to come that
+fit, by the histogram of what is left; the size of least cost per token of that content is taken.  When
+all pieces are placed each bin shrinks to the least permitted size that holds its contents.  A bin of s
+tokens costs s * (1 + s / ``ATTENTION``): its tokens and, for attention, their square.
+
+Ties go to the smaller size, the bin opened or used last, and the piece of least hash.  Null and empty texts
+are the end id alone.  Rows without an id are packed as any other, and repeated rows are separate
+sequences.  Shards of about ``SHARD_BYTES`` of text pack alone; pieces are dealt to them by a hash of id, text,
+place in the text and the number of equal rows before them in their partition, so neither a long text nor a row that occurs very
+often makes a large shard.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,80 +27,131 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blocks as B
+from . import exchange as X
+from . import pieces as P
 
 SIZES = (512, 1024, 2048, 4096)
-SHARD_ITEMS = 5_000
+SHARD_BYTES = 4_000_000
+ATTENTION = 32_768
+
+
+def cost(size: int, attention: float = ATTENTION) -> float:
+    return size * (1 + size / attention)
+
 
+def content(room: int, lengths: list[int], left: list[int]) -> int:
+    """Tokens in a room that takes the longest items that fit, of lengths (ascending) with ``left`` of each."""
+    full, most = room, room
+    at = bisect_right(lengths, most) - 1
+    while at >= 0 and room:
+        room -= lengths[at] * min(left[at], room // lengths[at])
+        at = min(at, bisect_right(lengths, room)) - 1
+    return full - room
 
-def pack(lengths: np.ndarray, sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+
+def pack(lengths: np.ndarray, sizes: tuple[int, ...] = SIZES, attention: float = ATTENTION) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bin, offset in it, final size of it) of each item; every length is from 1 to max(sizes)."""
+    sizes = tuple(sorted(sizes))
     order = np.argsort(-lengths, kind="stable")
-    left: list[list[int]] = [[] for _ in range(max(sizes) + 1)]  # open bins by the room left
+    distinct, counts = (x.tolist() for x in np.unique(lengths, return_counts=True))
+    open_bins: list[list[int]] = [[] for _ in range(sizes[-1] + 1)]  # by the room left
     rooms: list[int] = []  # ascending, those with bins
     fill: list[int] = []
     item_bin, item_off = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
-    room_of: list[int] = []
-    rest = int(lengths.sum())
-    for i in order:
+
+    def opened(n: int) -> int:
+        def price(size: int) -> tuple[float, int]:
+            used = n + content(size - n, distinct, counts)
+            return cost(sizes[bisect_left(sizes, used)], attention) / used, size
+
+        return min((s for s in sizes if s >= n), key=price)
+
+    for i in order.tolist():
         n = int(lengths[i])
+        counts[-1] -= 1
+        if not counts[-1]:
+            distinct.pop(), counts.pop()
         at = bisect_left(rooms, n)
         if at < len(rooms):
             room = rooms[at]
-            b = left[room].pop()
-            if not left[room]:
+            b = open_bins[room].pop()
+            if not open_bins[room]:
                 rooms.pop(at)
         else:
-            fits = [s for s in sizes if s >= n]
-            room = min(fits, key=lambda s: (max(0, s - rest) / s + (s - n if rest - n < s - n else 0) / s + (s - n) % n / (4 * s), -s))
-            b = len(fill)
+            room, b = opened(n), len(fill)
             fill.append(0)
-            room_of.append(room)
         item_bin[i], item_off[i] = b, fill[b]
         fill[b] += n
-        rest -= n
         room -= n
         if room > 0:
-            if not left[room]:
+            if not open_bins[room]:
                 rooms.insert(bisect_left(rooms, room), room)
-            left[room].append(b)
-    sizes_up = np.array(sorted(sizes))
-    final = sizes_up[np.searchsorted(sizes_up, np.array(fill, np.int64))] if fill else np.zeros(0, np.int64)
+            open_bins[room].append(b)
+    final = np.array(sizes)[np.searchsorted(sizes, np.array(fill, np.int64))] if fill else np.zeros(0, np.int64)
     return item_bin, item_off, final[item_bin] if len(item_bin) else item_bin
 
 
-def token_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens): words and one end mark."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, b in B.blocks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(b.n_words.astype(np.int64) + 1)], ["doc_id", "n_tokens"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long")
-
-
-OUT = "doc_id long, piece int, piece_start long, piece_tokens int, shard long, bin long, bin_offset int, bin_size int, bin_used int"
+CUT = "doc_id long, piece int, piece_start long, h long, tokens binary"
 
 
-def pack_lengths(lengths: DataFrame, n_rows: int, sizes: tuple[int, ...] = SIZES, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    """Packs (doc_id, n_tokens) rows; one row per piece of a document."""
-    shards = max(1, -(-n_rows // shard_items))
-    most = max(sizes)
+def cut_sequences(docs: DataFrame, most: int, model: str = P.MODEL) -> DataFrame:
+    """Pieces of at most ``most`` tokens of the encoded texts, with a hash that tells equal rows of a partition apart."""
 
-    def run(table: pa.Table) -> pa.Table:
-        doc, total, shard = (table.column(c).to_numpy() for c in ("doc_id", "n_tokens", "shard"))
-        order = np.lexsort((total, doc))
-        doc, total = doc[order], total[order]
-        count = -(-total // most)
-        row = np.repeat(np.arange(len(doc)), count)
-        piece = B.ragged(np.zeros(len(doc), np.int64), count)
-        length = np.minimum(total[row] - piece * most, most)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v, end = P.load(model), P.end_id(model)
+        seen: Counter = Counter()
+        for batch in batches:
+            data, off = B.buffers(batch.column(1))
+            for lo, hi in B.slices(off, P.BLOCK):
+                own, at = data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo]
+                ids, to = P.encode_block(own, at, v)
+                doc = batch.column(0).slice(lo, hi - lo)
+                key = B.mix(B.span_hashes(own, at[:-1], at[1:]) + B.mix(doc.fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint64)))
+                again = np.zeros(hi - lo, np.uint64)
+                for i, k in enumerate(key.tolist()):
+                    again[i] = seen[k]
+                    seen[k] += 1
+                whole = np.full(len(ids) + hi - lo, end, np.int32)
+                size = np.diff(to) + 1
+                start = np.cumsum(size) - size
+                whole[B.ragged(start, size - 1)] = ids
+                count = -(-size // most)
+                row = np.repeat(np.arange(hi - lo), count)
+                piece = B.ragged(np.zeros(hi - lo, np.int64), count)
+                x = start[row] + piece * most
+                y = np.minimum(x + most, (start + size)[row])
+                h = B.mix(key[row] + B.mix(piece.astype(np.uint64) + (again[row] << np.uint64(32))))
+                yield pa.RecordBatch.from_arrays([doc.take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(piece * most), pa.array(h.view(np.int64)), pa.array([whole[a:b].tobytes() for a, b in zip(x, y, strict=True)], pa.binary())], [c.split()[0] for c in CUT.split(", ")])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, CUT)
+
+
+OUT = "doc_id long, piece int, piece_start long, piece_tokens int, shard long, bin long, bin_offset int, bin_size int, bin_used int, ids array<int>"
+
+
+def pack_documents(docs: DataFrame, sizes: tuple[int, ...] = SIZES, shard_bytes: int = SHARD_BYTES, model: str = P.MODEL) -> DataFrame:
+    """One row per piece of a document: its ids, and its place in a bin."""
+    shards = max(1, -(-X.text_bytes(docs) // shard_bytes))
+
+    def run(t: pa.Table) -> pa.Table:
+        tokens = t.column("tokens").combine_chunks()
+        length = np.array([len(x.as_buffer()) // 4 for x in tokens], np.int64)
+        order = np.lexsort((t.column("piece").to_numpy(), t.column("h").to_numpy()))
+        t, length, tokens = t.take(pa.array(order)), length[order], tokens.take(pa.array(order))
         b, off, size = pack(length, sizes)
-        used = np.bincount(b, weights=length)[b] if len(b) else b
-        return pa.table([doc[row], piece.astype(np.int32), piece * most, length.astype(np.int32), np.full(len(row), shard[0] if len(shard) else 0), b, off.astype(np.int32), size.astype(np.int32), used.astype(np.int32)], names=[x.split()[0] for x in OUT.split(", ")])
-
-    return lengths.withColumn("shard", F.pmod(F.xxhash64("doc_id", "n_tokens"), F.lit(shards))).groupBy("shard").applyInArrow(run, OUT)
-
-
-def pack_documents(docs: DataFrame, sizes: tuple[int, ...] = SIZES, shard_items: int = SHARD_ITEMS) -> DataFrame:
-    return pack_lengths(token_lengths(docs), docs.count(), sizes, shard_items)
+        used = np.bincount(b, weights=length)[b]
+        ids = [np.frombuffer(x.as_buffer(), np.int32) for x in tokens]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(np.concatenate(ids)))
+        columns = [t.column("doc_id"), t.column("piece"), t.column("piece_start"), length.astype(np.int32), t.column("shard"), b, off.astype(np.int32), size.astype(np.int32), used.astype(np.int32), lists]
+        return pa.table(columns, names=[x.split()[0] for x in OUT.split(", ")])
+
+    cut = cut_sequences(docs, max(sizes), model).withColumn("shard", F.pmod("h", F.lit(shards)).cast("long"))
+    return cut.groupBy("shard").applyInArrow(run, OUT)
+
+
+def sequences(packed: DataFrame, pad: int = 0) -> DataFrame:
+    """(shard, bin, bin_size, doc_ids, starts, ids): packed pieces put together, filled up to the size with ``pad``."""
+    each = F.array_sort(F.collect_list(F.struct("bin_offset", "doc_id", "ids")))
+    bins = packed.groupBy("shard", "bin", "bin_size").agg(each.alias("s"), F.sum("piece_tokens").cast("int").alias("used"))
+    filled = F.concat(F.flatten("s.ids"), F.array_repeat(F.lit(pad), F.col("bin_size") - F.col("used")))
+    return bins.select("shard", "bin", "bin_size", F.col("s.doc_id").alias("doc_ids"), F.col("s.bin_offset").alias("starts"), filled.alias("ids"))

@@ -43,7 +43,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(documents(spark, sf_dir))
+    return packing.pack_documents(documents(spark, sf_dir)).drop("ids")
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

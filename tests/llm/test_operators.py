@@ -119,40 +119,69 @@ def test_jaccard_regions_of_edited_copies(spark, monkeypatch):
     assert by_id(jaccard.components(df), "n_shingles", "component_id") == linked_components(texts)
 
 
-def test_lattice_sums_all_segmentations(spark):
-    v = pieces.load(pieces.MODEL)
-    model = lattice.first_weights(v)
-    p = np.exp(model.logp[np.isfinite(model.logp)]).sum() + math.exp(model.end)
-    assert abs(p - 1) < 1e-9
-    logp = {t: model.logp[i] for t, (_, i) in v.by_text.items()}
-
-    def total(unit):
-        if not unit:
-            return 1.0
-        out = math.exp(model.byte[unit[0]]) * total(unit[1:])
-        return out + sum(math.exp(logp[unit[:k]]) * total(unit[k:]) for k in range(1, len(unit) + 1) if unit[:k] in logp)
-
-    ws = ["the", "thing", "élan", "x", "ononon"]
-    data = " ".join(ws).encode()
-    b = B.Block(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-    got = model.words(b.data, b.start, b.end)
-    want = [math.log(total(b" " + w.encode())) for w in ws]
-    assert np.allclose(got, want)
-    expected = np.zeros(len(model.logp))
-    model.words(b.data, b.start, b.end, np.ones(len(ws)), expected)
-    assert abs((expected[v.ids] * v.piece_len[v.ids]).sum() + expected[v.byte_ids].sum() - sum(len(w.encode()) + 1 for w in ws)) < 1e-6
+@pytest.fixture(scope="module")
+def piece_table():
+    """Pieces (mark written as a space) with their rank, straight from the model file."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    own = [(sp.get_score(i), i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
+    rank = {sp.id_to_piece(i).replace("▁", " ").encode(): (r, i) for r, (_, i) in enumerate(sorted(own, key=lambda x: (-x[0], x[1])))}
+    return sp, rank
+
+
+def test_lattice_sums_all_segmentations(spark, piece_table):
+    _, rank = piece_table
+    weight = {t: 1 / (r + 1000) for t, (r, _) in rank.items()}
+    least = min(weight.values())
+    whole = sum(weight.values()) + least
+    p = {t: 0.98 * w / whole for t, w in weight.items()}
+    byte = 0.98 * least / 256 / whole
+
+    def every(unit):
+        out = 0.0
+        for cuts in range(1 << (len(unit) - 1)):
+            at = [0, *(k + 1 for k in range(len(unit) - 1) if cuts >> k & 1), len(unit)]
+            product = 1.0
+            for x, y in zip(at[:-1], at[1:], strict=True):
+                product *= p.get(unit[x:y], 0.0) + (byte if y - x == 1 else 0.0)
+            out += product
+        return out
+
+    def along(unit):
+        alpha = [0.0]
+        for i in range(1, len(unit) + 1):
+            terms = [alpha[i - 1] + math.log(byte)] + [alpha[i - k] + math.log(p[unit[i - k : i]]) for k in range(1, min(i, 30) + 1) if unit[i - k : i] in p]
+            top = max(terms)
+            alpha.append(top + math.log(sum(math.exp(x - top) for x in terms)))
+        return alpha[-1]
+
+    short, long = ["The thing élan x", "ononon the", "", None], ["the " + "Abcxyz漢" * 60, "q" * 400]
+    df = spark.createDataFrame(list(enumerate(short + long)), "doc_id long, text string")
+    got = by_id(lattice.score(df), "score")
+    for i, t in enumerate(short):
+        want = math.log10(0.02) + sum(math.log10(every(b" " + w.encode())) for w in words(t, True))
+        assert abs(got[i][0] - want) < 1e-9
+    for i, t in enumerate(long, len(short)):
+        want = math.log10(0.02) + sum(along(b" " + w.encode()) for w in words(t, True)) / math.log(10)
+        assert abs(got[i][0] - want) < 1e-7
 
 
 def test_lattice_counts(docs, texts, empty):
-    out = by_id(lattice.score(docs, rounds=1), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "piece_score")
+    out = by_id(lattice.score(docs), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "mixed_score")
     held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]
     c = collections.Counter(w for t, h in zip(texts, held, strict=True) if not h for w in [*words(t, True), None])
     n, v = sum(c.values()), len(c)
+    model = lattice.Lattice(pieces.load(pieces.MODEL))
     for i, t in enumerate(texts):
         tokens = [*words(t, True), None]
         base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in tokens)
+        data = np.frombuffer(" ".join(tokens[:-1]).encode(), np.uint8)
+        b = B.Block(data, np.array([0, len(data)]))
+        logp = [*model.words(b.data, b.start, b.end), model.end]
+        mixed = sum(math.log10((c[w] + v * math.exp(x)) / (n + v)) for w, x in zip(tokens, logp, strict=True))
         assert out[i][:4] == (held[i], len(tokens), sum(c[w] > 0 for w in tokens), n)
-        assert abs(out[i][4] - base) < 1e-6 and out[i][5] < 0 and out[i][6] < 0
+        assert abs(out[i][4] - base) < 1e-6 and abs(out[i][6] - mixed) < 1e-6
     assert lattice.score(empty).count() == 0
 
 
@@ -305,35 +334,107 @@ def test_cover_is_a_difference_cover():
     assert {(a - b) % p for a in substrings.COVER for b in substrings.COVER} == set(range(p))
 
 
-def test_packing(docs, empty):
-    lengths = np.array([5, 5, 900, 512, 4096, 1, 1, 30, 2048, 2048, 700])
-    b, off, size = packing.pack(lengths)
-    for k in set(b):
-        own = b == k
-        used = lengths[own].sum()
-        assert used <= size[own][0] and size[own][0] == min(s for s in packing.SIZES if s >= used)
-        assert sorted(off[own]) == list(np.cumsum([0, *lengths[own][np.argsort(off[own])]])[:-1])
-    out = packing.pack_documents(docs, sizes=(64, 128), shard_items=10).collect()
-    total = collections.Counter()
-    for r in out:
-        total[r.doc_id] += r.piece_tokens
-        assert r.piece_tokens <= 128 and r.bin_used <= r.bin_size
-    assert dict(total) == {r.doc_id: len(words(r.text)) + 1 for r in docs.collect()}
+def plain_pack(lengths, sizes):
+    """Best fit by scanning all open bins and, at each opening, all items still to come."""
+    room, used, stamp, out = [], [], [], [None] * len(lengths)
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    for turn, i in enumerate(order):
+        n = lengths[i]
+        fits = [(room[b], -stamp[b], b) for b in range(len(room)) if room[b] >= n]
+        if fits:
+            b = min(fits)[2]
+        else:
+            prices = []
+            for s in sizes:
+                if s >= n:
+                    free, full = s - n, n
+                    for j in order[turn + 1 :]:
+                        if lengths[j] <= free:
+                            free, full = free - lengths[j], full + lengths[j]
+                    prices.append((packing.cost(min(x for x in sizes if x >= full)) / full, s))
+            b = len(room)
+            room.append(min(prices)[1]), used.append(0), stamp.append(0)
+        out[i] = (b, used[b])
+        room[b], used[b], stamp[b] = room[b] - n, used[b] + n, turn
+    return [(b, off, min(s for s in sizes if s >= used[b])) for b, off in out]
+
+
+def total_cost(lengths, sizes):
+    b, _, size = packing.pack(lengths, sizes)
+    return sum(packing.cost(int(s)) for s in size[np.unique(b, return_index=True)[1]])
+
+
+def test_packing_is_plain_best_fit():
+    rng = np.random.Generator(np.random.PCG64(6))
+    for sizes in ((64, 128, 256), (100,), (48, 64, 512)):
+        for lengths in (rng.integers(1, max(sizes) + 1, 300), np.minimum(rng.lognormal(3, 1, 300).astype(int) + 1, max(sizes)), np.full(50, 31), np.zeros(0, np.int64)):
+            got = [x.tolist() for x in packing.pack(lengths, sizes)]
+            assert list(zip(*got, strict=True)) == plain_pack(lengths.tolist(), sizes)
+
+
+def test_joint_sizes_beat_the_largest_alone():
+    rng = np.random.Generator(np.random.PCG64(7))
+    for lengths in (rng.integers(1, 2500, 3000), np.minimum(rng.lognormal(5.5, 1.2, 3000).astype(int) + 1, 4096), np.full(500, 1020)):
+        assert total_cost(lengths, packing.SIZES) < total_cost(lengths, packing.SIZES[-1:])
+    assert len(np.unique(packing.pack(rng.integers(1, 2500, 3000))[2])) == 4
+
+
+def test_packed_sequences_hold_the_texts(spark, docs, texts, empty):
+    v, end = pieces.load(pieces.MODEL), pieces.end_id(pieces.MODEL)
+    want = collections.Counter()
+    for i, t in enumerate(texts):
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        want[i, (*pieces.encode_block(data, np.array([0, len(data)]), v)[0].tolist(), end)] += 1
+    packed = packing.pack_documents(docs, sizes=(64, 128), shard_bytes=4000).cache()
+    found = collections.defaultdict(list)
+    for r in packed.orderBy("doc_id", "piece").collect():
+        assert r.piece_tokens == len(r.ids) <= 128 and r.bin_used <= r.bin_size in (64, 128) and r.piece_start == 128 * r.piece
+        found[r.doc_id] += r.ids
+    assert collections.Counter((i, tuple(x)) for i, x in found.items()) == want
+    bins = packing.sequences(packed, pad=-1).collect()
+    assert all(len(r.ids) == r.bin_size for r in bins) and sum(x >= 0 for r in bins for x in r.ids) == sum(len(x) for _, x in want)
+    again = {(r.doc_id, r.piece): (r.shard, r.bin_size, r.bin_used) for r in packing.pack_documents(docs.repartition(2), sizes=(64, 128), shard_bytes=4000).collect()}
+    assert again == {(r.doc_id, r.piece): (r.shard, r.bin_size, r.bin_used) for r in packed.collect()}
     assert packing.pack_documents(empty).count() == 0
 
 
-def test_pieces_match_the_plain_recurrence(docs, texts, empty):
-    v = pieces.load(pieces.MODEL)
-    got = by_id(pieces.encode_documents(docs), "ids", "round_trip")
-    for i, t in enumerate(texts):
+def test_pieces_take_the_greatest_weight(spark, docs, texts, empty, piece_table):
+    """Against a recurrence from the end of each unit, over pieces read from the file."""
+    sp, rank = piece_table
+    weight = {t: -math.log(r + 1000) for t, (r, _) in rank.items()}
+    byte = min(weight.values()) - 100
+    of_id = {i: weight[t] for t, (_, i) in rank.items()}
+
+    def most(unit):
+        best = [0.0] * (len(unit) + 1)
+        for i in range(len(unit) - 1, -1, -1):
+            best[i] = max([byte + best[i + 1]] + [weight[unit[i:j]] + best[j] for j in range(i + 1, min(len(unit), i + 30) + 1) if unit[i:j] in weight])
+        return best[0]
+
+    more = ["漢字かな交じり文" * 40, "x" * 97, "x" * 96, "ab" * 500 + " " * 120 + "z", "QmFzZTY0" * 100 + "\n" + "é" * 300]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
+    got = by_id(pieces.encode_documents(df), "ids", "round_trip", "n_tokens")
+    same = units = 0
+    for i, t in [*enumerate(texts), *((1000 + i, t) for i, t in enumerate(more))]:
         data = (" " + t).encode() if t else b""
-        want = [x for u in re.findall(rb" +[^ ]*", data) for x in pieces.encode_marked(u, v)]
-        assert list(got[i][0]) == want and got[i][1]
+        own = re.findall(rb" +[^ ]*", data)
+        assert abs(sum(of_id.get(x, byte) for x in got[i][0]) - sum(map(most, own))) < 1e-6 * (1 + len(data)) and got[i][1] and got[i][2] == len(got[i][0])
+        if i < 30:
+            v = pieces.load(pieces.MODEL)
+            for u in own:
+                units += 1
+                same += pieces.encode_units(np.frombuffer(u, np.uint8), np.array([0]), np.array([len(u)]), v)[0].tolist() == sp.encode(u[1:].decode())
+    assert units > 500 and same / units > 0.6
     back = by_id(pieces.decode_documents(pieces.encode_documents(docs)), "text")
     assert all(back[i] == (t or "",) for i, t in enumerate(texts))
     assert pieces.encode_documents(empty).count() == 0
 
 
+def test_scores_of_a_unigram_file_stay():
+    assert pieces.log_weights(np.array([-1.5, -2.25])).tolist() == [-1.5, -2.25]
+    assert np.allclose(pieces.log_weights(np.array([-7.0, 0.0, -3.0])), -np.log([1002, 1000, 1001]))
+
+
 @pytest.mark.parametrize("limit", [100_000, 0])
 def test_lines(spark, empty, limit):
     rows = [(i, None if i == 7 else "footer\n" * (i % 2) + f"line {i}\n\nshared {i % 5}", "a" if i < 20 else None, "x") for i in range(30)]

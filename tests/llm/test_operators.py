@@ -185,24 +185,76 @@ def test_lattice_counts(docs, texts, empty):
     assert lattice.score(empty).count() == 0
 
 
-def test_toxicity_held_out(spark, empty):
+ABUSE = ["zorkish", "Blemmy,", "quux!"]
+
+
+def toxic_rows():
     rng = np.random.Generator(np.random.PCG64(2))
-    rows, labels = [], []
+    rows, grades = [], []
     for i, t in enumerate(invented(8, 400)):
-        toxic = i % 4 == 0
+        grade = 0 if i % 4 else 1 + (i % 8 == 0)
         w = t.split()
-        for _ in range(int(rng.integers(2, 7)) * toxic):
-            w.insert(int(rng.integers(0, len(w) + 1)), ["zorkish", "Blemmy,", "quux!"][int(rng.integers(3))])
+        for _ in range(int(rng.integers(2, 4)) * grade**2):
+            w.insert(int(rng.integers(0, len(w) + 1)), ABUSE[int(rng.integers(3))])
         rows.append((i, " ".join(w)))
-        labels.append((i, int(toxic)))
-    docs = spark.createDataFrame(rows + [(900, None), (901, "")], "doc_id long, text string")
-    label = spark.createDataFrame([x for x in labels if x[0] < 200] + [(5000, None)], "doc_id long, toxic int")
-    got = by_id(toxicity.score(docs, toxicity.train(docs, label)), "toxic", "severity", "expected_severity")
-    right = sum(got[i][0] == bool(y) for i, y in labels if i >= 200)
-    assert right >= 195 and not got[900][0] and not got[901][0]
-    assert {s for _, s, _ in got.values()} == {0, 1, 2} and all(0 <= e <= 2 for *_, e in got.values())
+        grades.append(grade)
+    return rows, grades
+
+
+def test_toxicity_held_out(spark, empty):
+    rows, grades = toxic_rows()
+    docs = spark.createDataFrame(rows + [(900, None), (901, ""), (None, "zorkish quux " * 9), (0, rows[0][1]), (0, rows[0][1])], "doc_id long, text string").repartition(3)
+    labels = [(i, int(g > 0), int(g < 2)) for i, g in enumerate(grades) if i < 200] + [(5000, None, 1), (None, 1, 0), (4, 1, None)]
+    label = spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    model = toxicity.train(docs, label)
+    got = by_id(toxicity.score(docs, model), "toxic", "severity", "expected_severity", "p_toxic", "n_terms")
+    assert sum(got[i][0] == bool(g) for i, g in enumerate(grades) if i >= 200) >= 195 and not got[900][0] and not got[901][0] and got[None][0]
+    mean = [np.mean([got[i][2] for i, g in enumerate(grades) if i >= 200 and g == k]) for k in range(3)]
+    assert mean[0] < 0.2 < mean[1] < mean[2] <= 2
+    weight = dict(zip(model.terms.tolist(), model.weights.astype(float).tolist(), strict=True))
+    assert len(weight) >= 3
+    for i, t in rows[:60] + [(900, ""), (None, "zorkish quux " * 9)]:
+        count = collections.Counter(re.findall(rb"[a-z\x80-\xff]+", t.lower().encode()))
+        data = [np.frombuffer(w, np.uint8) for w in count]
+        number = [int(B.span_hashes(d, np.array([0]), np.array([len(d)]))[0] >> np.uint64(64 - toxicity.BITS)) for d in data]
+        s = sum(weight.get(k, 0) * math.log1p(c) for k, c in zip(number, count.values(), strict=True))
+        p = [1 / (1 + math.exp(th - s)) for th in model.theta]
+        assert abs(got[i][2] - sum(p)) < 1e-4 and got[i][1] == sum(x >= 0.5 for x in p) and got[i][4] == sum(k in weight for k in number)
     none = toxicity.train(docs, label.where("toxic = 0"))
     assert toxicity.score(docs, none).where("toxic").count() == 0 and toxicity.score(empty, none).count() == 0
+    assert toxicity.train(empty, label) is toxicity.NONE and toxicity.train(docs, label.drop("quality")).theta[1] > model.theta[1]
+
+
+def test_toxicity_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(1, "a b c")] * 300 + [(i, f"x{i} y") for i in range(2, 30)] + [(2, "other text")] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 30)] + [(1, 1)] * 40, "doc_id long, toxic int")
+    sample = toxicity.labelled_sample(docs, labels, 5).collect()
+    assert collections.Counter(r.grade for r in sample) == {0: 5, 1: 5}
+
+
+def test_toxicity_fit_is_the_optimum():
+    """The gradient is that of the loss, and no step from the fitted model lowers it."""
+    rng = np.random.Generator(np.random.PCG64(4))
+    grade = rng.integers(0, 3, 90)
+    rows = [toxicity_row(g, rng) for g in grade]
+    model = toxicity.fit(np.arange(6), rows, steps=1500)
+    columns = [np.frombuffer(r.columns, np.int32) for r in rows]
+    row, col = np.repeat(np.arange(90), [len(c) for c in columns]), np.concatenate(columns)
+    x = np.log1p(np.concatenate([np.frombuffer(r.counts, np.int32) for r in rows]))
+    at = np.array([*model.weights.astype(float), model.theta[0], math.log(model.theta[1] - model.theta[0])])
+    value = lambda p: toxicity.loss(p[:-2], p[-2], p[-1], grade, row, col, x, 1e-3)
+    other = at + rng.normal(0, 0.5, 8)
+    for k in range(8):
+        step = np.eye(8)[k] * 1e-5
+        assert abs((value(other + step)[0] - value(other - step)[0]) / 2e-5 - value(other)[1][k]) < 1e-5
+    for _ in range(200):
+        assert value(at + rng.normal(0, 0.05, 8))[0] > value(at)[0] - 1e-5
+
+
+def toxicity_row(grade, rng):
+    col = np.sort(rng.choice(6, int(rng.integers(1, 5)), replace=False)).astype(np.int32)
+    count = (1 + rng.integers(0, 3, len(col)) + grade * (col < 2)).astype(np.int32)
+    return collections.namedtuple("Row", "grade columns counts")(int(grade), col.tobytes(), count.tobytes())
 
 
 def test_quality_counts(docs, texts, empty):

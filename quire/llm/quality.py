@@ -3,10 +3,11 @@
 Each text is compressed by zstandard as a whole and in fixed chunks of its UTF-8 bytes.  The ratio
 raw/compressed of the whole text must lie in a band that depends on its length, and no more than
 ``max_bad_chunks`` of its chunks may leave the chunk band: repetitive text exceeds the upper limit,
-incompressible text falls under the lower one.
+incompressible text falls under the lower one.  Every byte is in a chunk, the end in one that reaches back
+over its neighbour; a text under one chunk is judged by the whole band of its length alone.
 
-Null, empty and blank texts have no words and are rejected by the base rule.  Repeated rows get the
-same verdict each; extra input columns are ignored by the query and kept by ``filter_quality``.
+Null, empty and blank texts have no words and are rejected by the base rule.  A ratio on a limit is
+within it.  Rows without an id are judged as any other, repeated rows get the same verdict each; extra input columns are ignored by the query and kept by ``filter_quality``.
 """
 
 from __future__ import annotations
@@ -82,18 +83,19 @@ def base_counts(b: B.Block) -> dict[str, np.ndarray]:
     }
 
 
+def chunks(text: bytes, size: int) -> list[bytes]:
+    """Fixed chunks of a text of at least one; what is left behind the last is judged with the bytes before it, as the last ``size`` bytes."""
+    n = len(text)
+    return [text[i : i + size] for i in range(0, n - size + 1, size)] + [text[-size:]] * (n >= size and n % size > 0)
+
+
 def ratios(text: bytes, bands: Bands, z: zstandard.ZstdCompressor) -> tuple[float, float]:
-    """(ratio of the whole text, share of chunks outside the chunk band); a last chunk under half size joins no band."""
-    n, size = len(text), bands.chunk_bytes
-    whole = n / len(z.compress(text)) if n else 0.0
-    chunks = [text[i : i + size] for i in range(0, n, size)]
-    if len(chunks) > 1 and len(chunks[-1]) * 2 < size:
-        chunks.pop()
-    if n < size:
-        return whole, 0.0
+    """(ratio of the whole text, share of chunks outside the chunk band); a text under one chunk has no chunks."""
+    whole = len(text) / len(z.compress(text)) if text else 0.0
     lo, hi = bands.chunk
-    bad = sum(not lo <= len(c) / len(z.compress(c)) <= hi for c in chunks)
-    return whole, bad / len(chunks)
+    each = chunks(text, bands.chunk_bytes)
+    bad = sum(not lo <= len(c) / len(z.compress(c)) <= hi for c in each)
+    return whole, bad / max(1, len(each))
 
 
 def verdict(n_bytes: int, whole: float, bad: float, bands: Bands) -> bool:

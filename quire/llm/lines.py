@@ -3,7 +3,8 @@
 For each host the pages that contain a line are divided by the host's pages.  A line on at least
 ``min_pages`` pages and more than ``ratio`` of them is boilerplate, and all its occurrences on that
 host are dropped.  A line counts once per page; lines without a word character never count and are
-kept.  A null text has no lines and stays null; a null host is a host of its own.
+kept.  A null text has no lines and stays null; a null host is a host of its own.  Rows without an id and
+repeated rows are pages as any other.  A line on exactly the ratio stays.
 
 Lines are compared by two independent 64-bit hashes.  A host of P pages with L lines a page has at
 most L / ratio boilerplate lines, so the list per host is bounded by the ratio, not by its pages.
@@ -43,25 +44,45 @@ def boilerplate_lines(docs: DataFrame, host: Column, text: Column, ratio: float,
     return lines.join(pages, lines.host.eqNullSafe(pages.h)).where(F.col("n") > ratio * F.col("pages")).groupBy("host").agg(F.collect_list("key").alias("keys"))
 
 
-def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.02, min_pages: int = 5, broadcast_lines: int = 100_000) -> DataFrame:
-    """``docs`` with the boilerplate lines gone, and columns ``_n_lines`` and ``_n_dropped`` added."""
-    bad = boilerplate_lines(docs, F.col(host_col), F.col(text_col), ratio, min_pages).select(F.col("host").alias("_host"), F.col("keys").alias("_keys"))
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of ``df`` has it, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
+def kept_lines(lines: Column, bad: Column) -> Column:
+    """The lines whose key is not in ``bad``: both sides meet once by hash, then only the keys found are compared."""
+    found = F.array_intersect(F.transform(lines, lambda x: F.xxhash64(x)), F.transform(bad, lambda k: k["a"]))
+    hits = F.filter(bad, lambda k: F.array_contains(found, k["a"]))
+    return F.when(F.size(found) == 0, lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(hits, line_key(x)) | ~has_word(x)))
+
+
+def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.02, min_pages: int = 5, broadcast_lines: int = 100_000, n_lines: str = "_n_lines", n_dropped: str = "_n_dropped") -> DataFrame:
+    """``docs`` with the boilerplate lines gone, and columns added that count the lines and those dropped.
+
+    A column of ``docs`` that has the name of an added one is replaced; all others stay as they are.
+    """
+    host, keys, salt, salt_l, lines, kept = fresh(docs, "_host", "_keys", "_salt", "_salt_l", "_lines", "_kept")
+    bad = boilerplate_lines(docs, F.col(host_col), F.col(text_col), ratio, min_pages).select(F.col("host").alias(host), F.col("keys").alias(keys))
     bad = keep(bad, "boilerplate")
-    total = bad.agg(F.coalesce(F.sum(F.size("_keys")), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("h")).first()
+    total = bad.agg(F.coalesce(F.sum(F.size(keys)), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("h")).first()
     if total.n + total.h <= broadcast_lines:
-        joined = docs.join(F.broadcast(bad), docs[host_col].eqNullSafe(bad._host), "left")
+        joined = docs.join(F.broadcast(bad), docs[host_col].eqNullSafe(bad[host]), "left")
     else:
-        salted = bad.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        left = docs.withColumn("_salt_l", F.pmod(F.xxhash64(*[F.col(c) for c in docs.columns if c != host_col] or [F.lit(0)]), F.lit(SALTS)).cast("int"))
-        joined = left.join(salted, left[host_col].eqNullSafe(salted._host) & (left._salt_l == salted._salt), "left").drop("_salt_l", "_salt")
-    split = F.split(F.col(text_col), "\n")
-    joined = joined.withColumn("_lines", split).withColumn("_kept", F.when(F.col("_keys").isNull(), F.col("_lines")).otherwise(F.filter(F.col("_lines"), lambda x: ~F.array_contains(F.col("_keys"), line_key(x)) | ~has_word(x))))
-    return (
-        joined.withColumn("_n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
-        .withColumn("_n_dropped", (F.col("_n_lines") - F.coalesce(F.size("_kept"), F.lit(0))).cast("long"))
-        .withColumn(text_col, F.when(F.col("_keys").isNull(), F.col(text_col)).otherwise(F.array_join("_kept", "\n")))
-        .drop("_lines", "_kept", "_keys", "_host")
-    )
+        salted = bad.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        left = docs.withColumn(salt_l, F.pmod(F.xxhash64(*[F.col(c) for c in docs.columns if c != host_col] or [F.lit(0)]), F.lit(SALTS)).cast("int"))
+        joined = left.join(salted, left[host_col].eqNullSafe(salted[host]) & (left[salt_l] == salted[salt]), "left")
+    split = joined.withColumn(lines, F.split(F.col(text_col), "\n"))
+    split = split.withColumn(kept, F.when(F.col(keys).isNull(), F.col(lines)).otherwise(kept_lines(F.col(lines), F.col(keys))))
+    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
+    text = F.when(F.col(keys).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    own = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in (n_lines, n_dropped)]
+    return split.select(*own, size(lines).alias(n_lines), (size(lines) - size(kept)).alias(n_dropped))
 
 
 ORACLE = r"""

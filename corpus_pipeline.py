@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import jaccard, lines, packing, pii, quality
-from quire.llm.store import keep
+from quire.llm.store import fresh, keep
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -33,9 +33,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     those that agree in their lines with a word, one keeps its whole text, the one of least id, and the
     others go.  Rows without an id come last.  A document without any word stays as it is.
     """
-    cut = lines.drop_boilerplate(docs.select(*COLUMNS).withColumn("_whole", F.col("text")))
-    emptied = (F.col("_n_dropped") > 0) & ~lines.has_word(F.col("text"))
-    copies = cut.where(emptied).select("doc_id", F.col("_whole").alias("text"), "lang", "source")
+    whole, n_lines, n_dropped = fresh(docs.select(*COLUMNS), "_whole", "_n_lines", "_n_dropped")
+    cut = lines.drop_boilerplate(docs.select(*COLUMNS).withColumn(whole, F.col("text")), n_lines=n_lines, n_dropped=n_dropped)
+    emptied = (F.col(n_dropped) > 0) & ~lines.has_word(F.col("text"))
+    copies = cut.where(emptied).select("doc_id", F.col(whole).alias("text"), "lang", "source")
     page = F.array_join(F.filter(F.split("text", "\n"), lines.has_word), "\n")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text", "lang")).alias("one")
     ones = copies.groupBy("source", lines.line_key(page).alias("page")).agg(least).select("one.doc_id", "one.text", "one.lang", "source")
@@ -43,10 +44,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least id of each group of linked documents; rows without an id stay."""
-    found = jaccard.components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    own = docs.select(*COLUMNS)
-    return own.join(found, "doc_id", "left_semi").select(*COLUMNS).union(own.where("doc_id IS NULL"))
+    """The document of least id of each group of linked documents; rows without an id come last, those without words all stay."""
+    return jaccard.first_of_each(docs.select(*COLUMNS))
 
 
 def redaction_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,7 +29,9 @@ members are all in one component is finished, and the rest recur with more pivot
 all distances are alike, is joined directly: points outside its largest component meet all others.
 
 Null, empty and blank texts have no shingles, are linked with nothing and form their own component.
-Repeated texts form one component.  Set ids and shingles are 64-bit hashes.
+Repeated texts form one component.  Rows without an id carry links as any other; their component is the
+least id they reach, null if none.  Of equally good pivots the one of least hash is taken; which one is does not
+change the result.  Set ids and shingles are 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -44,13 +46,14 @@ from pyspark.sql import functions as F
 from . import blocks as B
 from . import exchange as X
 from .components import connected
-from .store import keep
+from .store import fresh, keep
 
 SHINGLE = 5
 SMALL = 24
 LEAF = 128
 PIVOTS = 8
 DEEPEST = 16
+SALTS = 16
 T, R, EPS = 0.25, 0.5, 1e-9
 
 
@@ -89,18 +92,23 @@ def shown(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.minimum(n, n - -(-3 * n // 4) + 1 + e), e
 
 
-SETS = "doc_id long, sid long, n long"
+SETS = "doc_id long, text_hash long, sid long, n long"
 SHOWN = "bucket long, shingles binary, sids binary"
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, text): what tells documents apart, with or without an id."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+
+
 def read_sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, b in B.blocks(batch.column(1), lower=True):
+            for lo, hi, b in B.blocks(batch.column(2), lower=True):
                 h, off = shingle_sets(b)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(set_ids(h, off)), pa.array(np.diff(off))], ["doc_id", "sid", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(set_ids(h, off)), pa.array(np.diff(off))], ["doc_id", "text_hash", "sid", "n"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SETS)
+    return keyed(docs).mapInArrow(run, SETS)
 
 
 def show(docs: DataFrame, buckets: int) -> DataFrame:
@@ -156,17 +164,22 @@ def meet(t: pa.Table) -> pa.Table:
     )
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, items) of the wanted (sid, rep) points, from the texts of their first documents."""
+def full_sets(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
+    """(sid, items) of the wanted points (sid, rep), from the texts of their first documents.
+
+    ``rep`` is the key of a document; where rows are repeated several have it, and one set of each stays.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, b in B.blocks(batch.column(1), lower=True):
                 h, off = shingle_sets(b)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(set_ids(h, off)), pa.array([h[x:y].tobytes() for x, y in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["want", "sid", "items"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([h[x:y].tobytes() for x, y in zip(off[:-1], off[1:], strict=True)], pa.binary())], ["sid", "items"])
 
-    found = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted.select("rep", F.col("sid").alias("want")), "rep").select("want", "text").mapInArrow(run, "want long, sid long, items binary")
-    return found.where("want = sid").select("sid", "items")
+    reps = wanted.select("sid", F.col("rep.doc_id").alias("_id"), F.col("rep.text_hash").alias("_hash"))
+    rows = keyed(docs)
+    found = rows.join(reps, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("sid", "text").mapInArrow(run, "sid long, items binary")
+    return found.dropDuplicates(["sid"]) if repeated else found
 
 
 def meet_rarest(sets: DataFrame) -> DataFrame:
@@ -231,6 +244,12 @@ def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long, d double, linked boolean")
 
 
+def by_region(members: DataFrame, regions: DataFrame) -> DataFrame:
+    """Members (region, sid, ...) with the columns of their region's row; a large region is dealt to ``SALTS`` tasks."""
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("sid"), F.lit(SALTS)).cast("int"))
+    return salted.join(regions.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["region", "salt"]).drop("salt")
+
+
 def labelled(members: DataFrame, comp: DataFrame) -> DataFrame:
     """Members (region, sid) with the component of each point, itself if it has no link."""
     return members.join(comp.select(F.col("node").alias("sid"), "component"), "sid", "left").select("region", "sid", F.coalesce("component", "sid").alias("component"))
@@ -251,7 +270,7 @@ def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     """
     sizes = members.groupBy("region", "component").agg(F.count(F.lit(1)).alias("k"))
     sizes = sizes.groupBy("region").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.sum("k").alias("m"), F.max("k").alias("most"))
-    own = members.select("region", "sid", "component").join(sizes, "region").join(sets, "sid")
+    own = by_region(members.select("region", "sid", "component"), sizes).join(sets, "sid")
     count = lambda n: F.ceil(n / LEAF).cast("int")
     deal = lambda n, seed: F.pmod(F.xxhash64("sid", F.lit(seed)), count(n)).cast("int")
     spread = lambda n: F.explode(F.sequence(F.lit(0), count(n) - 1))
@@ -287,7 +306,7 @@ def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
 def split_regions(members: DataFrame, sets: DataFrame, n_pivots: int) -> tuple[DataFrame, DataFrame]:
     """One recursion: (links to pivots, members of the new regions)."""
     pivots = members.groupBy("region").agg(F.array_distinct(F.array(*[F.min_by("sid", F.xxhash64("sid", F.lit(k))) for k in range(n_pivots)])).alias("pivots"))
-    pairs = members.join(pivots, "region").select("region", "sid", F.explode("pivots").alias("pivot"))
+    pairs = by_region(members, pivots).select("region", "sid", F.explode("pivots").alias("pivot"))
     asked = pairs.where("sid <> pivot").select(F.col("sid").alias("a"), F.col("pivot").alias("b")).distinct()
     known = keep(distances(asked, sets), "distances")
     own = pairs.join(known.select(F.col("a").alias("sid"), F.col("b").alias("pivot"), "d"), ["sid", "pivot"], "left")
@@ -299,10 +318,12 @@ def split_regions(members: DataFrame, sets: DataFrame, n_pivots: int) -> tuple[D
 
 
 def components(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document."""
+    """(doc_id, n_shingles, component_id, text_hash, point) of every document; point is that of its set's component, null for empty sets."""
     n_bytes = X.text_bytes(docs)
     sets = keep(read_sets(docs), "sets")
-    points = sets.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    repeated = not sets.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("rep")
+    points = sets.where("n > 0").groupBy("sid").agg(first, F.first("n").alias("n"))
     met = keep(show(docs, X.n_buckets(docs, n_bytes // 16)).groupBy("bucket").applyInArrow(meet, MET), "met")
     large = met.where("large").select(F.col("a").alias("region"), F.col("b").alias("sid"))
     shares = large.groupBy("sid").agg(F.count(F.lit(1)).alias("h"))
@@ -315,13 +336,13 @@ def components(docs: DataFrame) -> DataFrame:
     heavy = keep(members.groupBy("sid").agg(F.count(F.lit(1)).alias("m")).select("sid"), "heavy")
 
     wanted = able.select(F.explode(F.array("a", "b")).alias("sid")).union(heavy).distinct()
-    full = keep(full_sets(docs, info.join(wanted, "sid", "left_semi")), "full")
+    full = keep(full_sets(docs, info.join(wanted, "sid", "left_semi"), repeated), "full")
     again = keep(meet_rarest(full.join(heavy, "sid", "left_semi")), "rarest")
     pairs = again.where("NOT large").join(info.select(F.col("sid").alias("a"), F.col("n").alias("na")), "a").join(info.select(F.col("sid").alias("b"), F.col("n").alias("nb")), "b")
     able = keep(able.union(pairs.where("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b")).distinct(), "candidates")
     large = again.where("large").select(F.col("a").alias("region"), F.col("b").alias("sid"))
     first = large.groupBy("region").agg(F.min_by("sid", F.xxhash64("sid")).alias("pivot"))
-    members = keep(large.join(first, "region").select(F.col("pivot").alias("region"), "sid").distinct(), "regions")
+    members = keep(by_region(large, first).select(F.col("pivot").alias("region"), "sid").distinct(), "regions")
 
     star = able.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = keep(distances(star, full).where("linked").select("a", "b"), "linked")
@@ -338,7 +359,7 @@ def components(docs: DataFrame) -> DataFrame:
             break
         members = labelled(members, comp)
         state = members.groupBy("region").agg(F.count(F.lit(1)).alias("m"), (F.min("component") != F.max("component")).alias("mixed")).where("mixed")
-        members = keep(members.join(state, "region"), "regions")
+        members = keep(by_region(members, state), "regions")
         if members.isEmpty():
             break
         big = members.where(F.col("m") > LEAF)
@@ -355,11 +376,30 @@ def components(docs: DataFrame) -> DataFrame:
         if new := [x for x in new if not x.isEmpty()]:
             found += new
             comp = merged(found)
-    reps = comp.join(info.select(F.col("sid").alias("node"), "rep"), "node")
-    least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
-    label = reps.join(least, "component").select(F.col("node").alias("sid"), "component_id")
-    label = points.select("sid", "rep").join(label, "sid", "left").select("sid", F.coalesce("component_id", "rep").alias("component_id"))
-    return sets.join(label, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    point = points.join(comp.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", F.col("rep.doc_id").alias("rep"), F.coalesce("component", "sid").alias("point"))
+    least = point.groupBy("point").agg(F.min("rep").alias("component_id"))
+    label = point.join(least, "point").select("sid", "point", "component_id")
+    return sets.join(label, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash", "point")
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stand for their component: that of least (id, text hash), rows without an id last.
+
+    Rows of empty sets are linked with nothing and all stay; of repeated rows that stand for their component one stays.
+    """
+    found = keep(components(docs), "components")
+    key = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    firsts = found.where("n_shingles > 0").groupBy("point").agg(F.min(key).alias("k"), F.count(F.lit(1)).alias("n"))
+    empty = found.where("n_shingles = 0").select("doc_id", "text_hash").distinct()
+    i, h, once, j, g = fresh(docs, "_id", "_hash", "_once", "_id2", "_hash2")
+    wanted = firsts.select(F.col("k.doc_id").alias(i), F.col("k.text_hash").alias(h), F.lit(True).alias(once)).union(empty.select("doc_id", "text_hash", F.lit(False)))
+    kept = docs.join(wanted, F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64("text") == F.col(h)))
+    often = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias(j), F.col("text_hash").alias(g)).agg(F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
+    if not often.isEmpty():
+        same = F.col(i).eqNullSafe(F.col(j)) & (F.col(h) == F.col(g))
+        single = kept.where(F.col(once)).join(often, same, "left_semi").dropDuplicates([i, h])
+        kept = kept.join(often, same & F.col(once), "left_anti").union(single)
+    return kept.select(*docs.columns)
 
 
 def merged(links: list[DataFrame]) -> DataFrame:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import keep
+from .store import fresh, keep
 
 SALTS = 64
 
@@ -44,17 +44,6 @@ def boilerplate_lines(docs: DataFrame, host: Column, text: Column, ratio: float,
     return lines.join(pages, lines.host.eqNullSafe(pages.h)).where(F.col("n") > ratio * F.col("pages")).groupBy("host").agg(F.collect_list("key").alias("keys"))
 
 
-def fresh(df: DataFrame, *names: str) -> list[str]:
-    """The names, each with underscores in front until no column of ``df`` has it, in any case."""
-    taken = {c.lower() for c in df.columns}
-    out = []
-    for name in names:
-        while name.lower() in taken:
-            name = "_" + name
-        out.append(name)
-    return out
-
-
 def kept_lines(lines: Column, bad: Column) -> Column:
     """The lines whose key is not in ``bad``: both sides meet once by hash, then only the keys found are compared."""
     found = F.array_intersect(F.transform(lines, lambda x: F.xxhash64(x)), F.transform(bad, lambda k: k["a"]))

@@ -14,7 +14,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.components(documents(spark, sf_dir))
+    return jaccard.components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +51,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = lines.drop_boilerplate(documents(spark, sf_dir).select("doc_id", "text", "source"))
-    return kept.selectExpr("doc_id", "_n_lines AS n_lines", "_n_dropped AS n_dropped", "text")
+    kept = lines.drop_boilerplate(documents(spark, sf_dir).select("doc_id", "text", "source"), n_lines="n_lines", n_dropped="n_dropped")
+    return kept.select("doc_id", "n_lines", "n_dropped", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_subword_lattice, op3_toxicity, op4_quality_rules, op5_personal_data, op6_weighted_sampling, op7_substring_dedup, op8_best_fit_packing, op9_sentencepiece, op10_line_dedup)}

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where that is unset, as in local tests."""
+    """The folder of spark.checkpoint.dir; where that is unset, one below the warehouse, or a temporary one in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quire-"))
+        local = context.master.startswith("local") and not context.master.startswith("local-cluster")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="quire-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quire-kept")
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
@@ -24,3 +25,14 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores in front until no column of ``df`` has it, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out

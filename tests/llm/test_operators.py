@@ -130,6 +130,41 @@ def piece_table():
     return sp, rank
 
 
+def edited(base, n_edits, tag, rng):
+    w = list(base)
+    for at in rng.choice(len(w), n_edits, replace=False):
+        w[at] = f"{tag}x{at}"
+    return " ".join(w)
+
+
+def test_jaccard_large_region_of_unlike_copies(spark):
+    """500 copies at mutual distances of 0.25 to 0.6 that share items, among them pairs that link; constants as they are."""
+    rng = np.random.Generator(np.random.PCG64(11))
+    base = [f"w{i}" for i in range(120)]
+    kinds = [edited(base, 4, f"k{k}", rng).split() for k in range(12)]
+    texts = [edited(kinds[int(rng.integers(12))], int(rng.integers(0, 4)), f"v{rng.integers(40)}", rng) for _ in range(500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    assert by_id(jaccard.components(df), "n_shingles", "component_id") == linked_components(texts)
+
+
+def test_jaccard_rows_without_id_and_repeated_rows(spark):
+    base = [f"w{i}" for i in range(44)]
+    link = " ".join([*base[:-1], "end"])  # 39 of 41 shingles shared with base
+    far = " ".join([*base[6:-1], "end", *(f"t{i}" for i in range(4))])  # linked with link only
+    rows = [(1, " ".join(base)), (None, link), (7, far), (7, far), (3, "lone text of six words here"), (None, "other lone text of six words"), (None, "other lone text of six words"), (None, None), (5, ""), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    sets = linked_components([t for _, t in rows])
+    assert {sets[i][1] for i in (0, 1, 2, 3)} == {0}
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.components(df).collect()), key=repr)
+    least = {}
+    for i, (doc, _) in enumerate(rows):
+        least[sets[i][1]] = min([x for x in (least.get(sets[i][1]), doc) if x is not None], default=None)
+    want = [(doc, sets[i][0], least[sets[i][1]] if sets[i][0] else doc) for i, (doc, _) in enumerate(rows)]
+    assert got == sorted(want, key=repr)
+    kept = [(r.doc_id, r.text) for r in jaccard.first_of_each(df.withColumn("_id", F.lit(1))).collect()]
+    assert sorted(kept, key=repr) == sorted([(1, rows[0][1]), (3, rows[4][1]), (None, rows[5][1]), (None, None), (5, ""), (5, "")], key=repr)
+
+
 def test_lattice_sums_all_segmentations(spark, piece_table):
     _, rank = piece_table
     weight = {t: 1 / (r + 1000) for t, (r, _) in rank.items()}

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from . import blocks as B
 from . import exchange as X
-from .components import connected
+from .components import extended
 from .store import fresh, keep
 
 SHINGLE = 5
@@ -346,14 +346,11 @@ def components(docs: DataFrame) -> DataFrame:
 
     star = able.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = keep(distances(star, full).where("linked").select("a", "b"), "linked")
-    found = [links]
-    if not members.isEmpty():
-        found.append(keep(distances(members.where("sid <> region").select(F.col("sid").alias("a"), F.col("region").alias("b")), full).where("linked").select("a", "b"), "linked"))
-    comp = merged(found)
+    to_pivot = distances(members.where("sid <> region").select(F.col("sid").alias("a"), F.col("region").alias("b")), full).where("linked").select("a", "b")
+    comp = extended(None, links.union(keep(to_pivot, "linked")))
     more = keep(distances(across(able.join(star, ["a", "b"], "left_anti"), comp), full).where("linked").select("a", "b"), "linked")
     if not more.isEmpty():
-        found.append(more)
-        comp = merged(found)
+        comp = extended(comp, more)
     for depth in range(1, DEEPEST + 1):
         if members is None or members.isEmpty():
             break
@@ -373,11 +370,11 @@ def components(docs: DataFrame) -> DataFrame:
                 after = None  # distances too alike for windows to part the regions
         new.append(keep(block_links(members if after is None else members.where(F.col("m") <= LEAF), full), "linked"))
         members = after
-        if new := [x for x in new if not x.isEmpty()]:
-            found += new
-            comp = merged(found)
+        for links in new:
+            if not links.isEmpty():
+                comp = extended(comp, links)
     point = points.join(comp.select(F.col("node").alias("sid"), "component"), "sid", "left").select("sid", F.col("rep.doc_id").alias("rep"), F.coalesce("component", "sid").alias("point"))
-    least = point.groupBy("point").agg(F.min("rep").alias("component_id"))
+    least = keep(point.groupBy("point").agg(F.min("rep").alias("component_id")), "least")
     label = point.join(least, "point").select("sid", "point", "component_id")
     return sets.join(label, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash", "point")
 
@@ -400,10 +397,3 @@ def first_of_each(docs: DataFrame) -> DataFrame:
         single = kept.where(F.col(once)).join(often, same, "left_semi").dropDuplicates([i, h])
         kept = kept.join(often, same & F.col(once), "left_anti").union(single)
     return kept.select(*docs.columns)
-
-
-def merged(links: list[DataFrame]) -> DataFrame:
-    out = links[0]
-    for x in links[1:]:
-        out = out.union(x)
-    return keep(connected(out), "components")

@@ -596,3 +596,16 @@ def test_components_settle_or_raise(spark):
     with pytest.raises(RuntimeError):
         components.connected(chain, rounds=1)
     assert {(r.node, r.component) for r in components.connected(chain).collect()} == {(x, 0) for x in order}
+
+
+def test_components_grow_by_more_links(spark):
+    rng = np.random.Generator(np.random.PCG64(9))
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 80, (60, 2))] + [(90, 91), (92, 92)]
+    known = None
+    for at in (0, 20, 40, 60):
+        known = components.extended(known, spark.createDataFrame(links[at : at + 20], "a long, b long"))
+    root = {x: x for link in links for x in link}
+    for _ in root:
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {(r.node, r.component) for r in known.collect()} == {(x, c) for x, c in root.items() if any(x in link and link[0] != link[1] for link in links)}

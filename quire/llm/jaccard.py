@@ -262,11 +262,33 @@ def across(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return pairs.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").distinct()
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The links (a, b) that join components not joined by those before them: enough of them for all."""
+    labels, both = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = both[: len(a)], both[len(a) :]
+    _, first = np.unique(np.minimum(x, y) * len(labels) + np.maximum(x, y), return_index=True)
+    root = list(range(len(labels)))
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = k = root[root[k]]
+        return k
+
+    out = []
+    for at in first.tolist():
+        p, q = top(int(x[at])), top(int(y[at]))
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            out.append(at)
+    return np.array(out, np.int64)
+
+
 def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a, b) between different components within regions of labelled members, found exactly.
+    """Links (a, b) that join different components within regions of labelled members, found exactly.
 
     Points outside the largest component of their region meet all its members, in cells of ``LEAF`` by
-    ``LEAF`` sets whose intersections are one matrix product; sets travel once per cell, not per pair.
+    ``LEAF`` sets whose intersections are one matrix product; sets travel once per cell, not per pair, and of
+    the links of a cell only those go out that join components.
     """
     sizes = members.groupBy("region", "component").agg(F.count(F.lit(1)).alias("k"))
     sizes = sizes.groupBy("region").agg(F.max(F.struct("k", "component"))["component"].alias("main"), F.sum("k").alias("m"), F.max("k").alias("most"))
@@ -298,7 +320,8 @@ def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
         c = [x.column("component").to_numpy(), y.column("other").to_numpy()]
         hit = (100 * inter >= 75 * (n[0][:, None] + n[1][None, :] - inter)) & (c[0][:, None] != c[1][None, :])
         i, j = np.nonzero(hit)
-        return pa.table({"a": x.column("sid").to_numpy()[i], "b": y.column("b").to_numpy()[j]})
+        keep_ = spanning(c[0][i], c[1][j])
+        return pa.table({"a": x.column("sid").to_numpy()[i[keep_]], "b": y.column("b").to_numpy()[j[keep_]]})
 
     return left.groupBy("region", "i", "j").cogroup(right.groupBy("r", "k", "l")).applyInArrow(run, "a long, b long").distinct()
 

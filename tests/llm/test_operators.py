@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
 from quire.llm import blocks as B
@@ -292,19 +293,40 @@ def toxicity_row(grade, rng):
     return collections.namedtuple("Row", "grade columns counts")(int(grade), col.tobytes(), count.tobytes())
 
 
-def test_quality_counts(docs, texts, empty):
-    got = by_id(quality.quality_report(docs), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    for i, t in enumerate(texts):
-        t = t or ""
-        w = words(t)
-        split = [x for x in t.split("\n") if words(x)]
-        grams = collections.Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
-        covered = {k + d for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for d in range(3)}
-        failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
-        assert got[i][:6] == (len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(split) - len(set(split)), len(covered), failed)
-        assert not (failed and got[i][6])
+def plain_quality(t):
+    """(the base counts, base_failed, kept) of a text, with zstandard itself."""
+    t = t or ""
+    w = words(t)
+    split = [x for x in t.split("\n") if words(x)]
+    grams = collections.Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+    covered = {k + d for k in range(len(w) - 2) if grams[tuple(w[k : k + 3])] > 1 for d in range(3)}
+    failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
+    data, bands = t.encode(), quality.Bands()
+    ratio = lambda x: len(x) / len(zstandard.compress(x, 3)) if x else 0.0
+    lo, hi = [(lo, hi) for most, lo, hi in bands.whole if len(data) <= most][0]
+    parts = [data[i : i + 1024] for i in range(0, len(data), 1024)] if len(data) >= 1024 else []
+    if parts and len(parts[-1]) < 1024:
+        parts[-1] = data[len(data) - 1024 :]
+    bad = sum(not bands.chunk[0] <= ratio(x) <= bands.chunk[1] for x in parts)
+    kept = not failed and lo <= ratio(data) <= hi and bad <= bands.max_bad_chunks * len(parts)
+    return len(w), sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), len(split) - len(set(split)), len(covered), failed, kept
+
+
+def junk(rng, n):
+    return "".join(chr(33 + int(x)) for x in rng.integers(0, 90, n))
+
+
+def test_quality_counts(spark, docs, texts, empty):
+    rng = np.random.Generator(np.random.PCG64(13))
+    base = " ".join(invented(21, 12))
+    more = [junk(rng, 300) + " a" * 60, " ".join(junk(rng, 9) for _ in range(400)), base[:3000] + " " + " ".join(junk(rng, 8) for _ in range(30)), base[:1500] + " z" * 300, base[:1024], base[:1025], base, "it is so. " * 300, "\n".join(f"row {i} of {i * i}" for i in range(200))]
+    df = docs.select("doc_id", "text").union(spark.createDataFrame([(500 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
+    got = by_id(quality.quality_report(df), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    want = {i: plain_quality(t) for i, t in [*enumerate(texts), *((500 + i, t) for i, t in enumerate(more))]}
+    assert got == want
+    assert {x[5:] for x in want.values()} == {(True, False), (False, False), (False, True)}
     kept = quality.filter_quality(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, x in got.items() if x[6])
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, x in got.items() if x[6] and i < 500)
     assert quality.filter_quality(empty).count() == 0 == quality.quality_report(empty).count()
 
 
@@ -537,19 +559,72 @@ def test_lines(spark, empty, limit):
     assert lines.drop_boilerplate(empty).count() == 0
 
 
-def test_pipeline(spark, tmp_path, docs):
+def plain_lines(rows):
+    """Rows (id, text, source) without boilerplate; of pages with nothing else, one of those that agree."""
+    pages = collections.Counter(s for _, _, s in rows)
+    seen = collections.Counter((s, x) for _, t, s in rows if t is not None for x in set(t.split("\n")) if words(x))
+    bad = {k for k, n in seen.items() if n >= 5 and n > 0.02 * pages[k[0]]}
+    out, copies = [], {}
+    for i, t, s in rows:
+        cut = None if t is None else "\n".join(x for x in t.split("\n") if (s, x) not in bad)
+        if cut != t and not words(cut):
+            key = (s, "\n".join(x for x in t.split("\n") if words(x)))
+            copies[key] = min(copies.get(key, (i, t, s)), (i, t, s))
+        else:
+            out.append((i, cut, s))
+    return sorted([*out, *copies.values()])
+
+
+def test_pipeline(spark, tmp_path, empty):
+    """Each stage against a plain version of it over what the stage before kept."""
     import corpus_pipeline
 
-    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    rng = np.random.Generator(np.random.PCG64(17))
+    bodies = [" ".join(x) for x in np.array_split(" ".join(invented(31, 60)).split(), 40)]
+    rows = []
+    for i, body in enumerate(bodies):
+        text = "Site head line\n" + body + f"\nfoot {i % 2}\n" + DENSE * (i % 7 == 0)
+        rows.append((i, text, f"s{i % 2}"))
+        if i % 5 == 0:
+            rows.append((100 + i, text + " tail", f"s{i % 2}"))
+        if i % 8 == 0:
+            rows.append((200 + i, " ".join(junk(rng, 9) for _ in range(90)), "s0"))
+    rows += [(300 + i, f"{bodies[3]} same page", "s1") for i in range(6)] + [(400, None, "s0"), (401, "", None), (402, "few words", "s0")]
+    d = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    d.write.parquet(str(tmp_path / "documents.parquet"))
+
+    def ran(k, rows):
+        name, stage = corpus_pipeline.STAGES[k]
+        frame = spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], d.schema).repartition(3)
+        out = stage(spark, frame, str(tmp_path))
+        assert name == ("quality", "line_dedup", "jaccard_join", "redaction")[k] and out.columns == list(corpus_pipeline.COLUMNS)
+        return sorted((r.doc_id, r.text, r.source) for r in out.collect())
+
+    kept = sorted(x for x in rows if plain_quality(x[1])[6])
+    assert ran(0, rows) == kept and 40 <= len(kept) < len(rows)
+    lined = plain_lines(kept)
+    assert ran(1, kept) == lined and len(lined) < len(kept)
+    group = linked_components([t for _, t, _ in lined])
+    firsts = [x for k, x in enumerate(lined) if group[k][1] == k]
+    assert ran(2, lined) == firsts and len(firsts) < len(lined)
+    spans = by_id(pii.find(spark.createDataFrame([(i, t) for i, t, _ in firsts], "doc_id long, text string")), "spans")
+    clean = []
+    for i, t, s in firsts:
+        for kind, lo, hi in sorted((x.split(":") for x in spans[i][0].split(",") if x), key=lambda x: -int(x[1])):
+            t = t[: int(lo)] + f"[{kind.upper()}]" + t[int(hi) :]
+        clean.append((i, t, s))
+    assert ran(3, firsts) == clean and sum("[PHONE]" in t for _, t, _ in clean) >= 4
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    kept = {r.doc_id for r in quality.filter_quality(docs).collect()}
-    ids = {r.doc_id for r in out}
-    assert ids and ids <= kept
-    d = spark.read.parquet(str(tmp_path / "documents.parquet"))
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        d = stage(spark, d, str(tmp_path)).cache()
-        assert d.columns == list(corpus_pipeline.COLUMNS)
-    assert {r.doc_id for r in d.select(F.col("doc_id")).collect()} == ids
+    v, end = pieces.load(pieces.MODEL), pieces.end_id(pieces.MODEL)
+    got = collections.defaultdict(list)
+    for r in sorted(out, key=lambda r: (r.doc_id, r.piece)):
+        got[r.doc_id] += r.ids
+    encoded = lambda t: [*pieces.encode_block(x := np.frombuffer(t.encode(), np.uint8), np.array([0, len(x)]), v)[0].tolist(), end]
+    assert got == {i: encoded(t) for i, t, _ in clean}
+    order = sorted(out, key=lambda r: (r.bin, r.bin_offset))
+    assert sum(s for _, s in {(r.bin, r.bin_size) for r in order}) == sum(total for _, total in {(b, size) for b, _, size in plain_pack([r.piece_tokens for r in out], packing.SIZES)})
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty.select(*corpus_pipeline.COLUMNS), str(tmp_path)).count() == 0, name
 
 
 def test_pipeline_keeps_one_of_pages_with_only_boilerplate(spark):
@@ -609,3 +684,53 @@ def test_components_grow_by_more_links(spark):
         for a, b in links:
             root[a] = root[b] = min(root[a], root[b])
     assert {(r.node, r.component) for r in known.collect()} == {(x, c) for x, c in root.items() if any(x in link and link[0] != link[1] for link in links)}
+
+
+CLASH = "chunk bucket sid n h none id key keys vals label region pivot text_hash want items point rep held_out word term shard piece bin tokens grade salt part next_id host _id _h _hash _once _host _keys _lines _kept _salt _salt_l _n_lines _n_dropped _whole _copy is_edited times".split()
+DENSE = "call (212) 555-0187 or mail a.b@c-d.org now, card 4111 1111 1111 1112; "
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null and repeated ids, a text of 5 MB without spaces, one of 5 MB dense in spans, and columns named like inner ones."""
+    some = "some plain words that make up a text of more than five of them"
+    rows = [(1, some), (None, some), (None, some + " too"), (None, None), (2, None), (2, ""), (3, some), (3, some), (3, "other text"), (2**53 + 1, "a b c d e f g"), (5, " \n\t ")]
+    big = spark.range(2).selectExpr("id + 10 AS doc_id", f"CASE WHEN id = 0 THEN repeat('QmFzZTY0', 625000) ELSE repeat('{DENSE}', 70000) END AS text")
+    df = spark.createDataFrame(rows, "doc_id long, text string").union(big)
+    df = df.selectExpr("doc_id", "text", "'en' AS lang", "'site' AS source", "0L AS n_chars", *[f"'{c}' AS `{c}`" for c in CLASH])
+    return df.repartition(4).cache(), [*(i for i, _ in rows), 10, 11]
+
+
+ODD = {
+    "op1": lambda d: jaccard.components(d),
+    "op2": lambda d: lattice.score(d),
+    "op3": lambda d: toxicity.score(d, toxicity.train(d, d.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic", "1 AS quality"))),
+    "op4": lambda d: quality.quality_report(d),
+    "op5": lambda d: pii.find(d),
+    "op5 redact": lambda d: pii.redact(d),
+    "op6": lambda d: sampling.report(d),
+    "op7": lambda d: substrings.removal(d),
+    "op8": lambda d: packing.pack_documents(d).where("piece = 0"),
+    "op9": lambda d: pieces.encode_documents(d),
+    "op10": lambda d: lines.drop_boilerplate(d),
+}
+
+
+@pytest.mark.parametrize("name", ODD)
+def test_odd_rows(odd, empty, name):
+    docs, ids = odd
+    out = ODD[name](docs)
+    assert sorted((r.doc_id for r in out.select("doc_id").collect()), key=repr) == sorted(ids, key=repr)
+    assert out.where("doc_id IN (10, 11)").count() == 2
+    if name in ("op5 redact", "op10"):
+        same = [c for c in docs.columns if c not in ("text", "_n_lines", "_n_dropped")]
+        assert set(docs.columns) <= set(out.columns) and out.select(*same).exceptAll(docs.select(*same)).isEmpty()
+    if name == "op1":
+        got = {(r.doc_id, r.n_shingles): r.component_id for r in out.collect()}
+        assert got[None, 10] == 1 == got[3, 10] and got[None, 0] is None and got[2, 0] == 2
+    if name == "op5":
+        r = out.where("doc_id = 11").first()
+        assert (r.n_email, r.n_phone) == (70000, 0) and r.spans.count("phone:") == 70000
+    if name == "op9":
+        assert out.where("NOT round_trip").isEmpty()
+    assert ODD[name](empty).count() == 0

@@ -4,11 +4,13 @@ import collections
 import hashlib
 import math
 import re
+import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
@@ -416,15 +418,63 @@ def test_sampling(docs, texts, empty, spark):
     assert sampling.report(many.union(many.limit(10))).count() == 3010
 
 
-def test_sampling_estimates_generalised_jaccard(spark):
-    a, b = collections.Counter("a b c d e f g h".split() * 2), collections.Counter("a b c d e f x y".split() * 3)
-    want = sum((a & b).values()) / sum((a | b).values())
-    rows = []
-    for k in range(60):
-        rows += [(2 * k, " ".join(f"{w}{k}" for w in a.elements())), (2 * k + 1, " ".join(f"{w}{k}" for w in b.elements()))]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = [r.near_next for r in sampling.report(df).collect() if r.doc_id % 2 == 0]
-    assert abs(np.mean(got) - want) < 0.06
+def plain_fingerprint(text):
+    """Samples of one text by the formula, over hashes of the xxhash package."""
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    long = lambda x, seed: xxhash.xxh64(struct.pack("<q", signed(x & (1 << 64) - 1)), seed=seed).intdigest()
+    small = lambda x, seed: xxhash.xxh64(struct.pack("<i", x), seed=seed).intdigest()
+    count = collections.Counter(words(text) or [""])
+    terms = {xxhash.xxh64(w.encode(), seed=42).intdigest(): n for w, n in count.items()}
+    out = ""
+    for k in range(sampling.SAMPLES):
+        best = None
+        for term, n in terms.items():
+            h = small(k, long(term, 42))
+            g = small(1, h)
+            e1, e2, e4 = (-math.log((bits + 0.5) / 2**31) for bits in (h >> 33, g >> 33, g & 0x7FFFFFFF))
+            r = e2 + math.log((e1 + e4) / e1)
+            t = math.floor((math.log(n) + e2) / r)
+            key = ((h >> 33) << 32 | h & 0xFFFFFFFF) if t == 0 else (int(math.exp(-e1 * math.exp(-r * t)) * 2**31) << 32 | long(t, long(h, 42)) & 0xFFFFFFFF)
+            best = max(best or 0, key)
+        out += f"{best & 65535:04x}"
+    return out
+
+
+def test_fingerprints_follow_the_formula(spark):
+    rng = np.random.Generator(np.random.PCG64(19))
+    texts = ["", None, "one", "a a a a b", "x y z " * 7, " ".join(f"w{i}" for i in rng.zipf(1.4, 400) % 90), "naïve  café\ttest"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = by_id(sampling.report(df), "fingerprint", "near_next")
+    want = [plain_fingerprint(t or "") for t in texts]
+    assert [got[i][0] for i in range(len(texts))] == want
+    for i, f in enumerate(want):
+        g = want[(i + 1) % len(want)]
+        assert got[i][1] == sum(f[4 * k : 4 * k + 4] == g[4 * k : 4 * k + 4] for k in range(48)) / 48
+
+
+@pytest.mark.parametrize(("terms", "pairs", "times"), [(8, 60, (2, 3)), (2000, 40, (1, 2)), (20_000, 30, (1, 3)), (20_000, 30, (1, 40))])
+def test_sampling_estimates_generalised_jaccard(spark, terms, pairs, times):
+    """Within three standard errors, for few and for many terms; half of the terms are as frequent in both texts."""
+    x, y = times
+    rows = spark.range(2 * pairs).selectExpr("id AS doc_id", f"concat_ws(' ', transform(sequence(1, {terms}), i -> repeat(concat('w', id div 2, 'x', i, ' '), CASE WHEN i % 2 = 0 OR id % 2 = 0 THEN {x} ELSE {y} END))) AS text")
+    got = [r.near_next for r in sampling.report(rows.repartition(8)).collect() if r.doc_id % 2 == 0]
+    want = (x + x) / (x + y)
+    assert abs(np.mean(got) - want) < 3 * math.sqrt(want * (1 - want) / (pairs * sampling.SAMPLES))
+
+
+def test_sampling_order_of_rows(spark):
+    """The row that follows, with null ids last, equal ids by a hash of the text, and repeated rows as one document."""
+    rows = [(1, "a b"), (2**53 + 1, "c d"), (2**53, "e f g h"), (None, "i j k l"), (None, "m n"), (1, "o p q r s t"), (1, "o p q r s t"), (-4, "u v w x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    h = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, h[r[1]]))
+    follow = dict(zip(order, [*order[1:], order[0]], strict=True))
+    got = collections.Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in sampling.report(df).collect())
+    want = collections.Counter()
+    for i, t in rows:
+        cut = len(t) // 4
+        want[i, len(t), hashlib.sha256((t[: len(t) - cut] + follow[i, t][1][:cut]).encode()).hexdigest()] += 1
+    assert got == want
 
 
 def test_substrings(docs, texts, empty):

@@ -33,9 +33,9 @@ def watch(spark: SparkSession, root: str, extensions: list[str], files_per_trigg
     return files.where(extension(F.col("path")).isin(*[e.lower() for e in extensions]))
 
 
-def sidecars(spark: SparkSession, root: str) -> DataFrame:
-    """Quality sidecars below a root, corrupt ones left out, with their route."""
-    rows = spark.read.schema(SIDECAR).option("recursiveFileLookup", True).option("pathGlobFilter", "*.qc.json").option("multiLine", True).option("mode", "DROPMALFORMED").json(root)
+def sidecars(spark: SparkSession, root: str, pattern: str = "*.qc.json", whole: bool = True) -> DataFrame:
+    """Quality sidecars below a root, corrupt ones left out, with their route; one record a file, or one a line."""
+    rows = spark.read.schema(SIDECAR).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).option("multiLine", whole).option("mode", "DROPMALFORMED").json(root)
     empty = F.coalesce(F.size("pages"), F.lit(0)) <= 0
     return rows.withColumn("route", F.when(F.coalesce("passthrough", F.lit(False)), "passthrough").when(empty, "skip_text").otherwise("ocr"))
 
@@ -49,3 +49,14 @@ def staged_pages(spark: SparkSession, folder: str) -> DataFrame:
 def write_sidecars(summaries: DataFrame, root: str) -> None:
     """Summaries as JSON, one folder per route."""
     summaries.write.mode("append").partitionBy("route").json(root)
+
+
+def write_records(records: DataFrame, root: str | None, by: str) -> None:
+    """Quality records of pages, or a run of the history, appended below a root as JSON, one folder per value; nothing without a root."""
+    if root is not None:
+        records.write.mode("append").partitionBy(by).json(root)
+
+
+def records(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """What ``write_records`` has appended."""
+    return spark.read.schema(schema).json(root)

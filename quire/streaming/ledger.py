@@ -2,59 +2,115 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import ledger
 
 SNAPSHOT = "file_id BIGINT, status STRING, content_hash STRING, flagged BOOLEAN, error STRING, created_at TIMESTAMP_NTZ, updated_at TIMESTAMP_NTZ"
+EVENT = "file_id BIGINT, ts TIMESTAMP_NTZ, event_id BIGINT, op STRING, content_hash STRING"
+EVENT_COLUMNS = [c.split()[0] for c in EVENT.split(", ")]
 
 
-def apply_events(snapshot: DataFrame, events: DataFrame) -> DataFrame:
-    """The snapshot after one batch of events: a fold of each file's events that starts from its state."""
-    history = events.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "op", "content_hash"))).alias("es"))
-    j = snapshot.select("file_id", F.struct(*[c.split()[0] for c in SNAPSHOT.split(", ")[1:]]).cast(ledger.STATE).alias("s")).join(history, "file_id", "full_outer")
-    none = F.array().cast("array<struct<ts:timestamp_ntz,event_id:bigint,op:string,content_hash:string>>")
-    folded = j.select("file_id", F.aggregate(F.coalesce("es", none), F.col("s"), ledger.step).alias("s"))
-    return folded.where("s IS NOT NULL AND s.status IS NOT NULL").select("file_id", "s.*")
+def apply_events(snapshot: DataFrame, history: DataFrame, batch: DataFrame) -> DataFrame:
+    """The snapshot after one batch of events.
 
+    The fold depends on the order of a file's events, and events arrive late and twice: the files that the
+    batch touches are folded anew from all their events so far (``history``, this batch included), each
+    event once, and all other files keep their row.
+    """
+    touched = batch.select("file_id").distinct()
+    again = ledger.fold(history.join(touched, "file_id", "left_semi").dropDuplicates(["event_id"]))
+    return snapshot.join(touched, "file_id", "left_anti").unionByName(again)
 
-def run_to_end(events: DataFrame, folder: str, name: str = "ledger") -> DataFrame:
-    """Drains a stream of events into snapshots below ``folder``; the last is the result.
 
-    Each batch reads the snapshot of the batch before it and writes its own, so a batch that is
-    replayed after a failure gives the same snapshot.  The stream's checkpoint lies beside them.
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def snapshots(spark: SparkSession, folder: str, name: str = "ledger") -> list[int]:
+    """Numbers of the complete snapshots below a folder."""
+    fs, top = _folder(spark, folder)
+    names = [s.getPath().getName() for s in fs.listStatus(top)] if fs.exists(top) else []
+    found = [int(m[1]) for x in names if (m := re.fullmatch(rf"{name}-(\d+)", x))]
+    return sorted(n for n in found if fs.exists(_folder(spark, f"{folder}/{name}-{n}/_SUCCESS")[1]))
+
+
+def snapshot(spark: SparkSession, folder: str, name: str = "ledger", number: int | None = None) -> DataFrame:
+    """A snapshot, the last one by default; an empty one where there is none."""
+    known = snapshots(spark, folder, name) if number is None else [number]
+    return spark.read.schema(SNAPSHOT).parquet(f"{folder}/{name}-{known[-1]}") if known else spark.createDataFrame([], SNAPSHOT)
+
+
+def folding(events: DataFrame, folder: str, name: str = "ledger") -> StreamingQuery:
+    """Starts the stream that folds events into snapshots below ``folder`` until its source is empty.
+
+    Each batch appends its events under its number, reads the snapshot of the batch before it and
+    writes its own, so a batch that is replayed after a failure gives the same files; the snapshot
+    before the last stays for that, and older ones go.  The stream's checkpoint lies beside them.
     """
-    spark = events.sparkSession
 
     def fold(batch: DataFrame, number: int) -> None:
-        before = batch.sparkSession.read.schema(SNAPSHOT).parquet(f"{folder}/{name}-{number - 1}") if number else batch.sparkSession.createDataFrame([], SNAPSHOT)
-        apply_events(before, batch).write.mode("overwrite").parquet(f"{folder}/{name}-{number}")
+        spark = batch.sparkSession
+        batch.select(*EVENT_COLUMNS).write.mode("overwrite").parquet(f"{folder}/{name}-events/batch={number}")
+        known = spark.read.schema(EVENT + ", batch INT").option("basePath", f"{folder}/{name}-events").parquet(f"{folder}/{name}-events").where(F.col("batch") <= number)
+        before = snapshot(spark, folder, name, number - 1 if number else None) if number else spark.createDataFrame([], SNAPSHOT)
+        apply_events(before, known.select(*EVENT_COLUMNS), batch).write.mode("overwrite").parquet(f"{folder}/{name}-{number}")
+        for old in snapshots(spark, folder, name):
+            if old < number - 1:
+                fs, path = _folder(spark, f"{folder}/{name}-{old}")
+                fs.delete(path, True)
 
-    q = events.writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/{name}-checkpoint").trigger(availableNow=True).start()
-    q.awaitTermination()
-    last = (q.lastProgress or {}).get("batchId", 0)
-    return spark.read.schema(SNAPSHOT).parquet(f"{folder}/{name}-{last}")
+    return events.writeStream.foreachBatch(fold).option("checkpointLocation", f"{folder}/{name}-checkpoint").trigger(availableNow=True).start()
+
+
+def run_to_end(events: DataFrame, folder: str, name: str = "ledger") -> DataFrame:
+    """Drains a stream of events; the last snapshot is the result, also where nothing new had come."""
+    folding(events, folder, name).awaitTermination()
+    return snapshot(events.sparkSession, folder, name)
+
+
+def run_until(query: StreamingQuery, stop: Callable[[], bool], poll_seconds: float = 0.5) -> bool:
+    """Waits for a stream to end, or ends it once ``stop`` says so and its batch is done; whether it was ended.
+
+    A batch is written as a whole or not at all, so what is cut off runs again at the next start.
+    """
+    while query.isActive:
+        if stop():
+            while query.isActive and query.status["isTriggerActive"] and query.status["isDataAvailable"]:
+                time.sleep(poll_seconds)
+            query.stop()
+            return True
+        query.awaitTermination(poll_seconds)
+    return False
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share."""
+    """A new folder that all executors share: below spark.checkpoint.dir, or else the warehouse; a temporary one in local mode."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        import uuid
-
-        return f"{named.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="quire-stream-")
+    master = spark.sparkContext.master
+    if not named and master.startswith("local") and not master.startswith("local-cluster"):
+        return tempfile.mkdtemp(prefix="quire-stream-")
+    top = named or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
-def drained(stream: DataFrame, folder: str, mode: str = "append", change: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """All rows that a stream yields until its source is empty, through a table in ``folder``."""
+def drained(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """All rows that a stream yields until its source is empty, through a table in ``folder``; in complete mode its last result."""
+    schema = stream.schema
 
     def put(batch: DataFrame, number: int) -> None:
-        (change(batch) if change else batch).write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={0 if mode == 'complete' else number}")
 
     stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return stream.sparkSession.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
+    spark = stream.sparkSession
+    fs, top = _folder(spark, f"{folder}/out")
+    return spark.read.schema(schema).option("basePath", f"{folder}/out").parquet(f"{folder}/out").select(*schema.names) if fs.exists(top) else spark.createDataFrame([], schema)

@@ -10,7 +10,7 @@ from quire.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ("block_split", "text_sanity", "route_classify", "page_sort_key", "file_qc", "ledger_fold", "ledger_enqueue", "runs_page", "region_assign", "page_scale", "segment_regions", "line_number_extract", "otsu", "hocr_page", "table_grid", "multiset_diff", "page_pipeline", "stream_ledger_fold", "window_session")
+
 
 
 def rows(cols, data):
@@ -20,7 +20,7 @@ def rows(cols, data):
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
-@pytest.mark.parametrize("name", CHECKED)
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:

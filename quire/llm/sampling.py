@@ -11,7 +11,8 @@ The variables come from four exponential ones, E = -ln u of uniform u: r = E3 +
 where E3 = -ln(E1 / c), and c = E1 + E4.  A sum of two exponentials is Gamma(2, 1), and the share of one
 of them in it is uniform and independent of it, so r, c and beta have the distribution that the method
 asks for, tails included.  They reduce a to E1 * exp(-r * t), with t = floor((ln(weight) + E2) / r), which
-is E1 alone for a term that occurs once: there the order of a is the order of the hash bits.
+is E1 alone for a term that occurs once: there the order of a is the order of the hash bits.  In the
+uniforms, exp(r) = ln(u1 * u4) / (ln(u1) * u2), which needs fewer logarithms.
 
 Uniforms have 31 bits.  The sample is kept as one number, exp(-a) in 31 bits above 32 bits of a hash of
 (term, t), of which the greatest wins; ties in the upper bits go to the greater hash.
@@ -36,15 +37,14 @@ _HEX = 4  # digits of each sample in the fingerprint
 
 def sample(k: int) -> Column:
     """The k-th sample of a term as one number, of which the greatest wins.  Uses the columns term, n, log_n."""
-    h = f"xxhash64(term, {k})"
-    g = f"xxhash64(term, {k}, 1)"
-    e = lambda bits: f"(-ln(({bits} + 0.5D) / 2147483648D))"
-    e1, e2, e4 = e(f"shiftrightunsigned({h}, 33)"), e(f"shiftrightunsigned({g}, 33)"), e(f"({g} & 2147483647L)")
-    r = f"({e2} + ln(({e1} + {e4}) / {e1}))"
-    t = f"floor((log_n + {e2}) / {r})"
-    upper = f"bigint(exp(-{e1} * exp(-{r} * {t})) * 2147483648D)"
+    u = lambda bits: f"(({bits} + 0.5D) / 2147483648D)"
+    h, g = f"xxhash64(term, {k})", f"xxhash64(term, {k}, 1)"
+    u1, u2, u4 = u(f"shiftrightunsigned({h}, 33)"), u(f"shiftrightunsigned({g}, 33)"), u(f"({g} & 2147483647L)")
+    exp_r = f"(ln({u1} * {u4}) / (ln({u1}) * {u2}))"
+    t = f"floor((log_n - ln({u2})) / ln({exp_r}))"
+    upper = f"bigint(exp(ln({u1}) * pow({exp_r}, -{t})) * 2147483648D)"
     once = f"(shiftleft(shiftrightunsigned({h}, 33), 32) | ({h} & 4294967295L))"
-    return F.expr(f"CASE WHEN n = 1 OR {t} = 0 THEN {once} ELSE shiftleft({upper}, 32) | (xxhash64({h}, {t}) & 4294967295L) END")
+    return F.expr(f"CASE WHEN n = 1 THEN {once} ELSE shiftleft({upper}, 32) | ((({h} & 4294967295L) + {t} * 2654435769L) & 4294967295L) END")
 
 
 def fingerprints(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:

@@ -434,7 +434,7 @@ def plain_fingerprint(text):
             e1, e2, e4 = (-math.log((bits + 0.5) / 2**31) for bits in (h >> 33, g >> 33, g & 0x7FFFFFFF))
             r = e2 + math.log((e1 + e4) / e1)
             t = math.floor((math.log(n) + e2) / r)
-            key = ((h >> 33) << 32 | h & 0xFFFFFFFF) if t == 0 else (int(math.exp(-e1 * math.exp(-r * t)) * 2**31) << 32 | long(t, long(h, 42)) & 0xFFFFFFFF)
+            key = int(math.exp(-e1 * math.exp(-r * t)) * 2**31) << 32 | (h & 0xFFFFFFFF) + t * 2654435769 & 0xFFFFFFFF
             best = max(best or 0, key)
         out += f"{best & 65535:04x}"
     return out

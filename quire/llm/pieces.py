@@ -57,8 +57,10 @@ class Vocabulary:
         key = spans(at[ends], at[ends - lengths], ipw[ends - lengths], lengths)
         order = np.argsort(key)
         self.key, self.weight, self.sorted_ids = key[order], weight[order], self.ids[order]
-        self.slots = np.zeros(1 << 20, bool)
-        self.slots[(key >> _SLOT).astype(np.int64)] = True
+        slot = (self.key >> _SLOT).astype(np.int64)
+        self.first = np.full(1 << 20, -1, np.int32)  # by the upper bits of a key, the first sorted key that has them
+        self.first[slot[::-1]] = np.arange(len(slot), dtype=np.int32)[::-1]
+        self.depth = int(np.bincount(slot).max())
         self.sizes = [n for n in range(1, self.longest + 1) if (lengths == n).any()]
         self.byte_ids = byte_ids
         self.byte_weight = float(weight.min()) - 100.0
@@ -72,10 +74,14 @@ class Vocabulary:
 
     def probe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(places of the keys that are pieces, the number of each among the sorted pieces)."""
-        some = np.flatnonzero(self.slots[(keys >> _SLOT).astype(np.int64)])
-        own = keys[some]
-        at = np.minimum(np.searchsorted(self.key, own), len(self.key) - 1)
+        at = self.first[(keys >> _SLOT).astype(np.int64)]
+        some = np.flatnonzero(at >= 0)
+        own, at = keys[some], at[some]
         hit = self.key[at] == own
+        for _ in range(1, self.depth):
+            miss = np.flatnonzero(~hit)
+            at[miss] = np.minimum(at[miss] + 1, len(self.key) - 1)
+            hit[miss] = self.key[at[miss]] == own[miss]
         return some[hit], at[hit]
 
 

@@ -6,7 +6,8 @@ host are dropped.  A line counts once per page; lines without a word character n
 kept.  A null text has no lines and stays null; a null host is a host of its own.  Rows without an id and
 repeated rows are pages as any other.  A line on exactly the ratio stays.
 
-Lines are compared by two independent 64-bit hashes.  A host of P pages with L lines a page has at
+Lines are compared by two independent hashes, of 64 and 32 bits; the lines of a page meet the list of its
+host once by hash, and only the keys found there are compared with each line.  A host of P pages with L lines a page has at
 most L / ratio boilerplate lines, so the list per host is bounded by the ratio, not by its pages.
 The join on the host is salted on the document side; the list of hosts is broadcast only when its
 measured size is under ``broadcast_lines``.
@@ -44,19 +45,12 @@ def boilerplate_lines(docs: DataFrame, host: Column, text: Column, ratio: float,
     return lines.join(pages, lines.host.eqNullSafe(pages.h)).where(F.col("n") > ratio * F.col("pages")).groupBy("host").agg(F.collect_list("key").alias("keys"))
 
 
-def kept_lines(lines: Column, bad: Column) -> Column:
-    """The lines whose key is not in ``bad``: both sides meet once by hash, then only the keys found are compared."""
-    found = F.array_intersect(F.transform(lines, lambda x: F.xxhash64(x)), F.transform(bad, lambda k: k["a"]))
-    hits = F.filter(bad, lambda k: F.array_contains(found, k["a"]))
-    return F.when(F.size(found) == 0, lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(hits, line_key(x)) | ~has_word(x)))
-
-
 def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.02, min_pages: int = 5, broadcast_lines: int = 100_000, n_lines: str = "_n_lines", n_dropped: str = "_n_dropped") -> DataFrame:
     """``docs`` with the boilerplate lines gone, and columns added that count the lines and those dropped.
 
     A column of ``docs`` that has the name of an added one is replaced; all others stay as they are.
     """
-    host, keys, salt, salt_l, lines, kept = fresh(docs, "_host", "_keys", "_salt", "_salt_l", "_lines", "_kept")
+    host, keys, salt, salt_l, lines, found, hits, kept = fresh(docs, "_host", "_keys", "_salt", "_salt_l", "_lines", "_found", "_hits", "_kept")
     bad = boilerplate_lines(docs, F.col(host_col), F.col(text_col), ratio, min_pages).select(F.col("host").alias(host), F.col("keys").alias(keys))
     bad = keep(bad, "boilerplate")
     total = bad.agg(F.coalesce(F.sum(F.size(keys)), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("h")).first()
@@ -66,10 +60,14 @@ def drop_boilerplate(docs: DataFrame, host_col: str = "source", text_col: str =
         salted = bad.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         left = docs.withColumn(salt_l, F.pmod(F.xxhash64(*[F.col(c) for c in docs.columns if c != host_col] or [F.lit(0)]), F.lit(SALTS)).cast("int"))
         joined = left.join(salted, left[host_col].eqNullSafe(salted[host]) & (left[salt_l] == salted[salt]), "left")
+    # Each step is a column of its own, used twice by the next: Spark then keeps it, instead of working it out again for each line.
     split = joined.withColumn(lines, F.split(F.col(text_col), "\n"))
-    split = split.withColumn(kept, F.when(F.col(keys).isNull(), F.col(lines)).otherwise(kept_lines(F.col(lines), F.col(keys))))
+    met = F.array_intersect(F.transform(lines, lambda x: F.xxhash64(x)), F.transform(keys, lambda k: k["a"]))
+    split = split.withColumn(found, met)
+    split = split.withColumn(hits, F.when(F.size(found) > 0, F.filter(keys, lambda k: F.array_contains(F.col(found), k["a"]))))
+    split = split.withColumn(kept, F.when(F.size(hits) > 0, F.filter(lines, lambda x: ~F.array_contains(F.col(hits), line_key(x)) | ~has_word(x))).otherwise(F.col(lines)))
     size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    text = F.when(F.col(keys).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.size(hits) > 0, F.array_join(kept, "\n")).otherwise(F.col(text_col))
     own = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns if c not in (n_lines, n_dropped)]
     return split.select(*own, size(lines).alias(n_lines), (size(lines) - size(kept)).alias(n_dropped))
 

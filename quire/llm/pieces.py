@@ -36,7 +36,7 @@ OFFSET = 1000
 LONG = 96
 GROUPS = (8, 16, 32, LONG)
 STRETCH = 1 << 18
-BLOCK = 6 << 20
+BLOCK = 3 << 20
 _SLOT = np.uint64(44)
 _SIZE = 0xD6E8FEB86659FD93
 

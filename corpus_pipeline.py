@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import jaccard, lines, packing, pii, quality
-from quire.llm.store import fresh, keep
+from quire.llm.store import keep
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -33,14 +33,15 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     those that agree in their lines with a word, one keeps its whole text, the one of least id, and the
     others go.  Rows without an id come last.  A document without any word stays as it is.
     """
-    whole, n_lines, n_dropped = fresh(docs.select(*COLUMNS), "_whole", "_n_lines", "_n_dropped")
-    cut = lines.drop_boilerplate(docs.select(*COLUMNS).withColumn(whole, F.col("text")), n_lines=n_lines, n_dropped=n_dropped)
-    emptied = (F.col(n_dropped) > 0) & ~lines.has_word(F.col("text"))
-    copies = cut.where(emptied).select("doc_id", F.col(whole).alias("text"), "lang", "source")
+    own = docs.select(*COLUMNS).withColumn("whole", F.col("text"))
+    cut = lines.drop_boilerplate(own, n_lines="n_lines", n_dropped="n_dropped").withColumn("emptied", (F.col("n_dropped") > 0) & ~lines.has_word(F.col("text")))
+    # Kept, since a filter on the result would be moved in front of the steps that make it and repeat them for each line.
+    cut = keep(cut.select("doc_id", "text", "lang", "source", "emptied", F.when(F.col("emptied"), F.col("whole")).alias("whole")), "lines")
+    copies = cut.where("emptied").select("doc_id", F.col("whole").alias("text"), "lang", "source")
     page = F.array_join(F.filter(F.split("text", "\n"), lines.has_word), "\n")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text", "lang")).alias("one")
     ones = copies.groupBy("source", lines.line_key(page).alias("page")).agg(least).select("one.doc_id", "one.text", "one.lang", "source")
-    return _counted(cut.where(~emptied).select(*ones.columns).union(ones))
+    return _counted(cut.where("NOT coalesce(emptied, false)").select(*ones.columns).union(ones))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,68 +73,87 @@ def line_number_run(words: DataFrame, page_width: int, max_width_fraction: float
     return c.withColumn("_odd", odd).where("step > 0 AND _odd = 0").select("doc_id", "word_id", "value", "step", "y0")
 
 
-def ink_profile(raster: DataFrame, sizes: DataFrame) -> DataFrame:
+def ink_spans(raster: DataFrame) -> DataFrame:
+    """(doc_id, h, w, spans): the ink of each page's columns as a step function, ``spans`` of (x0, x1, ink) over [0, w).
+
+    ``raster`` holds a page a row as (doc_id, h, w, rows), each row the ascending x where ink starts and
+    ends by turns.  An edge counts one up or down, edges at the same x are added within the stage, and a
+    running sum gives the ink: work grows with the edges, not with the cells, and nothing moves that is
+    dealt by doc_id.
+    """
+    turns = F.expr("flatten(transform(rows, e -> transform(e, (x, i) -> struct(x AS x, 1 - 2 * (i % 2) AS d))))")
+    edges = raster.select("doc_id", "h", "w", F.explode(F.concat(F.expr("array(struct(0 AS x, 0 AS d))"), turns)).alias("t"))
+    steps = edges.groupBy("doc_id", "h", "w", "t.x").agg(F.sum("t.d").alias("d"))
+    order = Window.partitionBy("doc_id", "h", "w").orderBy("x")
+    span = F.struct(F.col("x").alias("x0"), F.coalesce(F.lead("x").over(order), "w").alias("x1"), F.sum("d").over(order).alias("ink"))
+    spans = steps.select("doc_id", "h", "w", span.alias("s")).groupBy("doc_id", "h", "w").agg(F.array_sort(F.collect_list("s")).alias("spans"))
+    return spans.withColumn("spans", F.expr("filter(spans, s -> s.x1 > s.x0)"))
+
+
+def ink_profile(raster: DataFrame) -> DataFrame:
     """(doc_id, x, ink): ink of each column of each page, with the empty ones."""
-    spine = sizes.where("w > 0").select("doc_id", F.explode(F.expr("sequence(0, w - 1)")).alias("x"))
-    counted = raster.groupBy("doc_id", "x").agg(F.sum("ink").alias("ink"))
-    return spine.join(counted, ["doc_id", "x"], "left").select("doc_id", "x", F.coalesce("ink", F.lit(0)).cast("long").alias("ink"))
+    return ink_spans(raster).select("doc_id", F.explode("spans").alias("s")).select("doc_id", F.explode(F.expr("sequence(s.x0, s.x1 - 1)")).alias("x"), "s.ink")
 
 
-def gap_runs(profile: DataFrame, threshold: float = 0.02, min_width: Column | None = None) -> DataFrame:
-    """(doc_id, gstart, gend): maximal runs below ``threshold`` of the page's peak, ends exclusive.
+def with_gaps(pages: DataFrame, threshold: float, least: str) -> DataFrame:
+    """``pages`` with ``gaps``: maximal runs of ``spans`` below ``threshold`` of their peak, of ``least`` length or more; none without ink."""
+    low = f"s.ink < {threshold} * peak"
+    edge = "transform(filter(spans, (s, i) -> {low} AND coalesce(get(spans, i {to}).ink >= {threshold} * peak, true)), s -> s.{at})"
+    starts, ends = (F.expr(edge.format(low=low, threshold=threshold, to=to, at=at)) for to, at in (("- 1", "x0"), ("+ 1", "x1")))
+    p = pages.withColumn("peak", F.expr("array_max(transform(spans, s -> s.ink))")).withColumn("gaps", F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("gstart"), b.alias("gend"))))
+    return p.withColumn("gaps", F.expr(f"filter(gaps, g -> g.gend - g.gstart >= {least})")).drop("peak")
 
-    ``profile`` may carry ``min_width``, the least length of a run; 1 otherwise.  A page without ink has none.
-    """
-    page = Window.partitionBy("doc_id")
-    least = min_width if min_width is not None else F.lit(1)
-    p = profile.withColumn("_peak", F.max("ink").over(page)).withColumn("_least", least).where(F.col("_peak") > 0).where(F.col("ink") < threshold * F.col("_peak"))
-    p = p.withColumn("_run", F.col("x") - F.row_number().over(page.orderBy("x")))
-    runs = p.groupBy("doc_id", "_run").agg(F.min("x").alias("gstart"), (F.max("x") + 1).alias("gend"), F.max("_least").alias("_least"))
-    return runs.where("gend - gstart >= _least").select("doc_id", "gstart", "gend")
-
-
-def bands(gaps: DataFrame, sizes: DataFrame) -> DataFrame:
-    """(doc_id, bstart, bend): what lies between and around the gaps of [0, total)."""
-    marks = gaps.unionByName(sizes.selectExpr("doc_id", "total AS gstart", "total AS gend"))
-    before = F.coalesce(F.lag("gend").over(Window.partitionBy("doc_id").orderBy("gstart", "gend")), F.lit(0))
-    return marks.withColumn("bstart", before).where("gstart > bstart").select("doc_id", "bstart", F.col("gstart").alias("bend"))
-
-
-def content_bands(raster: DataFrame, sizes: DataFrame, min_gap_fraction: float = 0.015, threshold: float = 0.02, least_ink: float = 0.001) -> DataFrame:
-    """(doc_id, bstart, bend, ink, h, w): column bands with ink."""
-    profile = ink_profile(raster, sizes).join(sizes, "doc_id")
-    gaps = gap_runs(profile, threshold, F.greatest(F.lit(1), F.floor(min_gap_fraction * F.col("w"))))
-    b = bands(gaps, sizes.where("w > 0").selectExpr("doc_id", "w AS total"))
-    inked = b.join(profile, "doc_id").where("x >= bstart AND x < bend").groupBy("doc_id", "bstart", "bend", "h", "w").agg(F.sum("ink").alias("ink"))
-    return inked.where(F.col("ink") / (F.col("h") * (F.col("bend") - F.col("bstart"))) > least_ink)
-
-
-def band_kinds(raster: DataFrame, sizes: DataFrame, columns: DataFrame) -> DataFrame:
-    """``columns`` with ``kind``: figures are few or dense row bands, text is four thin ones or more."""
-    cells = raster.join(columns.select("doc_id", "bstart", "bend"), "doc_id").where("x >= bstart AND x < bend").groupBy("doc_id", "bstart", "y").agg(F.sum("ink").alias("ink"))
-    spine = columns.select("doc_id", "bstart", "h", F.explode(F.expr("sequence(0, h - 1)")).alias("y"))
-    rows = spine.join(cells, ["doc_id", "bstart", "y"], "left").select(F.struct("doc_id", "bstart").alias("doc_id"), F.col("y").alias("x"), F.coalesce("ink", F.lit(0)).alias("ink"))
-    gaps = gap_runs(rows, 0.05, F.lit(3))
-    lines = bands(gaps, columns.select(F.struct("doc_id", "bstart").alias("doc_id"), F.col("h").alias("total"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines")).select("doc_id.*", "n_lines")
-    fill = F.col("ink") / (F.col("h") * (F.col("bend") - F.col("bstart")))
-    n = F.coalesce("n_lines", F.lit(0))
-    text = (n >= 4) & (F.col("h") / n < 0.15 * F.col("h"))
-    return columns.join(lines, ["doc_id", "bstart"], "left").withColumn("kind", F.when(text, "column").when((fill > 0.12) | (n <= 2), "figure").otherwise("column"))
+
+def gap_runs(raster: DataFrame, threshold: float = 0.02, min_gap_fraction: float = 0.015) -> DataFrame:
+    """(doc_id, gstart, gend): the gaps between columns of each page, ends exclusive."""
+    gaps = with_gaps(ink_spans(raster), threshold, f"greatest(1, floor({min_gap_fraction} * w))")
+    return gaps.select("doc_id", F.explode("gaps").alias("g")).select("doc_id", "g.*")
+
+
+def bands(total: str) -> Column:
+    """The parts of [0, total) between and around ``gaps``, as (bstart, bend)."""
+    parts = f"transform(sequence(0, size(gaps)), k -> struct(coalesce(get(gaps, k - 1).gend, 0) AS bstart, coalesce(get(gaps, k).gstart, {total}) AS bend))"
+    return F.expr(f"filter({parts}, b -> b.bend > b.bstart)")
 
 
-def segment_pages(raster: DataFrame, sizes: DataFrame, margin_fraction: float = 0.12) -> DataFrame:
-    """(doc_id, order_index, kind, x0, x1, column_index, layout_type): margin, columns from the left, then figures."""
-    cols = content_bands(raster, sizes)
+def page_bands(raster: DataFrame, min_gap_fraction: float = 0.015, threshold: float = 0.02, least_ink: float = 0.001) -> DataFrame:
+    """(doc_id, h, w, bands): column bands with ink of each page, as (bstart, bend, ink) from the left."""
+    pages = with_gaps(ink_spans(raster), threshold, f"greatest(1, floor({min_gap_fraction} * w))").withColumn("bands", bands("w"))
+    ink = "aggregate(spans, 0L, (a, s) -> a + s.ink * greatest(0, least(s.x1, b.bend) - greatest(s.x0, b.bstart)))"
+    inked = pages.select("doc_id", "h", "w", F.expr(f"transform(bands, b -> struct(b.bstart AS bstart, b.bend AS bend, {ink} AS ink))").alias("bands"))
+    return inked.withColumn("bands", F.expr(f"filter(bands, b -> b.ink / (h * (b.bend - b.bstart)) > {least_ink})"))
+
+
+def content_bands(raster: DataFrame) -> DataFrame:
+    """(doc_id, bstart, bend, ink): column bands with ink, a row each."""
+    return page_bands(raster).select("doc_id", F.explode("bands").alias("b")).select("doc_id", "b.*")
+
+
+def row_bands(columns: DataFrame) -> DataFrame:
+    """``columns``, (h, rows, b) of pages, with ``n_lines``: bands of rows with ink within the column band ``b``."""
+    cut = "aggregate(e, struct(0 AS ink, -1 AS sign), (a, x) -> struct(a.ink + a.sign * least(greatest(x, b.bstart), b.bend) AS ink, -a.sign AS sign), a -> a.ink)"
+    rows = columns.withColumn("spans", F.expr(f"transform(rows, (e, y) -> struct(y AS x0, y + 1 AS x1, {cut} AS ink))"))
+    return with_gaps(rows, 0.05, "3").withColumn("n_lines", F.size(bands("h"))).drop("spans", "gaps")
+
+
+def segment_pages(raster: DataFrame, margin_fraction: float = 0.12) -> DataFrame:
+    """(doc_id, order_index, kind, x0, x1, column_index, layout_type): margin, columns from the left, then figures.
+
+    Figures are dense bands or those of few lines; text is four thin lines or more.  A page of one band or
+    none is one full page.
+    """
+    found = page_bands(raster).select("doc_id", F.posexplode_outer(F.expr("CASE WHEN size(bands) > 1 THEN bands END")).alias("at", "b"))
+    cols = row_bands(raster.join(found, "doc_id")).withColumn("width", F.expr("b.bend - b.bstart"))
+    n = F.col("n_lines")
+    margin = (F.col("at") == 0) & (F.col("width") / F.col("w") <= margin_fraction)
+    text = (n >= 4) & (F.col("h") / n < 0.15 * F.col("h"))
+    figure = (F.col("b.ink") / (F.col("h") * F.col("width")) > 0.12) | (n <= 2)
+    cols = cols.withColumn("kind", F.when(F.col("b").isNull(), "full_page").when(margin, "margin_numbers").when(text, "column").when(figure, "figure").otherwise("column"))
+    cols = cols.select("doc_id", "kind", F.coalesce("b.bstart", F.lit(0)).alias("x0"), F.coalesce("b.bend", "w").alias("x1"), F.when(F.col("kind") == "margin_numbers", 0).when(F.col("kind") == "column", 1).otherwise(2).alias("place"))
     page = Window.partitionBy("doc_id")
-    cols = cols.withColumns({"n": F.count(F.lit(1)).over(page), "at": F.row_number().over(page.orderBy("bstart"))})
-    many = cols.where("n > 1")
-    margin = (F.col("at") == 1) & ((F.col("bend") - F.col("bstart")) / F.col("w") <= margin_fraction)
-    kinds = band_kinds(raster, sizes, many).withColumn("kind", F.when(margin, "margin_numbers").otherwise(F.col("kind")))
-    group = F.when(F.col("kind") == "margin_numbers", 0).when(F.col("kind") == "column", 1).otherwise(2)
-    kinds = kinds.withColumn("_g", group)
-    many = kinds.select("doc_id", (F.row_number().over(page.orderBy("_g", "bstart")) - 1).alias("order_index"), "kind", F.col("bstart").alias("x0"), F.col("bend").alias("x1"), F.when(F.col("kind") == "column", F.row_number().over(Window.partitionBy("doc_id", "_g").orderBy("bstart")) - 1).alias("column_index"), F.when(F.min("_g").over(page) == 0, "two_column_margin").otherwise("other").alias("layout_type"))
-    few = sizes.join(cols.where("n > 1").select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", F.lit(0).alias("order_index"), F.lit("full_page").alias("kind"), F.lit(0).alias("x0"), F.col("w").alias("x1"), F.lit(None).cast("int").alias("column_index"), F.lit("single_column").alias("layout_type"))
-    return many.unionByName(few)
+    column = F.when(F.col("kind") == "column", F.row_number().over(Window.partitionBy("doc_id", "place").orderBy("x0")) - 1)
+    kind = F.when(F.col("kind") == "full_page", "single_column").when(F.min("place").over(page) == 0, "two_column_margin").otherwise("other")
+    return cols.select("doc_id", (F.row_number().over(page.orderBy("place", "x0")) - 1).alias("order_index"), "kind", "x0", "x1", column.alias("column_index"), kind.alias("layout_type"))
 
 
 def otsu_threshold(pixels: DataFrame, key: str, value: str) -> DataFrame:

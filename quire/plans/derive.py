@@ -73,17 +73,15 @@ def margin_words(documents: DataFrame) -> DataFrame:
 
 
 def raster(documents: DataFrame) -> DataFrame:
-    """(doc_id, y, x, ink): a text line is a raster row, a character a column, and ink is what is not a space.
+    """(doc_id, h, w, rows): a text line is a raster row, a character a column, and ink is what is not a space.
 
-    Only cells with ink are rows; the size of a page is its number of lines and its longest line.
+    A row is the ascending x where ink starts and ends by turns.  Pages are dealt by document once for
+    all that follows; a document without text has no page.
     """
-    lines = documents.select("doc_id", F.posexplode(F.split("text", "\n")).alias("y", "line"))
-    return lines.select("doc_id", "y", F.explode(F.expr("filter(transform(split(line, ''), (c, i) -> IF(c IN (' ', ''), -1, i)), i -> i >= 0)")).alias("x"), F.lit(1).alias("ink"))
-
-
-def page_sizes(documents: DataFrame) -> DataFrame:
-    """(doc_id, h, w) of the derived rasters."""
-    return documents.selectExpr("doc_id", "size(split(text, '\n')) AS h", "array_max(transform(split(text, '\n'), x -> length(x))) AS w")
+    turn = "(c IN ('', ' ')) <> (coalesce(get(cs, x - 1), '') IN ('', ' '))"
+    edges = f"flatten(transform(array(concat(split(line, ''), array(''))), cs -> filter(transform(cs, (c, x) -> IF({turn}, x, -1)), x -> x >= 0)))"
+    lines = documents.where("text IS NOT NULL").select("doc_id", "text").repartition("doc_id").select("doc_id", F.split("text", "\n").alias("lines"))
+    return lines.select("doc_id", F.size("lines").alias("h"), F.array_max(F.transform("lines", F.length)).alias("w"), F.expr(f"transform(lines, line -> {edges})").alias("rows"))
 
 
 def file_events(events: DataFrame) -> DataFrame:

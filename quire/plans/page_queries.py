@@ -138,21 +138,17 @@ bands AS (SELECT b.doc_id, bstart, bend, sum(ink) AS ink, any_value(h) AS h, any
 
 @query(f"WITH {RASTER} SELECT doc_id, x::BIGINT AS x, ink::BIGINT AS ink FROM prof")
 def ink_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir)
-    return longs(layout.ink_profile(derive.raster(d), derive.page_sizes(d)))
+    return longs(layout.ink_profile(derive.raster(docs(spark, sf_dir))))
 
 
 @query(f"WITH {GAPS.format(thr='0.35')} SELECT doc_id, gstart::BIGINT AS gstart, gend::BIGINT AS gend FROM gaps")
 def gap_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir)
-    sizes = derive.page_sizes(d)
-    return longs(layout.gap_runs(layout.ink_profile(derive.raster(d), sizes).join(sizes, "doc_id"), 0.35, F.greatest(F.lit(1), F.floor(0.015 * F.col("w")))))
+    return longs(layout.gap_runs(derive.raster(docs(spark, sf_dir)), 0.35))
 
 
 @query(f"WITH {BANDS} SELECT doc_id, bstart::BIGINT AS bstart, bend::BIGINT AS bend, ink::BIGINT AS ink FROM bands")
 def page_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir)
-    return longs(layout.content_bands(derive.raster(d), derive.page_sizes(d)).select("doc_id", "bstart", "bend", "ink"))
+    return longs(layout.content_bands(derive.raster(docs(spark, sf_dir))))
 
 
 SEGMENTS = (
@@ -176,8 +172,7 @@ segs AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g, bstar
 
 @query(f"WITH {SEGMENTS} SELECT doc_id, order_index::BIGINT AS order_index, kind, x0::BIGINT AS x0, x1::BIGINT AS x1, column_index::BIGINT AS column_index, layout_type FROM segs")
 def segment_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = docs(spark, sf_dir)
-    return longs(layout.segment_pages(derive.raster(d), derive.page_sizes(d)))
+    return longs(layout.segment_pages(derive.raster(docs(spark, sf_dir))))
 
 
 MARGIN = f"""nl AS (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n FROM documents),

@@ -28,8 +28,8 @@ SETTINGS: dict[str, Setting] = {
     "words.low_confidence": Setting(60.0, quality.region_confidence, "threshold"),
     "regions.low_fraction": Setting(0.15, quality.is_low, "fraction"),
     "regions.winner": Setting("highest_confidence", assembly.reconcile, "strategy"),
-    "bands.min_gap": Setting(0.015, layout.content_bands, "min_gap_fraction"),
-    "bands.gap_density": Setting(0.02, layout.content_bands, "threshold"),
+    "bands.min_gap": Setting(0.015, layout.page_bands, "min_gap_fraction"),
+    "bands.gap_density": Setting(0.02, layout.page_bands, "threshold"),
     "bands.margin_width": Setting(0.12, layout.segment_pages, "margin_fraction"),
     "line_numbers.margin_width": Setting(0.12, layout.line_number_run, "max_width_fraction"),
     "pages.megapixels": Setting(40.0, geometry.page_scale, "megapixels"),

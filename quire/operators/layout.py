@@ -107,7 +107,8 @@ def with_gaps(pages: DataFrame, threshold: float, least: str) -> DataFrame:
 def gap_runs(raster: DataFrame, threshold: float = 0.02, min_gap_fraction: float = 0.015) -> DataFrame:
     """(doc_id, gstart, gend): the gaps between columns of each page, ends exclusive."""
     gaps = with_gaps(ink_spans(raster), threshold, f"greatest(1, floor({min_gap_fraction} * w))")
-    return gaps.select("doc_id", F.explode("gaps").alias("g")).select("doc_id", "g.*")
+    # Outer, since the filter that a plain explode implies would move below the peak and repeat it for each span.
+    return gaps.select("doc_id", F.explode_outer("gaps").alias("g")).where("g IS NOT NULL").select("doc_id", "g.*")
 
 
 def bands(total: str) -> Column:
@@ -126,7 +127,7 @@ def page_bands(raster: DataFrame, min_gap_fraction: float = 0.015, threshold: fl
 
 def content_bands(raster: DataFrame) -> DataFrame:
     """(doc_id, bstart, bend, ink): column bands with ink, a row each."""
-    return page_bands(raster).select("doc_id", F.explode("bands").alias("b")).select("doc_id", "b.*")
+    return page_bands(raster).select("doc_id", F.explode_outer("bands").alias("b")).where("b IS NOT NULL").select("doc_id", "b.*")
 
 
 def row_bands(columns: DataFrame) -> DataFrame:

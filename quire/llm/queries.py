@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard, lattice, lines, packing, pieces, pii, quality, sampling, substrings, toxicity
+from . import conversations, jaccard, lattice, lines, packing, pieces, pii, quality, reputation, sampling, substrings, toxicity, whitening
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,18 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", "text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_subword_lattice, op3_toxicity, op4_quality_rules, op5_personal_data, op6_weighted_sampling, op7_substring_dedup, op8_best_fit_packing, op9_sentencepiece, op10_line_dedup)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repaired(conversations.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
-ORACLES: dict[str, str] = {"op10_line_dedup": lines.ORACLE}
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reputation.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_subword_lattice, op3_toxicity, op4_quality_rules, op5_personal_data, op6_weighted_sampling, op7_substring_dedup, op8_best_fit_packing, op9_sentencepiece, op10_line_dedup, op11_conversation_repair, op12_embedding_whitening, op13_url_filters)}
+
+ORACLES: dict[str, str] = {"op10_line_dedup": lines.ORACLE, "op13_url_filters": reputation.ORACLE}

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import files
-from ..streaming.ledger import drained, scratch
+from ..storage import scratch
+from ..streaming.runs import drained
 from . import derive
 from .corpus_queries import FILE_SANE, ROUTE, docs, file_sanity, page_records
 from .ledger_queries import RUNS, runs
@@ -75,8 +76,3 @@ def content_base64(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes as a model's request carries them."""
     return docs(spark, sf_dir).select("doc_id", F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "[\\r\\n]", "").alias("content"))
 
-
-@query("SELECT 'ok' AS status")
-def health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row if the session answers."""
-    return spark.range(1).select(F.lit("ok").alias("status"))

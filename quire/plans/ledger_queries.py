@@ -79,10 +79,13 @@ def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users.selectExpr("user_id AS file_id", "concat('h', user_id % 3) AS content_hash").union(users.where("user_id % 10 = 0").selectExpr("user_id + 1000000", "'h9'"))
 
 
-@query(f"""WITH {LEDGER}, {BATCH}, j AS (SELECT coalesce(l.file_id, b.file_id) AS file_id, l.status, l.content_hash, l.flagged, l.error, l.created_at, l.updated_at, b.content_hash AS new,
+ENQUEUED = f"""WITH {LEDGER}, {BATCH}, j AS (SELECT coalesce(l.file_id, b.file_id) AS file_id, l.status, l.content_hash, l.flagged, l.error, l.created_at, l.updated_at, b.content_hash AS new,
  b.content_hash IS NULL OR coalesce(l.content_hash = b.content_hash AND l.status IN ('done', 'flagged'), false) AS stays FROM led l FULL JOIN batch b ON l.file_id = b.file_id)
 SELECT file_id, CASE WHEN stays THEN status ELSE 'queued' END AS status, CASE WHEN stays THEN content_hash ELSE new END AS content_hash, coalesce(flagged, false) AS flagged, CASE WHEN stays THEN error END AS error,
- coalesce(created_at, now) AS created_at, CASE WHEN stays THEN updated_at ELSE now END AS updated_at FROM j, present""")
+ coalesce(created_at, now) AS created_at, CASE WHEN stays THEN updated_at ELSE now END AS updated_at FROM j, present"""
+
+
+@query(ENQUEUED)
 def ledger_enqueue(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = with_now(batch(spark, sf_dir), spark, sf_dir)
     return ledger.enqueue(files(spark, sf_dir).drop("id"), new, "now")

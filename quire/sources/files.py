@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import extension
+from ..operators.numbering import numbered
+from ..storage import keep
 
 BINARY = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
 SIDECAR = "passthrough BOOLEAN, pages ARRAY<STRUCT<page_no: INT, flagged: BOOLEAN>>, mean_confidence DOUBLE, engine_win_counts MAP<STRING, BIGINT>"
@@ -22,9 +24,37 @@ def hashed(files: DataFrame) -> DataFrame:
     return files.select("path", "modificationTime", "length", F.sha2("content", 256).alias("content_hash"))
 
 
-def changed(files: DataFrame, known: DataFrame) -> DataFrame:
-    """Files not known at their time of modification: what a stream of new paths misses."""
-    return files.join(known.select("path", "modificationTime"), ["path", "modificationTime"], "left_anti")
+def changes(before: DataFrame, now: DataFrame) -> DataFrame:
+    """(change, path, from_path): what has become of the files of one listing (path, content_hash) in the next.
+
+    ``created``, ``modified`` (same path, other content), ``deleted``, and ``moved`` (a path that is gone and a new
+    one of the same content).  Of equal contents the k-th path gone goes with the k-th new one, in order of the paths, and
+    what is left over is deleted or created.  Files that stay are left out.  A path counts once in a listing; a content
+    that cannot be read (null hash) moves nowhere, and is modified if only one side has it.  Ranks are taken over
+    ranges of paths, so a content that very many files share, such as that of empty ones, is not one task.
+    """
+    old, new = (df.groupBy("path").agg(F.max("content_hash").alias(h)) for df, h in ((before, "_old"), (now, "_new")))
+    mark = lambda df: df.withColumn("_here", F.lit(True))
+    both = mark(old).withColumnRenamed("_here", "_was").join(mark(new).withColumnRenamed("_here", "_is"), "path", "full_outer").where(F.col("_was").isNull() | F.col("_is").isNull() | ~F.col("_old").eqNullSafe(F.col("_new")))
+    both = keep(both, "tree")
+    same = both.where("_was AND _is").select(F.lit("modified").alias("change"), "path", F.lit(None).cast("string").alias("from_path"))
+    gone = both.where("_is IS NULL").select("path", F.col("_old").alias("hash"), F.lit(0).alias("side"))
+    come = both.where("_was IS NULL").select("path", F.col("_new").alias("hash"), F.lit(1).alias("side"))
+    ranked = keep(numbered(gone.unionByName(come), ["side", "hash"], ["path"], "k"), "ranked")
+    a = ranked.where("side = 0").select(F.col("path").alias("from_path"), "hash", "k")
+    b = ranked.where("side = 1").select("path", "hash", "k")
+    met = a.join(b, ["hash", "k"], "full_outer")
+    change = F.when(F.col("path").isNull(), "deleted").when(F.col("from_path").isNull(), "created").otherwise("moved")
+    return same.unionByName(met.select(change.alias("change"), F.coalesce("path", "from_path").alias("path"), F.when(F.col("path").isNotNull(), F.col("from_path")).alias("from_path")))
+
+
+def once(files: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """A stream of files (path, content_hash, modificationTime, ...) without those seen less than ``delay`` before, by path and content.
+
+    State goes with the watermark of modification times, so it holds the files of about the last ``delay``; a
+    file that comes again later passes, and the ledger decides then whether anything is to be done.
+    """
+    return files.withWatermark("modificationTime", delay).dropDuplicatesWithinWatermark(["path", "content_hash"])
 
 
 def watch(spark: SparkSession, root: str, extensions: list[str], files_per_trigger: int = 1000) -> DataFrame:

@@ -11,6 +11,7 @@ from ..streaming.runs import drained
 from . import derive
 from .corpus_queries import FILE_SANE, ROUTE, docs, file_sanity, page_records
 from .ledger_queries import RUNS, runs
+from .page_queries import BLOCKS, block_rows
 from .registry import RECONCILED, query
 
 TREE = "SELECT lang, source, sum(strlen(text) + 1)::BIGINT AS bytes FROM documents GROUP BY lang, source"
@@ -76,3 +77,40 @@ def content_base64(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes as a model's request carries them."""
     return docs(spark, sf_dir).select("doc_id", F.regexp_replace(F.base64(F.encode("text", "UTF-8")), "[\\r\\n]", "").alias("content"))
 
+
+
+TREES = """f AS (SELECT lang, source, doc_id // 5000 AS part, string_agg(text || chr(10), '' ORDER BY doc_id) AS c, string_agg(text || '!' || chr(10), '' ORDER BY doc_id) AS c1, string_agg(text || '?' || chr(10), '' ORDER BY doc_id) AS c2 FROM documents GROUP BY ALL),
+old AS (SELECT 'lang=' || lang || '/source=' || source || '/part=' || part AS path, c FROM f),
+new AS (SELECT 'lang=' || lang || '/source=' || source || '/part=' || part AS path, CASE WHEN lang = 'en' AND CAST(substr(source, 4) AS INT) % 2 = 0 THEN c1 ELSE c END AS c FROM f WHERE lang NOT IN ('de', 'fr')
+ UNION ALL SELECT 'lang=neu/source=' || source || '/part=' || part, c FROM f WHERE lang = 'de' UNION ALL SELECT 'lang=kopie/source=' || source || '/part=' || part, c2 FROM f WHERE lang = 'es'),
+j AS (SELECT coalesce(o.path, n.path) AS path, o.c AS oc, n.c AS nc, o.path IS NOT NULL AS was, n.path IS NOT NULL AS here FROM old o FULL JOIN new n ON o.path = n.path),
+gone AS (SELECT path, oc AS c, row_number() OVER (PARTITION BY oc ORDER BY path) AS k FROM j WHERE NOT here), come AS (SELECT path, nc AS c, row_number() OVER (PARTITION BY nc ORDER BY path) AS k FROM j WHERE NOT was)"""
+
+
+@query(f"""WITH {TREES} SELECT 'modified' AS change, path, NULL AS from_path FROM j WHERE was AND here AND oc <> nc
+UNION ALL SELECT CASE WHEN c.path IS NULL THEN 'deleted' WHEN g.path IS NULL THEN 'created' ELSE 'moved' END, coalesce(c.path, g.path), CASE WHEN c.path IS NOT NULL THEN g.path END FROM gone g FULL JOIN come c ON g.c = c.c AND g.k = c.k""")
+def tree_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two states of a folder: some files with more text, some in another folder, some gone, some new."""
+    top = scratch(spark, "trees")
+    d = docs(spark, sf_dir).select("doc_id", "lang", "source", "text", F.floor(F.col("doc_id") / 5000).alias("part"))
+    with_end = lambda df, end, lang=F.col("lang"): df.withColumns({"text": F.concat("text", F.lit(end)), "lang": lang})
+    more = (F.col("lang") == "en") & (F.substring("source", 4, 9).cast("int") % 2 == 0)
+    changed = d.where("lang NOT IN ('de', 'fr')").withColumn("text", F.when(more, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    later = changed.union(with_end(d.where("lang = 'de'"), "", F.lit("neu"))).union(with_end(d.where("lang = 'es'"), "?", F.lit("kopie")))
+    listed = []
+    for name, rows in (("before", d), ("now", later)):
+        folder = ["lang", "source", "part"]
+        rows.repartition(*folder).sortWithinPartitions(*folder, "doc_id").select(*folder, "text").write.option("lineSep", "\n").partitionBy(*folder).text(f"{top}/{name}")
+        found = files.hashed(files.scan(spark, f"{top}/{name}", [".txt"]))
+        listed.append(found.select(F.regexp_extract("path", "/(lang=.*)/[^/]*$", 1).alias("path"), "content_hash"))
+    return files.changes(*listed)
+
+
+@query(f"WITH {BLOCKS}, pg AS (SELECT doc_id, count(*)::BIGINT AS n_blocks, string_agg(text, chr(10) ORDER BY region_id) FILTER (WHERE text <> '') AS text FROM bl WHERE doc_id % 5 <> 0 GROUP BY doc_id) SELECT doc_id, n_blocks, coalesce(text, '') AS text FROM pg")
+def staged_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of pages staged as JSON, every fifth page cut off in the middle, and read back in page order."""
+    folder = scratch(spark, "staged")
+    files.write_staged(block_rows(docs(spark, sf_dir)), folder, broken=F.col("doc_id") % 5 == 0)
+    back = files.staged_pages(spark, folder, whole=False)
+    text = F.array_join(F.transform(F.filter("blocks", lambda b: b["text"] != ""), lambda b: b["text"]), "\n")
+    return back.select(F.regexp_extract("name", "[0-9]+", 0).cast("long").alias("doc_id"), F.size("blocks").cast("long").alias("n_blocks"), text.alias("text"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import extension
@@ -51,8 +51,8 @@ def changes(before: DataFrame, now: DataFrame) -> DataFrame:
 def once(files: DataFrame, delay: str = "1 hour") -> DataFrame:
     """A stream of files (path, content_hash, modificationTime, ...) without those seen less than ``delay`` before, by path and content.
 
-    State goes with the watermark of modification times, so it holds the files of about the last ``delay``; a
-    file that comes again later passes, and the ledger decides then whether anything is to be done.
+    State goes at the end of a batch, with the watermark of modification times, so it holds the files of about the last
+    ``delay``; a file that comes again after it has gone passes, and the ledger decides then whether anything is to be done.
     """
     return files.withWatermark("modificationTime", delay).dropDuplicatesWithinWatermark(["path", "content_hash"])
 
@@ -70,8 +70,21 @@ def sidecars(spark: SparkSession, root: str, pattern: str = "*.qc.json", whole:
     return rows.withColumn("route", F.when(F.coalesce("passthrough", F.lit(False)), "passthrough").when(empty, "skip_text").otherwise("ocr"))
 
 
-def staged_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, blocks) of staged page files, corrupt ones and those without blocks left out."""
+def write_staged(blocks: DataFrame, folder: str, broken: Column | None = None) -> None:
+    """Blocks (doc_id, region_id, kind, text, html, image) as one JSON record a page, named by its padded number; ``broken`` cuts records off."""
+    page = F.transform(F.array_sort(F.collect_list(F.struct("region_id", "kind", "text", "html", "image"))), lambda b: F.struct(*[b[c].alias(c) for c in ("kind", "text", "html", "image")]))
+    name = F.concat(F.lpad(F.col("doc_id").cast("string"), 8, "0"), F.lit(".page.json"))
+    rows = blocks.groupBy("doc_id").agg(page.alias("blocks")).select("doc_id", F.to_json(F.struct(name.alias("name"), "blocks")).alias("value"))
+    if broken is not None:
+        rows = rows.withColumn("value", F.when(broken, F.expr("substring(value, 1, length(value) div 2)")).otherwise(F.col("value")))
+    rows.select("value").write.text(folder)
+
+
+def staged_pages(spark: SparkSession, folder: str, whole: bool = True) -> DataFrame:
+    """(name, blocks) of staged pages, corrupt ones and those without blocks left out; one page a file, or one a line with its name."""
+    if not whole:
+        rows = spark.read.schema(f"name STRING, {STAGED}").option("mode", "DROPMALFORMED").json(folder)
+        return rows.where("name IS NOT NULL AND blocks IS NOT NULL")
     rows = spark.read.schema(STAGED).option("pathGlobFilter", "*.page.json").option("multiLine", True).option("mode", "DROPMALFORMED").json(folder)
     return rows.where("blocks IS NOT NULL").select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), "blocks")
 

@@ -236,37 +236,3 @@ def test_split_boxes_stay_in_line(spark, words, width):
     got = split(spark, " ".join(words), (7, 0, 7 + width, 9))
     assert [g[0] for g in got] == words
     assert all(g[1] >= 7 and g[3] > g[1] for g in got)
-
-
-def test_stream_ledger_takes_late_and_repeated_events(spark, tmp_path):
-    from quire.streaming import ledger as stream
-
-    def put(name, *events):
-        rows = [(7, datetime(2024, 1, 1, h), i, op, "a") for h, i, op in events]
-        spark.createDataFrame(rows, EVENT).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-
-    def run():
-        s = spark.readStream.schema(EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-        out = stream.run_to_end(s, str(tmp_path / "out"))
-        return [(r.file_id, r.status, r.updated_at.hour) for r in out.collect()], stream.snapshots(spark, str(tmp_path / "out"))
-
-    spark.createDataFrame([], EVENT).write.parquet(str(tmp_path / "in"))
-    assert run()[0] == []
-    put("a", (1, 1, "enqueue"), (5, 2, "done"))
-    assert run()[0] == [(7, "done", 5)]
-    put("b", (3, 3, "processing"))
-    put("c", (5, 2, "done"), (1, 1, "enqueue"))
-    assert run()[0] == [(7, "done", 5)]
-    again = run()
-    assert again[0] == [(7, "done", 5)] and len(again[1]) <= 2
-    put("d", (9, 4, "failed"))
-    query = stream.folding(spark.readStream.schema(EVENT).parquet(str(tmp_path / "in")), str(tmp_path / "out"))
-    assert stream.run_until(query, lambda: False, 0.1) is False
-    assert [r.status for r in stream.snapshot(spark, str(tmp_path / "out")).collect()] == ["failed"]
-
-
-def test_a_stream_stops_when_told(spark, tmp_path):
-    from quire.streaming import ledger as stream
-
-    rate = spark.readStream.format("rate").load().writeStream.format("noop").option("checkpointLocation", str(tmp_path)).start()
-    assert stream.run_until(rate, lambda: True, 0.1) is True and not rate.isActive

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import LANGUAGE_CODES
@@ -20,20 +20,22 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, r"[\x09-\x0d\x20]+"), lambda t: t != "")
 
 
-def sanity(text: Column) -> Column:
-    """Struct (n_chars, char_ratio, token_ratio, sane) of a page's text layer.
+def with_sanity(pages: DataFrame, text: str = "text", name: str = "sanity") -> DataFrame:
+    """``pages`` with a struct (n_chars, char_ratio, token_ratio, sane) of their text layer.
 
     Sane: 40 characters or more, 92 % of them printable ASCII or white space, and 75 % of the tokens
-    plain words or numbers.
+    plain words or numbers.  Each step is a column of its own, used several times by the next, so the text is
+    stripped and cut into tokens once.
     """
-    t = F.coalesce(stripped(text), F.lit(""))
-    n = F.length(t)
-    plausible = F.length(F.regexp_replace(t, r"[^\x09-\x0d\x20-\x7e]", ""))
-    words = tokens(t)
-    good = F.size(F.filter(words, lambda w: w.rlike(r"^[A-Za-z0-9][A-Za-z0-9\-.,;:()/]*$")))
-    chars = F.when(n > 0, plausible / n).otherwise(F.lit(0.0))
-    share = F.when(F.size(words) > 0, good / F.size(words)).otherwise(F.lit(0.0))
-    return F.struct(n.cast("long").alias("n_chars"), chars.alias("char_ratio"), share.alias("token_ratio"), ((n >= 40) & (chars >= 0.92) & (share >= 0.75)).alias("sane"))
+    steps = pages.withColumn("_t", F.coalesce(stripped(F.col(text)), F.lit("")))
+    steps = steps.withColumn("_tokens", tokens(F.col("_t")))
+    good = F.filter("_tokens", lambda w: w.rlike(r"^[A-Za-z0-9][A-Za-z0-9\-.,;:()/]*$"))
+    steps = steps.withColumns({"_n": F.length("_t").cast("long"), "_ok": F.length(F.regexp_replace("_t", r"[^\x09-\x0d\x20-\x7e]", "")), "_k": F.size("_tokens"), "_good": F.size(good)})
+    share = lambda part, whole: F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(F.lit(0.0))
+    steps = steps.withColumns({"_chars": share("_ok", "_n"), "_words": share("_good", "_k")})
+    sane = (F.col("_n") >= 40) & (F.col("_chars") >= 0.92) & (F.col("_words") >= 0.75)
+    whole = F.struct(F.col("_n").alias("n_chars"), F.col("_chars").alias("char_ratio"), F.col("_words").alias("token_ratio"), sane.alias("sane"))
+    return steps.select(*[F.col(c) for c in pages.columns if c != name], whole.alias(name))
 
 
 def sort_key(name: Column) -> Column:

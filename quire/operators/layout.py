@@ -28,26 +28,35 @@ def page_boxes(regions: DataFrame, *more: str) -> DataFrame:
     return sound_boxes(regions).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("region_id", "x0", "y0", "x1", "y1", *more))).alias("boxes"))
 
 
-#: Regions of ``boxes`` that hold the centre of the row's box, and the area that the box shares with each.
-_INSIDE = f"filter(boxes, r -> {contains('r', 'w')})".replace("w.", "")
-_SHARED = f"filter(transform(boxes, r -> struct(-({overlap_area('r', 'w')}) AS far, r.region_id AS region_id)), s -> s.far < 0)".replace("w.", "")
+#: The first region of ``boxes`` that holds the centre of the row's box, and the one that shares most area with it.
+_HELD = f"array_min(transform(boxes, r -> CASE WHEN {contains('r', 'w')} THEN r.region_id END))".replace("w.", "")
+_NEAR = f"array_min(filter(transform(boxes, r -> struct(-({overlap_area('r', 'w')}) AS far, r.region_id AS region_id)), s -> s.far < 0)).region_id".replace("w.", "")
+
+
+def met(words: DataFrame, boxes: DataFrame, how: str) -> DataFrame:
+    """``words`` with ``boxes`` of their page, and ``_held``, the region that holds their centre, worked out once.
+
+    It passes through an outer explode of one item, below which no filter or projection of what is found can
+    move: else each would scan the boxes again.
+    """
+    return words.join(boxes, "doc_id", how).select(*words.columns, "boxes", F.explode_outer(F.array(F.expr(_HELD))).alias("_held"))
 
 
 def assign_words(words: DataFrame, regions: DataFrame) -> DataFrame:
     """``words`` with region_id and method: the first region that holds the word's centre, else the one of greatest overlap.
 
     The regions of a page come as one array, so each word meets them within its row: nothing is
-    multiplied or grouped, and the partitioning of the words stays.  Words that meet no region are left out.
+    multiplied or grouped, and the partitioning of the words stays.  Only words that no region holds
+    are compared by area.  Words that meet no region are left out.
     """
-    near = words.join(page_boxes(regions), "doc_id").withColumns({"_in": F.expr(f"get({_INSIDE}, 0).region_id"), "_near": F.expr(f"array_min({_SHARED}).region_id")})
-    found = near.where("_in IS NOT NULL OR _near IS NOT NULL")
-    return found.select(*words.columns, F.coalesce("_in", "_near").alias("region_id"), F.when(F.col("_in").isNull(), "overlap").otherwise("contains").alias("method"))
+    near = F.explode_outer(F.array(F.expr(f"CASE WHEN _held IS NULL THEN {_NEAR} ELSE _held END")))
+    hit = met(words, page_boxes(regions), "inner").select(*words.columns, "_held", near.alias("region_id")).where("region_id IS NOT NULL")
+    return hit.select(*words.columns, "region_id", F.when(F.col("_held").isNull(), "overlap").otherwise("contains").alias("method"))
 
 
 def claim_words(words: DataFrame, regions: DataFrame) -> DataFrame:
     """``words`` with region_id: the first region, figures aside, that holds the word's centre; null where none does."""
-    near = words.join(page_boxes(regions.where("kind <> 'figure'")), "doc_id", "left")
-    return near.select(*words.columns, F.expr(f"get({_INSIDE}, 0).region_id").alias("region_id"))
+    return met(words, page_boxes(regions.where("kind <> 'figure'")), "left").drop("boxes").withColumnRenamed("_held", "region_id")
 
 
 def line_number_run(words: DataFrame, page_width: int, max_width_fraction: float = 0.12, min_run: int = 3, edge_tolerance_fraction: float = 0.015) -> DataFrame:

@@ -15,8 +15,10 @@ def split_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
     Spaces count as one character.  A single token, or a line of no width, keeps the whole box; every
     word is one pixel wide at least.  The running offset is a window within the line.
     """
-    kept = lines.withColumn("_tokens", tokens(F.col("text"))).where("size(_tokens) > 0")
-    each = kept.select(*keys, "x0", "y0", "x1", "y1", F.size("_tokens").alias("_n"), F.length(F.array_join("_tokens", " ")).cast("long").alias("_total"), F.posexplode("_tokens").alias("tok_no", "text"))
+    # Counts are columns before the explode, or they would be worked out for each word; it is outer, here and below, since
+    # the filter that a plain one implies would split every text once more.
+    cut = lines.withColumn("_tokens", tokens(F.col("text"))).withColumns({"_n": F.size("_tokens"), "_total": F.length(F.array_join("_tokens", " ")).cast("long")})
+    each = cut.select(*keys, "x0", "y0", "x1", "y1", "_n", "_total", F.posexplode_outer("_tokens").alias("tok_no", "text")).where("text IS NOT NULL")
     before = Window.partitionBy(*keys).orderBy("tok_no").rowsBetween(Window.unboundedPreceding, -1)
     each = each.withColumn("_at", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)).cast("long"))
     whole = "_n = 1 OR x1 <= x0"
@@ -27,8 +29,8 @@ def split_lines(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 def split_into_lines(blocks: DataFrame, key: str = "doc_id") -> DataFrame:
     """Lines of blocks (key, text, box): blank lines go, the others become strips of equal height."""
-    kept = blocks.withColumn("_lines", F.expr("filter(split(text, '\n'), x -> trim(x) <> '')"))
-    each = kept.select(key, "x0", "y0", "x1", "y1", F.size("_lines").cast("long").alias("_n"), F.posexplode("_lines").alias("line_no", "text"))
+    cut = blocks.withColumn("_lines", F.expr("filter(split(text, '\n'), x -> trim(x) <> '')")).withColumn("_n", F.size("_lines").cast("long"))
+    each = cut.select(key, "x0", "y0", "x1", "y1", "_n", F.posexplode_outer("_lines").alias("line_no", "text")).where("text IS NOT NULL")
     edge = lambda i: f"CAST(y0 + {half_even(f'(y1 - y0) * CAST({i} AS BIGINT)', '_n')} AS INT)"
     return each.selectExpr(key, "line_no", "text", "x0", f"{edge('line_no')} AS y0", "x1", f"{edge('line_no + 1')} AS y1")
 

@@ -88,12 +88,12 @@ fs AS (SELECT d.doc_id, coalesce(n_pages, 0)::BIGINT AS n_pages, coalesce(all_sa
 
 @query(f"WITH {SANITY} SELECT doc_id, n AS n_chars, char_ratio, token_ratio, n >= 40 AND char_ratio >= 0.92 AND token_ratio >= 0.75 AS sane FROM sane")
 def text_sanity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir).select("doc_id", T.sanity(F.col("text")).alias("s")).select("doc_id", "s.*")
+    return T.with_sanity(docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", "sanity.*")
 
 
 def file_sanity(documents: DataFrame) -> DataFrame:
     """(doc_id, n_pages, all_sane): a file passes if it has pages and all are sane."""
-    pages = derive.page_texts(documents).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"), F.bool_and(T.sanity(F.col("text"))["sane"]).alias("all_sane"))
+    pages = T.with_sanity(derive.page_texts(documents)).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"), F.bool_and("sanity.sane").alias("all_sane"))
     return documents.select("doc_id").join(pages, "doc_id", "left").select("doc_id", F.coalesce("n_pages", F.lit(0)).cast("long").alias("n_pages"), F.coalesce("all_sane", F.lit(False)).alias("all_sane"))
 
 

@@ -2,7 +2,6 @@
 
 import inspect
 import json
-from datetime import datetime
 
 import hypothesis
 import pytest
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 from quire import recognizers, settings
 from quire.functions import geometry, text
 from quire.operators import assembly, layout, ledger, quality, splitting
+from quire.plans import derive
 from quire.sources import files
 
 BOX = "text string, x0 int, y0 int, x1 int, y1 int"
@@ -103,7 +103,7 @@ def test_sort_keys_and_paths(spark):
 
 def test_sanity(spark):
     df = spark.createDataFrame([("This page holds a plain sentence with enough letters.",), ("short",), ("é" * 60,), (None,)], "t string")
-    assert [r[0] for r in df.select(text.sanity(F.col("t"))["sane"]).collect()] == [True, False, False, False]
+    assert [r[0] for r in text.with_sanity(df, "t").select("sanity.sane").collect()] == [True, False, False, False]
 
 
 def test_language_hint_is_never_empty(spark):
@@ -236,3 +236,16 @@ def test_split_boxes_stay_in_line(spark, words, width):
     got = split(spark, " ".join(words), (7, 0, 7 + width, 9))
     assert [g[0] for g in got] == words
     assert all(g[1] >= 7 and g[3] > g[1] for g in got)
+
+
+def test_word_plans_work_once(spark):
+    """Each text is split once, each word meets the boxes of its page once, and a page's text is stripped once."""
+    docs = spark.createDataFrame([(1, "a b\nc")], "doc_id long, text string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assigned = plan(layout.assign_words(derive.words(docs), derive.regions(docs)))
+    assert assigned.count("filter(split(") == 2 and assigned.count("array_join(") == 1  # lines, and tokens of lines
+    assert assigned.count("transform(boxes") == 2 and assigned.count("Generate explode(array(array_min(transform(boxes") == 1
+    claimed = plan(layout.claim_words(derive.words(docs), derive.regions(docs)).where("region_id IS NOT NULL"))
+    assert claimed.count("transform(boxes") == 1
+    sane = plan(text.with_sanity(docs).select("doc_id", "sanity.*"))
+    assert sane.count("btrim(") + sane.count("trim(") == 1 and sane.count("split(") == 1

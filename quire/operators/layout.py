@@ -59,6 +59,10 @@ def claim_words(words: DataFrame, regions: DataFrame) -> DataFrame:
     return met(words, page_boxes(regions.where("kind <> 'figure'")), "left").drop("boxes").withColumnRenamed("_held", "region_id")
 
 
+def may_be_line_number(page_width: int, max_width_fraction: float = 0.12) -> Column:
+    return (F.col("x1") <= max_width_fraction * page_width) & F.trim("text").rlike("^[0-9]{1,4}$")
+
+
 def line_number_run(words: DataFrame, page_width: int, max_width_fraction: float = 0.12, min_run: int = 3, edge_tolerance_fraction: float = 0.015) -> DataFrame:
     """(doc_id, word_id, value, step, y0): the words of each page's margin line-number run, if it has one.
 
@@ -69,7 +73,7 @@ def line_number_run(words: DataFrame, page_width: int, max_width_fraction: float
     """
     tol = max(4, int(edge_tolerance_fraction * page_width))
     page = Window.partitionBy("doc_id")
-    c = words.where((F.col("x1") <= max_width_fraction * page_width) & F.trim("text").rlike("^[0-9]{1,4}$"))
+    c = words.where(may_be_line_number(page_width, max_width_fraction))
     right, left = F.max("x1").over(page) - F.min("x1").over(page), F.max("x0").over(page) - F.min("x0").over(page)
     c = c.withColumns({"_edge": F.when(right <= left, F.col("x1")).otherwise(F.col("x0")), "_n": F.count(F.lit(1)).over(page)}).where(F.col("_n") >= min_run)
     c = c.withColumn("_near", F.count(F.lit(1)).over(page.orderBy("_edge").rangeBetween(-tol, tol)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import corpus_queries, file_queries, ledger_queries, page_queries, stream_queries  # noqa: F401
+from . import analysis_queries, corpus_queries, file_queries, ledger_queries, page_queries, stream_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

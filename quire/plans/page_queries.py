@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import text as T
-from ..operators import assembly, layout, splitting
+from ..operators import assembly, layout, pages, splitting
 from ..schema import LABEL_KINDS, PAGE_HEIGHT, PAGE_WIDTH
 from . import derive
 from .corpus_queries import assigned, docs, longs, page_records
@@ -336,8 +336,14 @@ def page_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_pages"), text.alias("text"))
 
 
-@query(f"""WITH {WORDS}, z AS (SELECT *, greatest(1.0, (y1 - y0) * 0.24 * 0.88) AS size FROM words)
-SELECT doc_id, word_id::BIGINT AS word_id, text, round(size, 6)::DOUBLE AS font_size, round(x0 * 0.24, 6)::DOUBLE AS pt_x, round(3508 * 0.24 - y1 * 0.24 + size * 0.15, 6)::DOUBLE AS pt_y, round((x1 - x0) * 0.24, 6)::DOUBLE AS pt_width FROM z""")
+WIDE = f"[{', '.join(map(str, assembly.WIDTHS))}]"
+
+
+@query(f"""WITH {WORDS}, z AS (SELECT *, greatest(1.0, (y1 - y0) * 0.24 * 0.88)::DOUBLE AS size, list_sum(list_transform(string_split(translate(text, '{assembly.ACCENTED}', '{assembly.PLAIN}'), ''),
+ lambda c: CASE WHEN c = 'ß' THEN 611 ELSE coalesce(CASE WHEN unicode(c) >= 32 THEN {WIDE}[unicode(c) - 31] END, {assembly.OTHER_WIDTH}) END)) AS wide FROM words),
+n AS (SELECT *, coalesce(nullif(wide::DOUBLE * size / 1000.0, 0.0), 1.0) AS nat FROM z)
+SELECT doc_id, word_id::BIGINT AS word_id, text, round(size, 6)::DOUBLE AS font_size, round(x0 * 0.24, 6)::DOUBLE AS pt_x, round(3508 * 0.24 - y1 * 0.24 + size * 0.15, 6)::DOUBLE AS pt_y, round((x1 - x0) * 0.24, 6)::DOUBLE AS pt_width,
+round(nat, 6)::DOUBLE AS pt_natural, round((x1 - x0) * 0.24::DOUBLE / nat * 100.0, 4)::DOUBLE AS h_scale FROM n""")
 def text_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(assembly.text_layer(derive.words(docs(spark, sf_dir)), PAGE_HEIGHT))
 
@@ -378,8 +384,7 @@ def ab_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
 def table_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Even pages have one table off every region; odd ones two on the same region, of which the later stays."""
     d = docs(spark, sf_dir)
-    t = "CASE WHEN doc_id % 2 = 0 THEN array(named_struct('table_id', 0, 'html', concat('<table><tr><td>', CAST(doc_id AS STRING), '</td></tr></table>'), 'x0', 0)) ELSE array(named_struct('table_id', 0, 'html', '<table></table>', 'x0', 1300), named_struct('table_id', 1, 'html', '<table><tr><td>late</td></tr></table>', 'x0', 1400)) END"
-    tables = d.select("doc_id", F.explode(F.expr(t)).alias("t")).selectExpr("doc_id", "t.table_id", "t.html", "t.x0", "1900 AS y0", "t.x0 + 300 AS x1", "2000 AS y1")
+    tables = tables_of(d)
     return longs(assembly.attach_tables(derive.regions(d), tables))
 
 
@@ -405,3 +410,43 @@ def page_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks, words, regions, reconciliation, quality and text of every page."""
     d = docs(spark, sf_dir)
     return page_records(d, with_text=True).select("doc_id", "layout_type", "languages", "n_words", "flagged", F.round("mean_confidence", 6).alias("mean_confidence"), "text")
+
+
+TABLES = "CASE WHEN doc_id % 2 = 0 THEN '<table><tr><td>' || doc_id || '</td></tr></table>' ELSE '<table><tr><td>late</td></tr></table>' END"
+
+
+def tables_of(d: DataFrame) -> DataFrame:
+    """One table on even pages; on odd ones two on the same region, of which the later stays."""
+    t = "CASE WHEN doc_id % 2 = 0 THEN array(named_struct('table_id', 0, 'html', concat('<table><tr><td>', CAST(doc_id AS STRING), '</td></tr></table>'), 'x0', 0)) ELSE array(named_struct('table_id', 0, 'html', '<table></table>', 'x0', 1300), named_struct('table_id', 1, 'html', '<table><tr><td>late</td></tr></table>', 'x0', 1400)) END"
+    return d.select("doc_id", F.explode(F.expr(t)).alias("t")).selectExpr("doc_id", "t.table_id", "t.html", "t.x0", "1900 AS y0", "t.x0 + 300 AS x1", "2000 AS y1")
+
+
+@query(f"""WITH {CLAIMED}, {MARGIN}, lm AS (SELECT doc_id, word_id + 1000000 AS word_id, CAST(value AS VARCHAR) AS text, x0, y0, 0 AS region_id FROM mw ANTI JOIN run USING (doc_id, word_id)),
+allw AS (SELECT w.doc_id, w.word_id, w.text, w.x0, w.y0, coalesce(c.region_id, 99) AS region_id FROM words w LEFT JOIN claimed c USING (doc_id, word_id) UNION ALL SELECT * FROM lm),
+tx AS (SELECT doc_id, region_id, count(*) AS n, string_agg(text, ' ' ORDER BY y0, x0, word_id) AS text FROM allw GROUP BY doc_id, region_id),
+parts AS (SELECT doc_id, 0 AS bucket, -1 AS region_id, 'margin_numbers' AS kind, count(*) AS n, string_agg(value, ' ' ORDER BY y0, word_id) AS text, NULL AS html FROM run GROUP BY doc_id
+ UNION ALL SELECT r.doc_id, 1, r.region_id, r.kind, coalesce(n, 0), coalesce(text, ''), CASE WHEN kind = 'table' THEN {TABLES.replace("doc_id", "r.doc_id")} END FROM regs r LEFT JOIN tx t ON r.doc_id = t.doc_id AND r.region_id = t.region_id WHERE n > 0 OR kind = 'figure'
+ UNION ALL SELECT doc_id, 2, 99, 'other', n, text, NULL FROM tx WHERE region_id = 99)
+SELECT doc_id, CASE WHEN bool_or(kind = 'margin_numbers') THEN 'two_column_margin' WHEN count(*) <= 1 THEN 'single_column' ELSE 'other' END AS layout_type, count(*)::BIGINT AS n_regions, sum(n)::BIGINT AS n_words, count(html)::BIGINT AS n_tables,
+ coalesce(string_agg(text, chr(10) ORDER BY bucket, region_id) FILTER (WHERE text <> ''), '') AS text FROM parts GROUP BY doc_id""")
+def model_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole pages by the model's layout, with margin numbers, tables and text."""
+    d = docs(spark, sf_dir)
+    margin = derive.margin_words(d).withColumn("word_id", F.col("word_id") + 1_000_000)
+    return pages.model_pages(pages.model_regions(derive.words(d), derive.regions(d), tables_of(d), PAGE_WIDTH, margin))
+
+
+@query(f"""WITH {BLOCKS}, bb AS (SELECT *, CASE WHEN kind = 'table' AND doc_id % 4 = 0 THEN '<table><tr><td> </td></tr></table>' ELSE html END AS html2, CASE WHEN doc_id % 3 <> 0 THEN image END AS image2 FROM bl),
+el AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY region_id) AS k, CASE WHEN kind = 'table' AND html2 IS NOT NULL AND doc_id % 4 <> 0 THEN 'table' WHEN kind = 'figure' AND image2 IS NOT NULL THEN 'picture' WHEN kind = 'title' THEN 'heading2' ELSE 'paragraph' END AS element, kind, text, html2, image2
+ FROM bb WHERE (kind = 'table' AND html2 IS NOT NULL AND doc_id % 4 <> 0) OR (kind = 'figure' AND image2 IS NOT NULL) OR text <> ''),
+pgs AS (SELECT DISTINCT doc_id, source FROM bl JOIN documents USING (doc_id)), firsts AS (SELECT source, min(doc_id) AS first FROM pgs GROUP BY source)
+SELECT source AS document, doc_id AS page, 0::BIGINT AS seq, CASE WHEN doc_id = first THEN 'heading1' ELSE 'page_break' END AS element, CASE WHEN doc_id = first THEN 'Heading 1' ELSE '' END AS style, CASE WHEN doc_id = first THEN source END AS content FROM pgs JOIN firsts USING (source)
+UNION ALL SELECT source, doc_id, k, element, CASE element WHEN 'table' THEN 'Table Grid' WHEN 'picture' THEN 'width 5.5in' WHEN 'heading2' THEN 'Heading 2' ELSE CASE WHEN kind = 'margin_numbers' THEN '8pt italic' WHEN kind IN ('column', 'full_page') THEN 'Normal' ELSE '9pt italic' END END,
+ CASE element WHEN 'table' THEN html2 WHEN 'picture' THEN image2 ELSE el.text END FROM el JOIN (SELECT doc_id, source FROM documents) USING (doc_id)""")
+def docx_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of several pages, here the texts of a source; some tables without a cell, some pictures missing."""
+    d = docs(spark, sf_dir)
+    own = block_rows(d).withColumns({"html": F.when((F.col("kind") == "table") & (F.col("doc_id") % 4 == 0), "<table><tr><td> </td></tr></table>").otherwise(F.col("html")), "image": F.when(F.col("doc_id") % 3 != 0, F.col("image"))})
+    staged = own.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("region_id", "kind", "text", "html", "image"))), lambda b: F.struct(*[b[c].alias(c) for c in ("kind", "text", "html", "image")])).alias("blocks"))
+    rows = assembly.export_rows(staged.join(d.select("doc_id", F.col("source").alias("document")), "doc_id").withColumnRenamed("doc_id", "page"), title=F.col("document"))
+    return longs(rows)

@@ -15,7 +15,8 @@ neighbours of one kind are spans of their own and base spans stay as they are.
 refuses are dropped: an email needs an ``@``, or a word ``at`` within it and a dot behind that, a card 13 to 19 digits, a phone 7 to 15, a
 secret 12 bytes and 2 digits; an ip is never added, as the base pattern finds all of four numbers.  A
 secret is also a value of ``SHORT`` bytes or more, with a letter and a digit or sign, behind a strong cue
-and ``=`` or ``:``.
+and ``=`` or ``:``; that rule is a pattern, not the CRF, and ``n_pattern`` counts its spans.  An item of more than
+``LONGEST`` words is found only if it is all of a run of one label.
 
 Null and empty texts have no spans; rows without an id, and repeated rows, are judged as any other.
 Offsets are code points, ends exclusive.  Every step takes time in proportion to the text, however long
@@ -27,7 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import cache
 from itertools import accumulate
@@ -362,6 +363,10 @@ def sums(flags: list) -> list[int]:
     return [0, *accumulate(map(int, flags))]
 
 
+#: Words of an item at most, unless it is a whole run: room for an address spelt out letter by letter.
+LONGEST = 64
+
+
 def entities(kind: int, t: bytes, words: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """Spans of the single items in a run of words (start, end) of one kind.
 
@@ -387,7 +392,7 @@ def entities(kind: int, t: bytes, words: list[tuple[int, int]]) -> Iterator[tupl
     best, back = [0.0], [(0, -1, -1)]
     for j in range(1, n + 1):
         cost, how = best[j - 1] + 20, (j - 1, -1, -1)
-        for i in (*range(max(0, j - 20), j), *([0] if j == n > 20 else [])):
+        for i in (*range(max(0, j - LONGEST), j), *([0] if j == n > LONGEST else [])):
             s, e, size = head[i], tail[j - 1], n_digit[j] - n_digit[i]
             if s >= e or not plausible(kind, e - s, size, kind == 0 and mail(i, j)):
                 continue
@@ -428,20 +433,34 @@ class Taken:
 
 
 SHORT = 6
-_VALUE = re.compile(rb"[:=][\x20\t]*[\"']?([^\s\"']{%d,})" % SHORT)
-_NAMES = tuple(c.encode() for c in STRONG)
+#: A strong cue that no letter or digit stands before, = or :, and what opens the value; the value may hold the next cue.
+_CUE = re.compile(rb"(?i)(?<![A-Za-z0-9])(?:" + b"|".join(sorted((re.escape(c.encode()) for c in STRONG), key=len, reverse=True)) + rb")[\x20\t\"']*+[:=][\x20\t]*+[\"']?")
+_STOP = re.compile(rb"[\s\"']|&(?=[A-Za-z0-9_.-]++=)")
+_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123), *range(128, 256)])
 
 
 def short_secrets(t: bytes) -> Iterator[tuple[int, int]]:
-    """Values behind a strong cue and = or :, with a letter and a digit or sign."""
-    for m in _VALUE.finditer(t):
-        name = t[max(0, m.start() - 20) : m.start()].rstrip(b" \t\"'").lower()
-        cue = next((c for c in _NAMES if name.endswith(c)), None)
-        if not cue or name[: -len(cue)][-1:].isalnum():
-            continue
-        value = m[1].rstrip(_TRIM)
-        if len(value) >= SHORT and re.search(rb"[A-Za-z\x80-\xff]", value) and re.search(rb"[^A-Za-z\x80-\xff]", value):
-            yield m.start(1), m.start(1) + len(value)
+    """Values behind a strong cue and = or :, with a letter and a digit or sign, however far the cue is padded.
+
+    A value ends at white space, a quote, or the next parameter of a query string.  Of values that begin within
+    another, the outer one is given.  Ends, and what a value holds, are looked up, so values within values cost no more.
+    """
+    cues = [m.end() for m in _CUE.finditer(t)]
+    if not cues:
+        return
+    data = np.frombuffer(t, np.uint8)
+    stops = [*(m.start() for m in _STOP.finditer(t)), len(t)]
+    letters = B.prefix_sum(_LETTER[data])
+    place = np.arange(1, len(t) + 1)
+    solid = np.maximum.accumulate(np.where(np.isin(data, np.frombuffer(_TRIM, np.uint8)), 0, place))  # end of the last byte that is not trimmed
+    done = 0
+    for at in cues:
+        end = stops[bisect_left(stops, at)]
+        end = max(at, int(solid[end - 1])) if end > at else at
+        n = int(letters[end] - letters[at])
+        if at >= done and end - at >= SHORT and 0 < n < end - at:
+            done = end
+            yield at, end
 
 
 _DIGIT = (np.arange(256) >= 48) & (np.arange(256) < 58)
@@ -449,8 +468,9 @@ Span = tuple[int, int, int]
 NONE = Taken([])
 
 
-def block_spans(b: B.Block, model: Crf) -> tuple[dict[int, list[Span]], dict[int, list[Span]]]:
-    """(base spans, all spans) by document, in code points of the text, ordered by kind and start."""
+def block_spans(b: B.Block, model: Crf) -> tuple[dict[int, list[Span]], dict[int, list[Span]], dict[int, int]]:
+    """(base spans, all spans, how many of them by the pattern of secrets) by document, in code points of the text, ordered by kind and start."""
+    patterns: dict[int, int] = {}
     points = B.prefix_sum((b.data & 0xC0) != 0x80)
     some = np.flatnonzero((B.per_doc(_DIGIT[b.data], b.off) > 0) | (B.per_doc(b.data == 64, b.off) > 0))
     raw = {int(i): [(k, s + int(b.off[i]), e + int(b.off[i])) for k, s, e in base_spans(b.text(i))] for i in some}
@@ -465,16 +485,18 @@ def block_spans(b: B.Block, model: Crf) -> tuple[dict[int, list[Span]], dict[int
     for i in np.flatnonzero(B.per_doc((b.data == 58) | (b.data == 61), b.off) > 0).tolist():
         at, own = int(b.off[i]), every.setdefault(i, [])
         free = Taken([(s, e) for _, s, e in own])
-        own += [(4, lo, hi) for s, e in short_secrets(b.text(i)) for lo, hi in free.outside(s + at, e + at)]
+        found = [(4, lo, hi) for s, e in short_secrets(b.text(i)) for lo, hi in free.outside(s + at, e + at)]
+        own += found
+        patterns[i] = len(found)
     place = lambda spans, i: sorted((k, int(points[s] - points[b.off[i]]), int(points[e] - points[b.off[i]])) for k, s, e in spans)
-    return {i: place(v, i) for i, v in raw.items() if v}, {i: place(v, i) for i, v in every.items() if v}
+    return {i: place(v, i) for i, v in raw.items() if v}, {i: place(v, i) for i, v in every.items() if v}, patterns
 
 
 def written(spans: list[Span]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for k, s, e in spans)
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_pattern long"
 
 
 def find(docs: DataFrame, model: Crf | None = None) -> DataFrame:
@@ -485,11 +507,11 @@ def find(docs: DataFrame, model: Crf | None = None) -> DataFrame:
         crf = Crf(emit, move)
         for batch in batches:
             for lo, hi, b in B.blocks(batch.column(1)):
-                base, every = block_spans(b, crf)
+                base, every, patterns = block_spans(b, crf)
                 own = [base.get(i, []) for i in range(b.n)]
                 alls = [every.get(i, []) for i in range(b.n)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), *(pa.array([sum(k == kind for k, _, _ in x) for x in own], pa.int64()) for kind in range(4)), pa.array([hashlib.sha256(written(x).encode()).hexdigest() for x in own]), pa.array([written(x) for x in alls], pa.string()), pa.array([len(x) - len(y) for x, y in zip(alls, own, strict=True)], pa.int64())],
+                    [batch.column(0).slice(lo, hi - lo), *(pa.array([sum(k == kind for k, _, _ in x) for x in own], pa.int64()) for kind in range(4)), pa.array([hashlib.sha256(written(x).encode()).hexdigest() for x in own]), pa.array([written(x) for x in alls], pa.string()), pa.array([len(x) - len(y) for x, y in zip(alls, own, strict=True)], pa.int64()), pa.array([patterns.get(i, 0) for i in range(b.n)], pa.int64())],
                     [x.split()[0] for x in SCHEMA.split(", ")],
                 )
 
@@ -516,7 +538,7 @@ def redact(docs: DataFrame, model: Crf | None = None, text_col: str = "text") ->
         for batch in batches:
             column = batch.column(at)
             for lo, hi, b in B.blocks(column):
-                _, every = block_spans(b, crf)
+                _, every, _ = block_spans(b, crf)
                 part = batch.slice(lo, hi - lo)
                 if every:
                     texts = part.column(at).to_pylist()

@@ -9,21 +9,22 @@ where the triangle inequality says nothing, so the first regions are cut by shar
 shingles in hash order a document shows the first k + 1 + e, with k = n - ceil(3n/4) the number that
 a partner may lack and e = n // 8.  Linked documents share at least 1 + min(e) of those they show.
 
-- A shingle that at most ``SMALL`` points show is a small region: its pairs are counted over all
-  shingles, and those that cannot reach 1 + min(e) fall away.
+- A shingle that at most ``SMALL`` points show makes pairs, counted over all such shingles; those that cannot reach
+  1 + min(e) fall away.  The region of a pair is that of the least point in both neighbourhoods, its pivot.
 - A shingle that more show is a large region.  A pair that shares no small one shares 1 + min(e) in
   large regions, and its sizes differ by a quarter at most; so only points that show more than
   (3n/4) // 8 shingles of large regions matter: these show again, now the k + 1 rarest of all their
   shingles among such points, which parts documents that share a passage or an old version from
-  those that are nearly equal.  What then falls in large regions is joined by pivots.
+  those that are nearly equal.  A large region takes its member of least hash as pivot, and regions of one pivot are
+  one region: those of a group of near copies fall together, and a point is a member once.
 
-Every large region takes its member of least hash as first pivot, and regions of one pivot are one
-region: those of a group of near copies fall together, and a point is a member once.  Members within
-T of the pivot are linked to it.  The regions are then joined recursively.  Each takes more pivots, and the exact distance of every member to
+Exact distances are taken of all points to the pivots of their regions, and members within T of a pivot are linked to it,
+which joins a group of near copies without any pair of its members.  Of the pairs of small regions those are compared
+that are still apart and whose distances to the pivot differ by T at most.  Large regions are joined recursively.
+Each takes more pivots, and the exact distance of every member to
 them.  A member within R = 1/2 of its nearest pivot belongs to that pivot's Voronoi region, and is
 replicated into the region of pivot i when d_i <= min(d_min + 2T, R + T); a member with d_min > R - T
-is also in the outer region.  Any linked pair meets in one of these.  Members within T of a pivot are
-linked to it, which joins a group of near copies without any pair of its members; a region whose
+is also in the outer region.  Any linked pair meets in one of these.  A region whose
 members are all in one component is finished, and the rest recur with more pivots.  A region of at most
 ``LEAF`` members, and all of a level whose windows would replicate more than twice its members, since
 all distances are alike, is joined directly: points outside its largest component meet all others.
@@ -40,6 +41,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,6 +54,7 @@ from .store import fresh, keep
 SHINGLE = 5
 SMALL = 24
 LEAF = 128
+PIECE = 100_000
 PIVOTS = 8
 DEEPEST = 16
 SALTS = 16
@@ -93,7 +97,7 @@ def shown(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 SETS = "doc_id long, text_hash long, sid long, n long"
-SHOWN = "bucket long, shingles binary, sids binary"
+SHOWN = "bucket long, large boolean, shingles binary, sids binary"
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -111,23 +115,53 @@ def read_sets(docs: DataFrame) -> DataFrame:
     return keyed(docs).mapInArrow(run, SETS)
 
 
+#: The set id that marks a shingle as large; no set has it.
+MARK = np.int64(0)
+
+
+def entries(key: np.ndarray, who: np.ndarray, large: np.ndarray, buckets: int, at: int) -> dict[str, list]:
+    """Rows of ``SHOWN`` for entries (shingle, set id): small ones by the bucket of their shingle, large ones by where they come from.
+
+    Nothing is to be counted of a shingle known to be large, so its entries go to bucket ``at`` and on, a piece each, and
+    one entry with ``MARK`` tells its own bucket.
+    """
+    out: dict[str, list] = {"bucket": [], "large": [], "shingles": [], "sids": []}
+    marks = np.unique(key[large])
+    k, w = np.concatenate([key[~large], marks]), np.concatenate([who[~large], np.full(len(marks), MARK)])
+    order = np.argsort(k, kind="stable")
+    k, w = k[order], w[order]
+    for bucket, s in X.rows_by_bucket(k, w, buckets):
+        for name, value in zip(out, (bucket, False, k[s].tobytes(), w[s].tobytes()), strict=True):
+            out[name].append(value)
+    k, w = key[large], who[large]
+    for lo in range(0, len(k), PIECE):
+        for name, value in zip(out, ((at + lo // PIECE) % buckets, True, k[lo : lo + PIECE].tobytes(), w[lo : lo + PIECE].tobytes()), strict=True):
+            out[name].append(value)
+    return out
+
+
 def show(docs: DataFrame, buckets: int) -> DataFrame:
-    """Shown shingles with their set ids, packed by bucket; equal sets of one block show once."""
+    """Shown shingles with their set ids, packed by bucket; equal sets of one block show once.
+
+    A shingle that more than ``SMALL`` sets of one block show is large: so a bucket gets at most ``SMALL`` entries of
+    a block for any shingle, however many documents hold it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() * 7919
         for batch in batches:
             for _, _, b in B.blocks(batch.column(0), lower=True):
                 h, off = shingle_sets(b)
                 sid = set_ids(h, off)
                 _, one = np.unique(sid, return_index=True)
                 count, _ = shown(np.diff(off)[one])
-                at = B.ragged(off[one], count)
-                key, who = h[at], np.repeat(sid[one], count)
-                order = np.argsort(key, kind="stable")
-                key, who = key[order], who[order]
-                rows = [(k, key[s].tobytes(), who[s].tobytes()) for k, s in X.rows_by_bucket(key, who, buckets)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "shingles", "sids"])
+                where = B.ragged(off[one], count)
+                key, who = h[where], np.repeat(sid[one], count)
+                _, inverse, times = np.unique(key, return_inverse=True, return_counts=True)
+                at += 1
+                out = entries(key, who, times[inverse] > SMALL, buckets, at)
+                if out["bucket"]:
+                    yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("bucket", pa.int64()), ("large", pa.bool_()), ("shingles", pa.binary()), ("sids", pa.binary())]))
 
     return docs.select("text").mapInArrow(run, SHOWN)
 
@@ -135,20 +169,28 @@ def show(docs: DataFrame, buckets: int) -> DataFrame:
 MET = "large boolean, a long, b long, c long"
 
 
+def unpacked(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    key = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles"))])
+    sid = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x.as_buffer(), np.int64) for x in t.column("sids"))])
+    return key, sid
+
+
 def meet(t: pa.Table) -> pa.Table:
     """Of one bucket: pairs (a, b) in small regions with the shingles they share, and rows (shingle, sid) of large ones."""
-    key = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")])
-    sid = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in t.column("sids")])
+    passed = unpacked(t.filter(t.column("large")))
+    key, sid = unpacked(t.filter(pc.invert(t.column("large"))))
     order = np.lexsort((sid, key))
     key, sid = key[order], sid[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (sid[1:] != sid[:-1])
     key, sid = key[new], sid[new]
-    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(key)))
+    marked = np.logical_or.reduceat(sid == MARK, start) if len(start) else np.zeros(0, bool)
+    big = marked | (size > SMALL)
     left, right = [], []
-    for k in np.unique(size[(size > 1) & (size <= SMALL)]):
-        rows = sid[start[size == k][:, None] + np.arange(k)]
+    for k in np.unique(size[(size > 1) & ~big]):
+        rows = sid[start[(size == k) & ~big][:, None] + np.arange(k)]
         i, j = np.triu_indices(int(k), 1)
         left.append(rows[:, i].ravel()), right.append(rows[:, j].ravel())
     a = np.concatenate(left) if left else np.zeros(0, np.int64)
@@ -156,10 +198,11 @@ def meet(t: pa.Table) -> pa.Table:
     order = np.lexsort((b, a))
     a, b = a[order], b[order]
     first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-    large = np.repeat(size > SMALL, size)
-    n, m = len(first), int(large.sum())
+    large = np.repeat(big, size) & (sid != MARK)
+    x, y = np.concatenate([key[large], passed[0]]).view(np.int64), np.concatenate([sid[large], passed[1]])
+    n, m = len(first), len(x)
     return pa.table(
-        [pa.array(np.arange(n + m) >= n), pa.array(np.concatenate([a[first], key[large].view(np.int64)])), pa.array(np.concatenate([b[first], sid[large]])), pa.array(np.concatenate([np.diff(np.append(first, len(a))), np.zeros(m, np.int64)]))],
+        [pa.array(np.arange(n + m) >= n), pa.array(np.concatenate([a[first], x])), pa.array(np.concatenate([b[first], y])), pa.array(np.concatenate([np.diff(np.append(first, len(a))), np.zeros(m, np.int64)]))],
         names=["large", "a", "b", "c"],
     )
 
@@ -212,13 +255,7 @@ def meet_rarest(sets: DataFrame) -> DataFrame:
         place = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
         most = n - -(-3 * n // 4) + 1
         order = order[(place < most[doc]) & (df[order] > 1)]
-        key, who = h[order], t.column("sid").to_numpy()[doc[order]]
-        order = np.argsort(key, kind="stable")
-        key, who = key[order], who[order]
-        out: dict[str, list] = {"bucket": [], "shingles": [], "sids": []}
-        for bucket, s in X.rows_by_bucket(key, who, buckets):
-            out["bucket"].append(bucket), out["shingles"].append(key[s].tobytes()), out["sids"].append(who[s].tobytes())
-        return X.table_of(out, SHOWN)
+        return X.table_of(entries(h[order], t.column("sid").to_numpy()[doc[order]], df[order] > SMALL, buckets, 7919 * X.chunk_no(t)), SHOWN)
 
     counts = X.answers(dealt.groupBy("chunk").applyInArrow(first, X.ASK), np.int32, lambda v, at: np.add.reduceat(v.astype(np.int64), at), np.int32)
     return dealt.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInArrow(second, SHOWN).groupBy("bucket").applyInArrow(meet, MET)
@@ -326,6 +363,27 @@ def block_links(members: DataFrame, sets: DataFrame) -> DataFrame:
     return left.groupBy("region", "i", "j").cogroup(right.groupBy("r", "k", "l")).applyInArrow(run, "a long, b long").distinct()
 
 
+def small_cells(able: DataFrame) -> DataFrame:
+    """(pivot, a, b): the region of each pair that may link, that of the least point in both neighbourhoods.
+
+    Points that may link with many of the same, as near copies do, have one pivot, and a point is in the regions of all
+    its pairs.
+    """
+    both = able.union(able.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("p"))
+    for side in "ab":
+        able = able.join(least.select(F.col("a").alias(side), F.col("p").alias("p" + side)), side)
+    return able.select(F.least("pa", "pb").alias("pivot"), "a", "b")
+
+
+def in_window(cells: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``cells`` that the triangle inequality leaves: their distances to the pivot differ by T at most, and neither is the pivot."""
+    pairs = cells.where("a <> pivot AND b <> pivot")
+    for side in "ab":
+        pairs = pairs.join(known.select(F.col("a").alias(side), F.col("b").alias("pivot"), F.col("d").alias("d" + side)), [side, "pivot"])
+    return pairs.where(F.abs(F.col("da") - F.col("db")) <= T + EPS).select("a", "b")
+
+
 def split_regions(members: DataFrame, sets: DataFrame, n_pivots: int) -> tuple[DataFrame, DataFrame]:
     """One recursion: (links to pivots, members of the new regions)."""
     pivots = members.groupBy("region").agg(F.array_distinct(F.array(*[F.min_by("sid", F.xxhash64("sid", F.lit(k))) for k in range(n_pivots)])).alias("pivots"))
@@ -360,18 +418,21 @@ def components(docs: DataFrame) -> DataFrame:
 
     wanted = able.select(F.explode(F.array("a", "b")).alias("sid")).union(heavy).distinct()
     full = keep(full_sets(docs, info.join(wanted, "sid", "left_semi"), repeated), "full")
-    again = keep(meet_rarest(full.join(heavy, "sid", "left_semi")), "rarest")
-    pairs = again.where("NOT large").join(info.select(F.col("sid").alias("a"), F.col("n").alias("na")), "a").join(info.select(F.col("sid").alias("b"), F.col("n").alias("nb")), "b")
-    able = keep(able.union(pairs.where("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b")).distinct(), "candidates")
-    large = again.where("large").select(F.col("a").alias("region"), F.col("b").alias("sid"))
-    first = large.groupBy("region").agg(F.min_by("sid", F.xxhash64("sid")).alias("pivot"))
-    members = keep(by_region(large, first).select(F.col("pivot").alias("region"), "sid").distinct(), "regions")
-
-    star = able.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = keep(distances(star, full).where("linked").select("a", "b"), "linked")
-    to_pivot = distances(members.where("sid <> region").select(F.col("sid").alias("a"), F.col("region").alias("b")), full).where("linked").select("a", "b")
-    comp = extended(None, links.union(keep(to_pivot, "linked")))
-    more = keep(distances(across(able.join(star, ["a", "b"], "left_anti"), comp), full).where("linked").select("a", "b"), "linked")
+    members = None
+    if not heavy.isEmpty():
+        again = keep(meet_rarest(full.join(heavy, "sid", "left_semi")), "rarest")
+        pairs = again.where("NOT large").join(info.select(F.col("sid").alias("a"), F.col("n").alias("na")), "a").join(info.select(F.col("sid").alias("b"), F.col("n").alias("nb")), "b")
+        able = able.union(pairs.where("4 * least(na, nb) >= 3 * greatest(na, nb)").select("a", "b")).distinct()
+        large = again.where("large").select(F.col("a").alias("region"), F.col("b").alias("sid"))
+        first = large.groupBy("region").agg(F.min_by("sid", F.xxhash64("sid")).alias("pivot"))
+        members = keep(by_region(large, first).select(F.col("pivot").alias("region"), "sid").distinct(), "regions")
+    cells = keep(small_cells(able), "cells")
+    asked = cells.select("pivot", F.explode(F.array("a", "b")).alias("sid"))
+    if members is not None:
+        asked = asked.union(members.select("region", "sid"))
+    known = keep(distances(asked.where("sid <> pivot").distinct().select(F.col("sid").alias("a"), F.col("pivot").alias("b")), full), "distances")
+    comp = extended(None, known.where("linked").select("a", "b"))
+    more = keep(distances(across(in_window(cells, known), comp), full).where("linked").select("a", "b"), "linked")
     if not more.isEmpty():
         comp = extended(comp, more)
     for depth in range(1, DEEPEST + 1):

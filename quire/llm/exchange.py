@@ -1,6 +1,6 @@
 """Exact corpus-wide statistics of hashed items, moved as packed arrays.
 
-Texts are dealt into chunks of about ``CHUNK_BYTES`` by a hash of the row.  Each chunk reduces its
+Texts are dealt into chunks of about ``CHUNK_BYTES`` by a hash of the row and its place.  Each chunk reduces its
 items to sorted distinct 64-bit keys with one value each, so a key travels once per chunk however
 often it occurs in it: that is the combine before the shuffle, and it bounds what a hot key costs.
 Keys are cut by their upper bits into buckets, one packed row per chunk and bucket.  A bucket folds
@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import keep
+
 CHUNK_BYTES = 2_500_000
 BUCKET_KEYS = 200_000
 
@@ -38,9 +40,14 @@ def parts(df: DataFrame) -> int:
 
 
 def chunked(docs: DataFrame, columns: list[str | Column], n_bytes: int, text_col: str = "text") -> DataFrame:
-    """The columns with a ``chunk`` number in front."""
+    """The columns with a ``chunk`` number in front.
+
+    Rows go by their content and their place in the input, so equal rows, however many, are dealt out too.  The place
+    is not the same each time that a table is worked out, so what is dealt is kept.
+    """
     n = max(2 * parts(docs), -(-n_bytes // CHUNK_BYTES))
-    return docs.select(F.pmod(F.xxhash64("doc_id", text_col), F.lit(n)).alias("chunk"), *columns)
+    chunk = F.pmod(F.xxhash64("doc_id", text_col, F.monotonically_increasing_id()), F.lit(n))
+    return keep(docs.select(chunk.alias("chunk"), *columns), "chunks")
 
 
 def n_buckets(df: DataFrame, keys: int) -> int:

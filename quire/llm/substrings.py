@@ -137,3 +137,15 @@ def keys_of(t: pa.Table) -> np.ndarray:
     if not t.num_rows:
         return np.zeros(0, np.uint64)
     return np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in t.sort_by("bucket").column("keys")])
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w)),
+hit AS (SELECT doc_id, i FROM win SEMI JOIN (SELECT k FROM win GROUP BY k HAVING count(*) > 1) USING (k)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM hit),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+marked AS (SELECT words.doc_id, words.p, word, gone.p IS NOT NULL AS removed FROM words LEFT JOIN gone ON words.doc_id = gone.doc_id AND words.p = gone.p),
+kept AS (SELECT doc_id, count(*) FILTER (WHERE removed) AS r, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT removed) AS t FROM marked GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(r, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""

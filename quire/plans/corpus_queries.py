@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+from tempfile import TemporaryDirectory
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from ..functions import text as T
 from ..operators import assembly, layout, quality
 from . import derive
 from .registry import ASSIGNED, RECONCILED, REGIONS, WORDS, query
+from .tuning import tuned, using
 
 LOW = 45.0
 KNOWN = ["eng", "deu", "fra"]
@@ -65,8 +69,8 @@ def block_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT r.doc_id, r.region_id::BIGINT AS region_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(low, 1.0) AS low_fraction FROM regs r LEFT JOIN g USING (doc_id, region_id) WHERE n IS NULL OR low >= 0.15""")
 def low_conf_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir)
-    c = quality.region_confidence(assigned(d), derive.regions(d))
-    return longs(c.where(quality.is_low(F.col("low_fraction"), F.col("n_words"))).select("doc_id", "region_id", "n_words", "low_fraction"))
+    c = tuned(quality.region_confidence)(assigned(d), derive.regions(d))
+    return longs(c.where(tuned(quality.is_low)(F.col("low_fraction"), F.col("n_words"))).select("doc_id", "region_id", "n_words", "low_fraction"))
 
 
 @query(f"""WITH {ASSIGNED}, t AS (SELECT doc_id, region_id, string_agg(text, ' ' ORDER BY y0, x0, word_id) AS text FROM asg GROUP BY doc_id, region_id)
@@ -75,6 +79,17 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.page_text(assembly.region_texts(assigned(docs(spark, sf_dir))))
 
 
+@query(f"""WITH {ASSIGNED}, g AS (SELECT doc_id, region_id, count(*) AS n, avg(CASE WHEN confidence < 50 THEN 1.0 ELSE 0.0 END) AS low FROM asg GROUP BY doc_id, region_id)
+SELECT r.doc_id, r.region_id::BIGINT AS region_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(low, 1.0) AS low_fraction FROM regs r LEFT JOIN g USING (doc_id, region_id) WHERE n IS NULL OR low >= 0.25""")
+def low_conf_by_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a settings file that asks for less confidence in more words."""
+    with TemporaryDirectory() as folder:
+        path = Path(folder, "settings.yaml")
+        path.write_text('{"words": {"low_confidence": 50.0}, "regions.low_fraction": 0.25}')
+        with using(str(path)):
+            return low_conf_regions(spark, sf_dir)
+
+
 SANE = r"""s AS (SELECT *, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM {src}),
 c AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x09-\x0d\x20]+'), lambda x: x <> '') AS ws FROM s),
 sane AS (SELECT *, length(t)::BIGINT AS n, CASE WHEN length(t) > 0 THEN length(regexp_replace(t, '[^\x09-\x0d\x20-\x7e]', '', 'g')) / length(t) ELSE 0.0 END AS char_ratio,
@@ -161,7 +176,7 @@ def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT r.doc_id, r.region_id::BIGINT AS region_id, coalesce(mean, 0.0) AS mean, coalesce(lowest, 0.0) AS lowest, coalesce(n, 0)::BIGINT AS n_words, coalesce(low, 1.0) AS low_fraction FROM regs r LEFT JOIN g USING (doc_id, region_id)""")
 def region_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir)
-    return longs(quality.region_confidence(assigned(d), derive.regions(d)))
+    return longs(tuned(quality.region_confidence)(assigned(d), derive.regions(d)))
 
 
 @query(f"WITH {RECONCILED} SELECT doc_id, region_id::BIGINT AS region_id, kind, winner, mean, lowest, n_words::BIGINT AS n_words, low_fraction, skipped FROM regqc")

@@ -12,6 +12,7 @@ from ..schema import LABEL_KINDS, PAGE_HEIGHT, PAGE_WIDTH
 from . import derive
 from .corpus_queries import assigned, docs, longs, page_records
 from .registry import ASSIGNED, RECONCILED, REGIONS, WORDS, he, query
+from .tuning import tuned
 
 
 MET = f"""{WORDS}, {REGIONS}, met AS (SELECT doc_id, word_id, region_id, x0 + x1 BETWEEN 2 * rx0 AND 2 * rx1 AND y0 + y1 BETWEEN 2 * ry0 AND 2 * ry1 AS inside,
@@ -66,7 +67,7 @@ c AS (SELECT *, CASE WHEN t < 1 THEN greatest(1, floor(width * t)) ELSE width EN
 SELECT p_partkey, nw::BIGINT AS new_w, nh::BIGINT AS new_h, CASE WHEN t < 1 THEN nw::DOUBLE / width ELSE 1.0::DOUBLE END AS scale FROM c""")
 def page_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = derive.read(spark, sf_dir, "part").selectExpr("p_partkey", "CAST(1000 + p_partkey * 37 % 7000 AS INT) AS width", "CAST(800 + p_size * 150 AS INT) AS height")
-    return longs(G.page_scale(sizes).select("p_partkey", "new_w", "new_h", "scale"))
+    return longs(tuned(G.page_scale)(sizes).select("p_partkey", "new_w", "new_h", "scale"))
 
 
 @query(f"WITH {WORDS} SELECT doc_id, word_id::BIGINT AS word_id, (x0 - word_id % 3)::BIGINT AS x0, (y0 - word_id % 2)::BIGINT AS y0, (x1 + word_id % 4)::BIGINT AS x1, (y1 + word_id % 5)::BIGINT AS y1 FROM words")
@@ -172,7 +173,7 @@ segs AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY g, bstar
 
 @query(f"WITH {SEGMENTS} SELECT doc_id, order_index::BIGINT AS order_index, kind, x0::BIGINT AS x0, x1::BIGINT AS x1, column_index::BIGINT AS column_index, layout_type FROM segs")
 def segment_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(layout.segment_pages(derive.raster(docs(spark, sf_dir))))
+    return longs(tuned(layout.segment_pages)(derive.raster(docs(spark, sf_dir))))
 
 
 MARGIN = f"""nl AS (SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) AS n FROM documents),
@@ -187,7 +188,7 @@ run AS (SELECT * FROM (SELECT *, max(CASE WHEN diff <= 0 OR diff % greatest(step
 
 @query(f"WITH {MARGIN} SELECT doc_id, word_id::BIGINT AS word_id, value::BIGINT AS value, step::BIGINT AS step, y0::BIGINT AS y0 FROM run")
 def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(layout.line_number_run(derive.margin_words(docs(spark, sf_dir)), PAGE_WIDTH))
+    return longs(tuned(layout.line_number_run)(derive.margin_words(docs(spark, sf_dir)), PAGE_WIDTH))
 
 
 @query(f"""WITH {MARGIN} SELECT doc_id, count(*)::BIGINT AS n_numbers, min(x0)::BIGINT AS x0, min(y0)::BIGINT AS y0, max(x1)::BIGINT AS x1, max(y0 + 40)::BIGINT AS y1, string_agg(value, ',' ORDER BY y0, word_id) AS vals,
@@ -195,7 +196,7 @@ def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_number_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The margin region around each run, and how many words stay where they were."""
     w = derive.margin_words(docs(spark, sf_dir))
-    run = layout.line_number_run(w, PAGE_WIDTH).select("doc_id", "word_id", "value")
+    run = tuned(layout.line_number_run)(w, PAGE_WIDTH).select("doc_id", "word_id", "value")
     vals = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "word_id", "value"))), lambda x: x["value"].cast("string")), ",")
     box = w.join(run, ["doc_id", "word_id"]).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_numbers"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), vals.alias("vals"))
     left = w.join(run, ["doc_id", "word_id"], "left_anti").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"))
@@ -250,7 +251,7 @@ def parsed(d: DataFrame) -> DataFrame:
     Sound regions claim words in order, the margin run is taken out page-wide, regions without words
     go unless they are figures, and words that nothing claimed form a last region.
     """
-    run = layout.line_number_run(derive.margin_words(d), PAGE_WIDTH).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words")).select("doc_id", F.lit(0).alias("bucket"), F.lit(-1).alias("region_id"), F.lit("margin_numbers").alias("kind"), "n_words")
+    run = tuned(layout.line_number_run)(derive.margin_words(d), PAGE_WIDTH).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_words")).select("doc_id", F.lit(0).alias("bucket"), F.lit(-1).alias("region_id"), F.lit("margin_numbers").alias("kind"), "n_words")
     counts = claimed(d).groupBy("doc_id", F.coalesce("region_id", F.lit(99)).alias("region_id")).agg(F.count(F.lit(1)).alias("n_words"))
     regions = derive.regions(d).select("doc_id", "region_id", "kind")
     every = regions.join(counts, ["doc_id", "region_id"], "full_outer").withColumn("kind", F.coalesce("kind", F.lit("other")))
@@ -284,7 +285,7 @@ def otsu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {RECONCILED} SELECT doc_id, region_id::BIGINT AS region_id, n::BIGINT AS n, mean1, mean2, winner FROM rec")
 def reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return longs(assembly.reconcile(assigned(docs(spark, sf_dir)), ["doc_id", "region_id"]))
+    return longs(tuned(assembly.reconcile)(assigned(docs(spark, sf_dir)), ["doc_id", "region_id"]))
 
 
 HOCR = f"""{ASSIGNED}, ln AS (SELECT *, dense_rank() OVER (PARTITION BY doc_id, region_id ORDER BY y0) - 1 AS line_id FROM asg),

@@ -15,6 +15,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from quire.llm import blocks as B
+from quire.llm import exchange as X
 from quire.llm import components, jaccard, lattice, lines, packing, pieces, pii, quality, sampling, substrings, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -784,3 +785,62 @@ def test_odd_rows(odd, empty, name):
     if name == "op9":
         assert out.where("NOT round_trip").isEmpty()
     assert ODD[name](empty).count() == 0
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_pipeline_stages_take_odd_rows(spark, odd, k):
+    """Rows without an id or text, repeated rows, texts of 5 MB and columns of any name go through each stage; extra columns are left out."""
+    import corpus_pipeline
+
+    docs, ids = odd
+    name, stage = corpus_pipeline.STAGES[k]
+    out = stage(spark, docs, "")
+    rows = out.collect()
+    if k < 4:
+        assert out.columns == list(corpus_pipeline.COLUMNS)
+        assert all(r.n_chars == len(r.text or "") for r in rows) or k in (0, 2)
+    got = collections.Counter(r.doc_id for r in rows if k < 4 or r.piece == 0)
+    have = collections.Counter(ids)
+    assert all(n <= have[i] for i, n in got.items()), name
+    if k in (3, 4):
+        assert got == have
+    if k == 2:  # one of the linked texts, of the null ones all that are alone
+        assert got[1] == 1 and got[3] == 1 and got[10] == got[11] == 1 and got[2] == 2
+    if k == 3:
+        dense = next(r.text for r in rows if r.doc_id == 11)
+        assert dense.count("[EMAIL]") == 70000 and "a.b@c-d.org" not in dense
+
+
+def test_jaccard_hot_shingles_are_not_grouped(spark):
+    """A header that every text has fills no bucket; the links are those of the brute force."""
+    rng = np.random.Generator(np.random.PCG64(23))
+    head = " ".join(f"license{i}" for i in range(40))
+    texts = [f"{head} " + " ".join(f"w{x}" for x in rng.integers(0, 10**9, 60)) for _ in range(3000)]
+    texts += [t[:-4] + " end" for t in texts[:40]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    entries = [(r.bucket, r.large, len(r.sids) // 8) for r in jaccard.show(df, 32).collect()]
+    small = collections.Counter()
+    for bucket, large, n in entries:
+        if not large:
+            small[bucket] += n
+    assert sum(n for _, large, n in entries if large) > 3000
+    assert max(small.values()) < 3 * np.median(list(small.values()))
+    got = by_id(jaccard.components(df), "n_shingles", "component_id")
+    assert {i: c for i, (_, c) in got.items() if c != i} == {3000 + i: i for i in range(40)}
+
+
+def test_equal_rows_are_dealt_out(spark):
+    same = spark.range(20_000).selectExpr("CAST(NULL AS BIGINT) AS doc_id", "'' AS text").repartition(4)
+    chunks = X.chunked(same, ["doc_id", "text"], 40 * X.CHUNK_BYTES).groupBy("chunk").count().collect()
+    sizes = sorted(r["count"] for r in chunks)
+    assert sum(sizes) == 20_000 and len(sizes) == 40 and sizes[-1] < 2 * sizes[20]
+
+
+def test_substrings_and_scores_of_equal_rows(spark):
+    """Rows dealt apart count together."""
+    rows = [(None, " ".join(f"w{i}" for i in range(40)))] * 30 + [(1, "alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed) for r in substrings.removal(df).collect())
+    assert got == {(None, 40, 40): 30, (1, 1, 0): 1}
+    scored = lattice.score(df).collect()
+    assert len(scored) == 31 and len({(r.doc_id, r.n_known, r.base_score, r.score) for r in scored}) == 2

@@ -10,9 +10,9 @@ from ..functions import text as T
 from ..operators import language, sketches
 from ..operators.asof import asof
 from . import derive
-from .corpus_queries import KNOWN, docs
-from .ledger_queries import EVENTS, LEDGER, events, files
-from .registry import query
+from .corpus_queries import KNOWN, corpus_metrics, docs
+from .ledger_queries import EVENTS, LEDGER, events, files, seconds
+from .registry import ORACLES, query
 
 LANGUAGES = ["de", "en", "es", "fr"]
 _EACH = lambda form, joint=", ": joint.join(form(x) for x in LANGUAGES)
@@ -89,3 +89,12 @@ def orphan_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     folders = users.select(path("/in/%d.pdf", "user_id")).union(users.where("user_id % 5 = 0").select(path("/in/gone-%d.pdf", "user_id")))
     live = files(spark, sf_dir).where("status IN ('queued', 'processing')").select(path("/in/%d.pdf", "file_id"))
     return folders.join(live, "folder", "left_anti")
+
+
+@query(f"""WITH {LEDGER}, m AS ({ORACLES["corpus_metrics"]}), s AS (SELECT round(avg((epoch_us(updated_at) - epoch_us(created_at)) / 1e6) FILTER (WHERE status IN ('done', 'flagged')), 4) AS mean_seconds, count(*) FILTER (WHERE status IN ('done', 'flagged'))::BIGINT AS n_timed FROM led)
+SELECT m.*, s.mean_seconds, s.n_timed FROM m, s""")
+def corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metrics of the corpus with the mean time from queue to result of the files that came through."""
+    through = F.col("status").isin("done", "flagged")
+    took = files(spark, sf_dir).agg(F.round(F.avg(F.when(through, seconds("created_at", "updated_at"))), 4).alias("mean_seconds"), F.count_if(through).alias("n_timed"))
+    return corpus_metrics(spark, sf_dir).crossJoin(F.broadcast(took))

@@ -2,22 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset, one below the warehouse, or a temporary one in local mode."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        local = context.master.startswith("local") and not context.master.startswith("local-cluster")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="quire-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/quire-kept")
-    return context._jsc.sc().getCheckpointDir().get().rstrip("/")
+from ..storage import shared_dir
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:

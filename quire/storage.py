@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _local_dir() -> str:
+    """A folder of this process, gone when it ends."""
+    path = tempfile.mkdtemp(prefix="quire-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where that is unset in local mode, and an error on a cluster, whose executors would write to their own disks."""
+    """The folder of spark.checkpoint.dir; one of this process where that is unset in local mode, and an error on a cluster, whose executors would write to their own disks."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     master = spark.sparkContext.master
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return tempfile.mkdtemp(prefix="quire-")
+    return _local_dir()
 
 
 def scratch(spark: SparkSession, kind: str = "stream") -> str:

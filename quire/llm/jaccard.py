@@ -481,3 +481,18 @@ def first_of_each(docs: DataFrame) -> DataFrame:
         single = kept.where(F.col(once)).join(often, same, "left_semi").dropDuplicates([i, h])
         kept = kept.join(often, same & F.col(once), "left_anti").union(single)
     return kept.select(*docs.columns)
+
+
+#: Every pair of documents that share a shingle, and what links reach.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+own AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS k FROM w),
+shingles AS MATERIALIZED (SELECT DISTINCT doc_id, k FROM own),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n_both FROM shingles x JOIN shingles y USING (k) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * n_both >= 75 * (x.n + y.n - n_both)),
+reach AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+least_id AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, CAST(least(w.doc_id, coalesce(b, w.doc_id)) AS BIGINT) AS component_id
+FROM w LEFT JOIN sizes ON sizes.doc_id = w.doc_id LEFT JOIN least_id ON a = w.doc_id
+"""

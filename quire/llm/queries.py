@@ -69,4 +69,4 @@ def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard_join, op2_subword_lattice, op3_toxicity, op4_quality_rules, op5_personal_data, op6_weighted_sampling, op7_substring_dedup, op8_best_fit_packing, op9_sentencepiece, op10_line_dedup, op11_conversation_repair, op12_embedding_whitening, op13_url_filters)}
 
-ORACLES: dict[str, str] = {"op7_substring_dedup": substrings.ORACLE, "op10_line_dedup": lines.ORACLE, "op13_url_filters": reputation.ORACLE}
+ORACLES: dict[str, str] = {"op1_jaccard_join": jaccard.ORACLE, "op7_substring_dedup": substrings.ORACLE, "op10_line_dedup": lines.ORACLE, "op13_url_filters": reputation.ORACLE}

@@ -7,7 +7,8 @@ difference of two members of the cover.  So hashing short windows (``ANCHOR`` wo
 - 1 = WINDOW) at cover positions only, less than a quarter of all, finds an anchor that both share.
 Around each repeated anchor the windows that hold it are extended to full length, hashed and counted
 over the corpus; those found twice are the repeated windows.  No pairs are formed, and a passage in
-a third of all documents travels once per chunk.
+a third of all documents travels once per chunk.  Anchors are 64-bit hashes, which only choose candidates; the
+windows that decide are 64 bits and a mark of 31 more from a second hash.
 
 Null and blank texts have no words.  Texts under WINDOW words lose nothing.  Repeated rows are other
 places, so they count.  Windows are judged on the input, and neither text nor repetition is cut.
@@ -29,6 +30,9 @@ WINDOW = 35
 PERIOD = 21
 COVER = (3, 6, 7, 12, 14)  # a perfect difference set modulo 21
 ANCHOR = WINDOW - PERIOD + 1
+SECOND = np.uint64(0x2545F4914F6CDD1D)
+
+REPEATED = "chunk long, bucket long, keys binary, marks binary"
 
 
 def block_of(t: pa.Table) -> B.Block:
@@ -49,23 +53,46 @@ def flagged(h: np.ndarray, answer: np.ndarray) -> np.ndarray:
     return answer[np.searchsorted(keys, h)] > 0 if len(h) else np.zeros(0, bool)
 
 
+def marked_windows(b: B.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, hash, mark) of the full windows; the mark is 31 bits of a second hash."""
+    at, h = b.windows(WINDOW)
+    return at, h, (B.window_hashes(B.mix(b.word_hash ^ SECOND), WINDOW)[at] >> np.uint64(33)).astype(np.uint32)
+
+
 def candidates(b: B.Block, answer: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of the full windows that hold a repeated anchor."""
+    """(hash, mark) of the full windows that hold a repeated anchor."""
     at, h = anchors(b)
     at = at[flagged(h, answer)]
-    every, full = b.windows(WINDOW)
+    every, full, mark = marked_windows(b)
     if not len(every):
-        return every, full
+        return full, mark
     starts = (at[:, None] - np.arange(PERIOD)).ravel()
     near = np.zeros(len(b.start) + 1, bool)
     near[starts[starts >= 0]] = True
     here = near[every]
-    return every[here], full[here]
+    return full[here], mark[here]
 
 
-def _ask(t: pa.Table, h: np.ndarray, n: int) -> pa.Table:
+def groups(keys: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by key and mark, first of each group of equal ones in that order)."""
+    order = np.lexsort((marks, keys))
+    k, m = keys[order], marks[order]
+    new = np.ones(len(k), bool)
+    new[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
+    return order, np.flatnonzero(new)
+
+
+def ask_anchors(chunk: int, h: np.ndarray, n: int) -> pa.Table:
     keys, count = X.distinct(h)
-    return X.ask(X.chunk_no(t), keys, np.minimum(count, 2).astype(np.uint8), n)
+    return X.ask(chunk, keys, np.minimum(count, 2).astype(np.uint8), n)
+
+
+def ask_windows(chunk: int, h: np.ndarray, mark: np.ndarray, n: int) -> pa.Table:
+    """Each distinct window of a chunk once; the lowest bit of its value says that the chunk has it twice or more."""
+    order, start = groups(h, mark)
+    again = np.diff(np.append(start, len(order))) > 1
+    own = order[start]
+    return X.ask(chunk, h[own], mark[own] << np.uint32(1) | again.astype(np.uint32), n)
 
 
 def removal(docs: DataFrame, with_text: bool = False) -> DataFrame:
@@ -76,24 +103,21 @@ def removal(docs: DataFrame, with_text: bool = False) -> DataFrame:
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
 
     def first(t: pa.Table) -> pa.Table:
-        return _ask(t, anchors(block_of(t))[1], n)
+        return ask_anchors(X.chunk_no(t), anchors(block_of(t))[1], n)
 
     def second(t: pa.Table, a: pa.Table) -> pa.Table:
         if not t.num_rows:
             return X.table_of({}, X.ASK)
-        return _ask(t, candidates(block_of(t), X.answer_of(a, np.uint8))[1], n)
+        return ask_windows(X.chunk_no(t), *candidates(block_of(t), X.answer_of(a, np.uint8)), n)
 
     def third(t: pa.Table, a: pa.Table) -> pa.Table:
         if not t.num_rows:
             return X.table_of({}, out)
         b = block_of(t)
-        repeated = keys_of(a)
-        every, full = b.windows(WINDOW)
         gone = np.zeros(len(b.start) + 1, np.int64)
-        if len(repeated) and len(every):
-            at = np.searchsorted(repeated, full)
-            at[at == len(repeated)] = 0
-            start = every[repeated[at] == full]
+        if a.num_rows:
+            every, full, mark = marked_windows(b)
+            start = every[among(full, mark, *windows_of(a))]
             np.add.at(gone, start, 1)
             np.add.at(gone, start + WINDOW, -1)
         removed = np.cumsum(gone[:-1]) > 0
@@ -109,34 +133,44 @@ def removal(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     a1 = X.answers(texts.groupBy("chunk").applyInArrow(first, X.ASK), np.uint8, X.is_repeated, np.uint8)
     asked = texts.groupBy("chunk").cogroup(a1.groupBy("chunk")).applyInArrow(second, X.ASK)
-    a2 = repeated_keys(asked)
+    a2 = asked.groupBy("bucket").applyInArrow(repeated, REPEATED)
     return texts.groupBy("chunk").cogroup(a2.groupBy("chunk")).applyInArrow(third, out)
 
 
-def repeated_keys(asked: DataFrame) -> DataFrame:
-    """(chunk, bucket, keys): those keys of each chunk that occur twice or more in all chunks."""
-
-    def run(t: pa.Table) -> pa.Table:
-        order, group, folded, _ = X.fold_bucket(t, np.uint8, X.is_repeated)
-        hit = np.empty(len(order), bool)
-        hit[order] = folded[group] > 0
-        chunk, bucket, keys, lo = [], [], [], 0
-        for c, b, k in zip(t.column("chunk").to_pylist(), t.column("bucket").to_pylist(), t.column("keys"), strict=True):
-            own = np.frombuffer(k.as_buffer(), np.uint64)
-            found = own[hit[lo : lo + len(own)]]
-            lo += len(own)
-            if len(found):
-                chunk.append(c), bucket.append(b), keys.append(found.tobytes())
-        return X.table_of({"chunk": chunk, "bucket": bucket, "keys": keys}, "chunk long, bucket long, keys binary")
-
-    return asked.groupBy("bucket").applyInArrow(run, "chunk long, bucket long, keys binary")
-
-
-def keys_of(t: pa.Table) -> np.ndarray:
-    """The sorted keys of one chunk."""
-    if not t.num_rows:
-        return np.zeros(0, np.uint64)
-    return np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in t.sort_by("bucket").column("keys")])
+def repeated(t: pa.Table) -> pa.Table:
+    """Those windows of each chunk in a bucket that occur twice or more in all chunks."""
+    keys = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("keys")])
+    vals = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("vals")])
+    marks = vals >> np.uint32(1)
+    order, start = groups(keys, marks)
+    count = np.add.reduceat(1 + (vals[order] & np.uint32(1)).astype(np.int64), start) if len(start) else start
+    hit = np.zeros(len(keys), bool)
+    hit[order] = np.repeat(count > 1, np.diff(np.append(start, len(keys))))
+    out: dict[str, list] = {"chunk": [], "bucket": [], "keys": [], "marks": []}
+    lo = 0
+    for c, b, k in zip(t.column("chunk").to_pylist(), t.column("bucket").to_pylist(), t.column("keys"), strict=True):
+        own = slice(lo, lo + len(k.as_buffer()) // 8)
+        lo = own.stop
+        if hit[own].any():
+            for name, v in zip(out, (c, b, keys[own][hit[own]].tobytes(), marks[own][hit[own]].tobytes()), strict=True):
+                out[name].append(v)
+    return X.table_of(out, REPEATED)
+
+
+def windows_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The repeated windows of one chunk, sorted: (hashes, marks)."""
+    t = t.sort_by("bucket")
+    return tuple(np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in t.column(name)]) for name, kind in (("keys", np.uint64), ("marks", np.uint32)))
+
+
+def among(h: np.ndarray, mark: np.ndarray, keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Whether each (hash, mark) is one of the sorted (keys, marks)."""
+    at, end = np.searchsorted(keys, h), np.searchsorted(keys, h, "right")
+    found = np.zeros(len(h), bool)
+    for step in range(int((end - at).max(initial=0))):  # one step, but for windows whose hashes alone are equal
+        here = np.flatnonzero(at + step < end)
+        found[here] |= marks[at[here] + step] == mark[here]
+    return found
 
 
 ORACLE = r"""

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import random
 import re
 import struct
 import zlib
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import blocks as B
 from quire.llm import exchange as X
-from quire.llm import components, jaccard, lattice, lines, packing, pieces, pii, quality, sampling, substrings, toxicity
+from quire.llm import components, jaccard, lattice, lines, packing, pieces, pii, quality, queries, sampling, substrings, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, chunk string, bucket int, h string"
@@ -206,6 +207,47 @@ def test_lattice_sums_all_segmentations(spark, piece_table):
         assert abs(got[i][0] - want) < 1e-7
 
 
+def test_lattice_learns_pieces(spark):
+    """Expected uses are those over all segmentations, and held-out texts of unknown words gain by what is learned."""
+    model = lattice.Lattice(pieces.load(pieces.MODEL))
+    known = {bytes(model.v.piece_data[model.v.piece_at[i] : model.v.piece_at[i] + model.v.piece_len[i]]): k for k, i in enumerate(model.v.sorted_ids)}
+    n, want, data = len(model.piece), collections.Counter(), ["thing", "onon", "é"]
+    for word, weight in zip(data, (1.0, 0.5, 0.25), strict=True):
+        unit, ways = b" " + word.encode(), []
+
+        def walk(at, used, logp, unit=unit, ways=ways):
+            if at == len(unit):
+                ways.append((used, math.exp(logp)))
+                return
+            walk(at + 1, [*used, n + unit[at]], logp + model.byte[unit[at]])
+            for end in range(at + 1, len(unit) + 1):
+                if unit[at:end] in known:
+                    walk(end, [*used, known[unit[at:end]]], logp + model.piece[known[unit[at:end]]])
+
+        walk(0, [], 0.0)
+        for used, p in ways:
+            for k in used:
+                want[k] += weight * p / sum(q for _, q in ways)
+    b = B.Block(*(lambda raw: (np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))(" ".join(data).encode()))
+    got = model.expected(b.data, b.start, b.end, np.array([1.0, 0.5, 0.25]))
+    assert np.allclose(got, [want[k] for k in range(n + 256)], rtol=1e-9, atol=1e-12)
+    taught = model.taught(got)
+    assert abs(np.exp(taught.piece).sum() + np.exp(taught.byte).sum() - (1 - lattice.END)) < 1e-9
+
+    rng = random.Random(5)
+    syllables = ["qu", "zor", "mip", "xet", "vla", "wug"]
+    text = lambda: " ".join("".join(rng.choice(syllables) for _ in range(5)) for _ in range(40))
+    rows = lattice.score(spark.createDataFrame([(i, text()) for i in range(60)], "doc_id long, text string")).where("held_out").collect()
+    assert rows and all(math.isfinite(r.learned_score) for r in rows)
+    assert sum(r.learned_score for r in rows) > 0.6 * sum(r.mixed_score for r in rows)
+
+
+def test_lattice_query_scores_by_what_it_learned(spark):
+    """The query's score of held-out rows is near their base score, in which all unknown words share one probability."""
+    held = queries.op2_subword_lattice(spark, "/root/testdata/sf0.001").where("held_out").collect()
+    assert sum(r.score for r in held) > 1.5 * sum(r.base_score for r in held)
+
+
 def test_lattice_counts(docs, texts, empty):
     out = by_id(lattice.score(docs), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "mixed_score")
     held = [zlib.crc32(str(i).encode()) % 5 == 1 for i in range(len(texts))]

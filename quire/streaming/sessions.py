@@ -42,7 +42,12 @@ class Sessions(StatefulProcessor):
         self.open = handle.getValueState("open", OPEN)
 
     def load(self) -> list[Span]:
-        return [tuple(s) for s in self.open.get()[0]] if self.open.exists() else []
+        found = self.open.get()
+        return [tuple(s) for s in found[0]] if found is not None else []
+
+    def wake(self, spans: list[Span]) -> None:
+        """One timer, at which the first of the open sessions may close; each call is a message to the JVM."""
+        self.handle.registerTimer(-(-(min(last for _, last, _ in spans) + self.gap_us) // 1000))
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
@@ -55,8 +60,7 @@ class Sessions(StatefulProcessor):
         if fresh:
             spans = merged([*self.load(), *fresh], self.gap_us)
             self.open.update((spans,))
-            for _, last, _ in spans:
-                self.handle.registerTimer(-(-(last + self.gap_us) // 1000))
+            self.wake(spans)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
@@ -66,7 +70,9 @@ class Sessions(StatefulProcessor):
             if last + self.gap_us <= watermark:
                 yield Row(**{self.key: key[0]}, late=False, first=first, last=last, n=n)
         if rest:
-            self.open.update((rest,))
+            if len(rest) < len(spans):
+                self.open.update((rest,))
+            self.wake(rest)
         elif spans:
             self.open.clear()
 

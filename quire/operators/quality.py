@@ -31,6 +31,23 @@ def reconciled_regions(words: DataFrame, threshold: float, with_text: bool = Fal
     return g.select("doc_id", "region_id", "n", "mean1", "mean2", F.when(second, ENGINES[1]).otherwise(ENGINES[0]).alias("winner"), *won, *["text"] * with_text)
 
 
+def region_stats(own: Column, threshold: float) -> Column:
+    """The record of ``reconciled_regions`` of one region from the array of its words; no mean, lowest and low_fraction without words."""
+
+    def stats(c: str) -> Column:
+        some = F.filter(F.transform(own, lambda w: w[c]), lambda x: x.isNotNull())
+        share = lambda total, xs: F.when(F.size(xs) > 0, total / F.size(xs))
+        return F.transform(F.array(some), lambda xs: F.struct(share(F.aggregate(xs, F.lit(0.0), lambda a, x: a + x), xs).alias("mean"), F.array_min(xs).alias("lowest"), share(F.size(F.filter(xs, lambda x: x < threshold)), xs).alias("low_fraction")))
+
+    def record(both: Column) -> Column:
+        one, two = both[0], both[1]
+        second = F.coalesce(two["mean"] > F.coalesce(one["mean"], F.lit(0.0)), F.lit(False))
+        won = F.when(second, two).otherwise(one)
+        return F.struct(F.size(own).cast("long").alias("n"), F.when(second, ENGINES[1]).otherwise(ENGINES[0]).alias("winner"), *[won[c].alias(c) for c in ("mean", "lowest", "low_fraction")])
+
+    return F.get(F.transform(F.array(F.concat(stats("confidence"), stats("confidence2"))), record), F.lit(0))
+
+
 def is_low(low_fraction: Column, n_words: Column, fraction: float = 0.15) -> Column:
     """No words, or a share of words under the threshold of ``fraction`` or more."""
     return (n_words == 0) | (low_fraction >= fraction)

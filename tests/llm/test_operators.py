@@ -242,6 +242,26 @@ def test_lattice_learns_pieces(spark):
     assert sum(r.learned_score for r in rows) > 0.6 * sum(r.mixed_score for r in rows)
 
 
+def test_lattice_learns_from_long_words(spark, monkeypatch):
+    """A word over 95 bytes teaches as a short one does: by both recursions, over stretches, and in what chunks hand on."""
+    model = lattice.Lattice(pieces.load(pieces.MODEL))
+    block = lambda text: B.Block(*(lambda raw: (np.frombuffer(raw, np.uint8), np.array([0, len(raw)])))(text.encode()))
+    long, weight = block("thingélan" * 20 + " onon " + "q" * 3000), np.array([1.0, 0.5, 0.25])
+    got = model.expected(long.data, long.start, long.end, weight)
+    monkeypatch.setattr(pieces, "STRETCH", 70)
+    assert np.allclose(got, model.expected(long.data, long.start, long.end, weight), rtol=1e-7, atol=1e-12)
+    monkeypatch.undo()
+    wide, at, size = lattice.spaced(long.data, long.start, long.end)
+    order = pieces.Batch(wide, at, size)
+    assert np.allclose(got, model.uses(order, weight[order.order]), rtol=1e-7, atol=1e-9)
+    assert abs(got.sum() - model.expected(long.data, long.start[1:2], long.end[1:2], weight[1:2]).sum()) > 10
+
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1]
+    rows = lambda last: [(i, "qxzor" * 40 if i in held else last) for i in range(60)]
+    score = lambda last: lattice.score(spark.createDataFrame(rows(last), "doc_id long, text string")).where(f"doc_id = {held[0]}").first().learned_score
+    assert score("qxzor" * 39) > score("the") + 100
+
+
 def test_lattice_query_scores_by_what_it_learned(spark):
     """The query's score of held-out rows is near their base score, in which all unknown words share one probability."""
     held = queries.op2_subword_lattice(spark, "/root/testdata/sf0.001").where("held_out").collect()

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,8 +63,30 @@ def once(files: DataFrame, delay: str = "1 hour") -> DataFrame:
 
     State goes at the end of a batch, with the watermark of modification times, so it holds the files of about the last
     ``delay``; a file that comes again after it has gone passes, and the ledger decides then whether anything is to be done.
+    The rows of a batch come in any order, so the earliest of equal path and content goes ahead of the others; a task
+    holds its part of one batch for that.
     """
-    return files.withWatermark("modificationTime", delay).dropDuplicatesWithinWatermark(["path", "content_hash"])
+    keys = ["path", "content_hash"]
+    dealt = files.repartition(*keys).mapInArrow(earliest, files.schema)
+    return dealt.withWatermark("modificationTime", delay).dropDuplicatesWithinWatermark(keys)
+
+
+def earliest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row by modificationTime of each path and content."""
+    rows = list(batches)
+    if not rows:
+        return
+    t = pa.Table.from_batches(rows)
+    keys = [(c, "ascending") for c in ("path", "content_hash", "modificationTime")]
+    t = t.take(pc.sort_indices(t, sort_keys=keys)).combine_chunks()
+    new = np.ones(t.num_rows, bool)
+    if t.num_rows > 1:
+        new[1:] = False
+        for c in ("path", "content_hash"):
+            x, y = (t.column(c).slice(a, t.num_rows - 1) for a in (1, 0))
+            other = pc.fill_null(pc.not_equal(x, y), False).to_numpy(zero_copy_only=False)
+            new[1:] |= other | (x.is_null().to_numpy(zero_copy_only=False) != y.is_null().to_numpy(zero_copy_only=False))
+    yield from t.filter(pa.array(new)).combine_chunks().to_batches()
 
 
 def watch(spark: SparkSession, root: str, extensions: list[str], files_per_trigger: int = 1000) -> DataFrame:

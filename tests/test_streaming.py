@@ -206,6 +206,16 @@ def test_files_come_once_within_the_delay(spark, tmp_path):
     assert sorted((r.path, r.content_hash, r.modificationTime) for r in got) == [("p", "1", at(0)), ("p", "1", at(2002)), ("p", "2", at(51)), ("q", "1", at(6)), ("x", "0", at(2000)), ("y", "0", at(2001))]
 
 
+def test_the_earliest_of_a_batch_stays_in_any_order(spark, tmp_path):
+    schema = "path string, content_hash string, modificationTime timestamp"
+    at = lambda m: START + timedelta(minutes=m)
+    rows = [(f"p{i}", h, at(i + m)) for m in (10, 0, 20) for i in range(40) for h in ("1", None)]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = runs.drained(files.once(s, "1 hour"), str(tmp_path / "out")).collect()
+    assert sorted((r.path, r.content_hash or "", r.modificationTime) for r in got) == sorted((f"p{i}", h, at(i)) for i in range(40) for h in ("", "1"))
+
+
 def test_tree_changes(spark):
     old = [("a", "1"), ("b", "2"), ("c", "3"), ("d", "3"), ("e", None), ("f", None), ("g", "5"), ("g", "5"), ("h", "7")] + [(f"empty/{i:02}", "0") for i in range(30)]
     new = [("a", "1"), ("b", "2b"), ("z1", "3"), ("z0", "3"), ("z2", "3"), ("e", "4"), ("f", None), ("y", None), ("h", None)] + [(f"now/{i:02}", "0") for i in range(29)]
